@@ -7,12 +7,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, sharding
+from tidemark.llm import html_extract, line_dedup, packing, sharding, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; rows whose crc32(doc_id) is a multiple of 5 are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs, lexicon, model, score_col="score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -23,6 +31,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.learn_weights(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its source's boilerplate lines."""
     kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -30,7 +45,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op6_sharding": op6_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_line_dedup": op10_line_dedup,
+}
 
 ORACLE_SQL = {
     "op10_line_dedup": f"""
