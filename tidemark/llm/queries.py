@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, line_dedup, packing, sharding, suffix_dedup, toxicity
+from tidemark.llm import html_extract, line_dedup, packing, sharding, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingle sets reach a similarity of 0.9."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shingle_join.classes(docs, words=3, threshold=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document when all 200-byte strings that recur are gone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_shingle_join": op2_shingle_join,
     "op3_suffix_array": op3_suffix_array,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
