@@ -41,8 +41,8 @@ HOT_STRETCHES = 4096
 #: Stretches that a bucket sorts at once, and bytes of them in a bucket.
 SORTED_AT_ONCE = 20_000
 BUCKET_STRETCHES = 40_000
-#: Per-document lists up to this many documents are broadcast, beyond it joined by shuffle.
-BROADCAST_DOCS = 400_000
+#: Per-document lists with up to this many entries in all, about 20 MB, are broadcast; beyond it they are joined by shuffle.
+BROADCAST_ENTRIES = 250_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xD6E8FEB86659FD93
@@ -266,17 +266,32 @@ def _fingerprints(span: int) -> Callable:
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
-def _by_row(docs: DataFrame, lists: DataFrame) -> DataFrame:
+def _bounded(lists: DataFrame, column: str) -> DataFrame:
+    """``lists`` written out, and marked for broadcast if they are small."""
     lists = materialize(lists, "lists")
-    return docs.join(F.broadcast(lists) if lists.count() <= BROADCAST_DOCS else lists, "row")
+    entries = lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+    return F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists
+
+
+def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("spans")
+        places = lists.flatten()
+        both = np.stack([places.field("start").to_numpy(), places.field("stop").to_numpy()], axis=1)
+        at = np.cumsum([0, *lists.value_lengths().to_pylist()])
+        merged = [merge(both[s:e]) for s, e in zip(at, at[1:], strict=False)]
+        ends = np.cumsum([0, *map(len, merged)])
+        flat = np.concatenate(merged) if merged else both
+        values = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["row", "spans"])
 
 
 def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT_STRETCHES) -> DataFrame:
-    """(row, spans): for each row with repeats, the half-open byte spans of repeated windows, not merged.
+    """(row, spans): for each row with repeats, the half-open byte spans that repeated windows cover.
 
     ``row`` must tell apart rows of different text.
     """
@@ -294,17 +309,17 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
 
     top = mixed.agg(F.max("kinds"), F.sum("kinds")).first()
     buckets = max(1, int((top[1] or 0) // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    snippets = _by_row(docs, listed(wanted.where(F.col("kinds") <= hot))).mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
+    snippets = docs.join(_bounded(listed(wanted.where(F.col("kinds") <= hot)), "wanted"), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
     sorted_in = snippets.repartitionByRange(buckets, "lead", "key").sortWithinPartitions("lead", "key")
     places = [copied, sorted_in.mapInArrow(_sort_bucket(span), _ddl(_PLACE))]
     if (top[0] or 0) > hot:
-        prints = materialize(_by_row(docs, listed(wanted.where(F.col("kinds") > hot))).mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
+        prints = materialize(docs.join(_bounded(listed(wanted.where(F.col("kinds") > hot)), "wanted"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
         places.append(prints.join(twice, ["p", "q"]).select("row", "start", (F.col("start") + span).alias("stop")))
     spans = places[0]
     for more in places[1:]:
         spans = spans.unionByName(more)
-    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>")
 
 
 def _place_of(at: str, span: int) -> list[Column]:
@@ -319,7 +334,6 @@ def _clean(span: int, whole_characters: bool) -> Callable:
             out: list[list] = [[], [], [], [], []]
             for data, spans in zip(_bytes(batch, "_sd_text"), batch.column("_sd_spans"), strict=True):
                 held = np.array([(s["start"], s["stop"]) for s in spans.as_py()], dtype=np.int64) if spans.is_valid else np.zeros((0, 2), np.int64)
-                held = merge(held) if len(held) else held
                 keep = np.ones(len(data), dtype=bool)
                 for s, e in held:
                     keep[s:e] = False
@@ -355,8 +369,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # rows alike in key and text have the same repeats, so they may share a number
     rows = docs.drop(*added).withColumn("_sd_row", F.xxhash64(F.col(id_col).cast("string"), text)).withColumn(text_col, text)
-    spans = materialize(repeated_spans(rows, "_sd_row", text_col, span, hot=hot), "spans").withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
-    joined = rows.join(F.broadcast(spans) if spans.count() <= BROADCAST_DOCS else spans, "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
+    spans = _bounded(repeated_spans(rows, "_sd_row", text_col, span, hot=hot).withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"}), "_sd_spans")
+    joined = rows.join(spans, "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_sd_text", "_sd_spans")]
     schema = ", ".join([*kept, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "_sd_kept string"])
     out = joined.mapInArrow(_clean(span, keep_text), schema)
