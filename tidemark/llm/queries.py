@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, line_dedup, packing, sharding, shingle_join, suffix_dedup, toxicity
+from tidemark.llm import ann, html_extract, line_dedup, packing, sharding, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
@@ -43,6 +43,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_suffix_array": op3_suffix_array,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
