@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html_extract, line_dedup, packing, sharding, shingle_join, suffix_dedup, toxicity
+from tidemark.llm import ann, html_extract, line_dedup, packing, pieces, sharding, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
@@ -49,6 +49,14 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every conversation turn, and the text they decode to."""
+    pieces_of = pieces.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    back = pieces.decode(pieces.encode(turns, pieces_of), pieces_of)
+    return back.select("conv_id", "turn", F.size("ids").alias("n_ids"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -70,6 +78,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
