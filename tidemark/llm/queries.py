@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html_extract, line_dedup, packing, pieces, sharding, shingle_join, suffix_dedup, toxicity
+from tidemark.llm import ann, html_extract, image_copies, line_dedup, packing, pieces, sharding, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
@@ -33,6 +36,42 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def _render(vectors: np.ndarray, side: int = 96) -> np.ndarray:
+    """Grey pictures whose 8 x 8 waves have the vectors' components as amplitudes."""
+    at = (np.arange(side) + 0.5) / side
+    waves = np.array([np.cos(np.pi * (2 * k + 1) * at + k) for k in range(8)])
+    grey = np.einsum("nij,ih,jw->nhw", vectors.reshape(-1, 8, 8), waves, waves, optimize=True)
+    low, high = grey.min(axis=(1, 2), keepdims=True), grey.max(axis=(1, 2), keepdims=True)
+    return np.rint((grey - low) / np.maximum(high - low, 1e-9) * 255).astype(np.uint8)
+
+
+def media_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for every embedding. Ids ending in 3 and 7 show the picture of the id before: one cropped, one turned and darkened."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").alias("image_id"), "embedding")
+    edit = F.col("image_id") % 10
+    shown = vectors.withColumn("shown", F.when(edit.isin(3, 7), F.col("image_id") - 1).otherwise(F.col("image_id")))
+    source = vectors.select(F.col("image_id").alias("shown"), F.col("embedding").alias("drawn"))
+    rows = shown.drop("embedding").join(source, "shown").select("image_id", "drawn")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            media = []
+            for name, grey in zip(batch["image_id"], _render(np.stack(batch["drawn"]).astype(np.float64)), strict=True) if len(batch) else ():
+                if name % 10 == 3:
+                    grey = grey[9:, 14:]
+                elif name % 10 == 7:
+                    grey = (np.rot90(grey) * 0.85 + 12).astype(np.uint8)
+                media.append({"width": grey.shape[1], "height": grey.shape[0], "pixels": grey.tobytes()})
+            yield pd.DataFrame({"image_id": batch["image_id"], "media": media})
+
+    return rows.mapInPandas(draw, "image_id long, media struct<width:int,height:int,pixels:binary>")
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copied pictures among those drawn from all embeddings."""
+    return image_copies.copies(media_of_embeddings(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -75,6 +114,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_shingle_join": op2_shingle_join,
     "op3_suffix_array": op3_suffix_array,
+    "op4_image_copies": op4_image_copies,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_nearest_neighbours": op7_nearest_neighbours,
