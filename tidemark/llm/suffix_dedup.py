@@ -41,8 +41,6 @@ HOT_STRETCHES = 4096
 #: Stretches that a bucket sorts at once, and bytes of them in a bucket.
 SORTED_AT_ONCE = 20_000
 BUCKET_STRETCHES = 40_000
-#: Per-document lists with up to this many entries in all, about 20 MB, are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ENTRIES = 250_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xD6E8FEB86659FD93
@@ -270,13 +268,6 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
-def _bounded(lists: DataFrame, column: str) -> DataFrame:
-    """``lists`` written out, and marked for broadcast if they are small."""
-    lists = materialize(lists, "lists")
-    entries = lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
-    return F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists
-
-
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("spans")
@@ -297,7 +288,8 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     """
     docs = docs.select(F.col(row).cast("long").alias("row"), F.encode(F.col(text), "UTF-8").alias("text"))
     all_stretches = docs.mapInArrow(_find_stretches(span, gram), _ddl(_STRETCH))
-    shared = all_stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+    # written out, so that the join's partitions of a common gram can be split
+    shared = materialize(all_stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
     found = materialize(all_stretches.join(shared, "key"), "stretches")
     kinds = materialize(found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")), "kinds")
     copied = found.join(kinds.where(F.col("n") > 1).select("key", "whole"), ["key", "whole"]).select("row", *_place_of("at", span))
@@ -309,11 +301,11 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
 
     top = mixed.agg(F.max("kinds"), F.sum("kinds")).first()
     buckets = max(1, int((top[1] or 0) // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    snippets = docs.join(_bounded(listed(wanted.where(F.col("kinds") <= hot)), "wanted"), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
+    snippets = docs.join(listed(wanted.where(F.col("kinds") <= hot)), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
     sorted_in = snippets.repartitionByRange(buckets, "lead", "key").sortWithinPartitions("lead", "key")
     places = [copied, sorted_in.mapInArrow(_sort_bucket(span), _ddl(_PLACE))]
     if (top[0] or 0) > hot:
-        prints = materialize(docs.join(_bounded(listed(wanted.where(F.col("kinds") > hot)), "wanted"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
+        prints = materialize(docs.join(listed(wanted.where(F.col("kinds") > hot)), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
         places.append(prints.join(twice, ["p", "q"]).select("row", "start", (F.col("start") + span).alias("stop")))
     spans = places[0]
@@ -369,7 +361,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # rows alike in key and text have the same repeats, so they may share a number
     rows = docs.drop(*added).withColumn("_sd_row", F.xxhash64(F.col(id_col).cast("string"), text)).withColumn(text_col, text)
-    spans = _bounded(repeated_spans(rows, "_sd_row", text_col, span, hot=hot).withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"}), "_sd_spans")
+    spans = materialize(repeated_spans(rows, "_sd_row", text_col, span, hot=hot), "spans").withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
     joined = rows.join(spans, "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_sd_text", "_sd_spans")]
     schema = ", ".join([*kept, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "_sd_kept string"])
