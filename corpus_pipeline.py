@@ -2,18 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, packing, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import materialize, table
 
+#: Documents with at least this score are rejected.
+TOXIC = 0.5
+
+
+def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``documents`` with ``n_chars`` brought up to date."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; null and empty texts stay."""
+    lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(docs).select(docs.columns)
+    """A source's boilerplate lines go; every document stays."""
+    return _retexted(line_dedup.drop_boilerplate(docs), docs.columns)
+
+
+def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, similarity 0.8) the one with the least doc_id stays; texts without words and null ids stay."""
+    classes = materialize(shingle_join.classes(docs), "classes")
+    others = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", shingle_join.row_number_of(F.col("doc_id"), F.col("text"))).join(others, "_row", "left_anti").select(docs.columns)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes and more that recur go from all their places; every document stays."""
+    return _retexted(suffix_dedup.drop_repeats(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 4096 ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("line_dedup", line_dedup_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("shingle_join", shingle_join_stage),
+    ("suffix_array", suffix_dedup_stage),
+    ("packing", packing_stage),
+]
 
+#: Scoring, shingle classes and tokenizers are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -38,8 +38,6 @@ FREQUENT, FREQUENT_KEPT = 64, 200_000
 #: What one task reports of its own frequent shingles.
 LOCAL_MIN, LOCAL_KEPT = 8, 8192
 LEAF = 8
-#: Row lists up to this size are broadcast, beyond it joined by shuffle.
-BROADCAST_ROWS = 400_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -140,8 +138,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def bitmap(ids: np.ndarray) -> bytes:
-    """One bit a shingle among at least twice as many; wider ones fold onto narrower ones."""
-    width = max(64, 1 << (2 * len(ids) - 1).bit_length())
+    """One bit a shingle among at least four times as many; wider ones fold onto narrower ones."""
+    width = max(64, 1 << (4 * len(ids) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[((ids & _U((1 << 50) - 1)) & _U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -281,9 +279,9 @@ def _match_buckets(threshold: tuple[int, int]) -> Callable:
     return match
 
 
-def _bounded(df: DataFrame, name: str) -> DataFrame:
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def row_number_of(key: Column, text: Column) -> Column:
+    """One number for rows alike in key and text; a null text counts as empty."""
+    return F.xxhash64(key.cast("string"), F.coalesce(text.cast("string"), F.lit("")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -296,7 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     in id and text. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
+    rows = docs.select(row_number_of(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
     num, den = threshold
     seeds = _mix(np.arange(1, BANDS * (3 if num * 20 >= 17 * den else 2) + 1, dtype=_U) * _U(0x632BE59BD9B4E019)).reshape(BANDS, -1)
     frequent = frequent_shingles(rows, words)
@@ -307,19 +305,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     # 1. pairs with the most central node of each band
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1)
+    crowds = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1), "crowds")
     met = materialize(banded.join(crowds, "band"), "bands")
     central = met.groupBy("node").agg(F.sum("crowd").alias("weight"))
-    leaders = met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
+    leaders = materialize(met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("leader")), "leaders")
     stars = met.join(leaders, "band").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = materialize(_verified(stars, nodes, only_text, words, frequent, threshold), "links")
     labels = materialize(components(links), "labels")
 
     # 2. prefix shingles shared by nodes of different classes
     prefixes = only_text.mapInArrow(_tokens(words, frequent, threshold), _ddl(_TOKEN))
-    shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("token")
+    # written out, so that the join's partitions of a common shingle can be split
+    shared = materialize(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("token"), "shared")
     labelled = materialize(prefixes.join(shared, "token").distinct().join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")), "prefixes")
-    several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("token")
+    # shingles with the same nodes lead to the same pairs: one of them is enough
+    group = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"), F.min("node").alias("first"))
+    several = materialize(group.where(F.col("low") != F.col("high")).groupBy("n", "nodes", "first").agg(F.min("token").alias("token")).select("token"), "several")
     size = F.floor(F.ln("n") / F.lit(math.log(den / num))).cast("int")
     meeting = labelled.join(several, "token").join(nodes.select("node", "n", "bitmap"), "node")
     # each node in the bucket of its size, and as a guest in the next
@@ -339,7 +340,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     num, den = threshold
     pairs = materialize(pairs, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("row")
-    sets = materialize(texts.join(_bounded(involved, "involved"), "row").dropDuplicates(["row"]).mapInArrow(_sets(words, frequent), "node long, ids array<long>"), "sets")
+    sets = materialize(texts.join(involved, "row").dropDuplicates(["row"]).mapInArrow(_sets(words, frequent), "node long, ids array<long>"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), sets.select(F.col("node").alias("b"), F.col("ids").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
