@@ -1,6 +1,6 @@
 """All registered queries: importing a module registers its own."""
 
-from tidemark.plans import series_queries  # noqa: F401
+from tidemark.plans import series_queries, signal_queries  # noqa: F401
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
