@@ -6,7 +6,7 @@ are sorted, and still no repeat is lost:
 1. Every ``span``-byte window has an anchor, the ``GRAM``-byte gram in it with the least hash
    (leftmost of equals). Equal windows have their anchors at the same place, so a window can
    only recur among windows whose anchor is the same gram. Neighbouring windows share an
-   anchor; a maximal run of them is a *stretch*, about one for 70 bytes.
+   anchor; a maximal run of them is a *stretch*, about one for 85 bytes.
 2. Stretches whose gram occurs once are dropped (hash count, combined before the shuffle).
 3. Stretches with equal content recur as a whole: all their windows are repeats. One of each
    kind goes on, and only where its gram has stretches of different content.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import materialize
 
 SPAN = 200
-GRAM = 64
+GRAM = 32
 #: Windows handled at once; the low bits of a hash hold a window's place among them.
 CHUNK_BITS = 20
 #: Different stretches of one gram that a bucket may sort.
@@ -167,7 +167,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 _STRETCH = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 _SNIPPET = pa.schema([("lead", pa.binary()), ("key", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("alone", pa.bool_()), ("content", pa.binary())])
-_PLACE = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_PLACE = pa.schema([("row", pa.int64()), ("span", pa.int64())])  # start << 16, and the length
 _PRINT = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
 #: ``at`` of a stretch: its anchor, and how far its first and last window start before it.
 _AT = (16, 8, 0xFF)
@@ -217,14 +217,14 @@ def _sort_bucket(span: int) -> Callable:
         first, last = _runs(found & t["alone"].to_numpy()[of])
         begin = np.cumsum(windows) - windows
         # a run may go on into the next stretch of another document: cut it there
-        rows, starts, stops = [], [], []
-        for f, e in zip(first, last, strict=True):
+        rows, spans = [], []
+        for f, e in zip(first.tolist(), last.tolist(), strict=True):
             while f <= e:
                 i = of[f]
                 g = min(e, begin[i] + windows[i] - 1)
-                rows.append(i), starts.append(lo[i] + f - begin[i]), stops.append(lo[i] + g - begin[i] + span)
+                rows.append(i), spans.append((lo[i] + f - begin[i]) << 16 | (g - f + span))
                 f = g + 1
-        return _batch(_PLACE, t["row"].to_numpy()[np.array(rows, dtype=np.int64)], np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64))
+        return _batch(_PLACE, t["row"].to_numpy()[np.array(rows, dtype=np.int64)], np.array(spans, dtype=np.int64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -271,8 +271,8 @@ def _ddl(schema: pa.Schema) -> str:
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("spans")
-        places = lists.flatten()
-        both = np.stack([places.field("start").to_numpy(), places.field("stop").to_numpy()], axis=1)
+        packed = lists.flatten().to_numpy()
+        both = np.stack([packed >> 16, (packed >> 16) + (packed & 0xFFFF)], axis=1)
         at = np.cumsum([0, *lists.value_lengths().to_pylist()])
         merged = [merge(both[s:e]) for s, e in zip(at, at[1:], strict=False)]
         ends = np.cumsum([0, *map(len, merged)])
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     shared = materialize(all_stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
     found = materialize(all_stretches.join(shared, "key"), "stretches")
     kinds = materialize(found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")), "kinds")
-    copied = found.join(kinds.where(F.col("n") > 1).select("key", "whole"), ["key", "whole"]).select("row", *_place_of("at", span))
+    copied = found.join(kinds.where(F.col("n") > 1).select("key", "whole"), ["key", "whole"]).select("row", _span_of("at", span))
     mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     wanted = kinds.join(mixed, "key").select(F.col("one.row").alias("row"), "key", "n", F.col("one.at").alias("at"), "kinds")
 
@@ -307,17 +307,18 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     if (top[0] or 0) > hot:
         prints = materialize(docs.join(listed(wanted.where(F.col("kinds") > hot)), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
-        places.append(prints.join(twice, ["p", "q"]).select("row", "start", (F.col("start") + span).alias("stop")))
+        places.append(prints.join(twice, ["p", "q"]).select("row", F.shiftleft("start", 16).bitwiseOR(F.lit(span)).alias("span")))
     spans = places[0]
     for more in places[1:]:
         spans = spans.unionByName(more)
-    return spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>")
+    return spans.groupBy("row").agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>")
 
 
-def _place_of(at: str, span: int) -> list[Column]:
+def _span_of(at: str, span: int) -> Column:
     anchor = F.shiftright(F.col(at), _AT[0])
-    first = anchor - F.shiftright(F.col(at), _AT[1]).bitwiseAND(F.lit(_AT[2]))
-    return [first.alias("start"), (anchor - F.col(at).bitwiseAND(F.lit(_AT[2])) + span).alias("stop")]
+    before = F.shiftright(F.col(at), _AT[1]).bitwiseAND(F.lit(_AT[2]))
+    length = before - F.col(at).bitwiseAND(F.lit(_AT[2])) + span
+    return F.shiftleft(anchor - before, 16).bitwiseOR(length).alias("span")
 
 
 def _clean(span: int, whole_characters: bool) -> Callable:
