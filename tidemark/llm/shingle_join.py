@@ -92,7 +92,7 @@ def ordered_sets(texts: list[np.ndarray], words: int, frequent: tuple[np.ndarray
     return np.split(ids[new], np.searchsorted(doc[new], np.arange(1, len(texts))))
 
 
-def _in_chunks(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+def _in_chunks(batches: Iterator[pa.RecordBatch], size: int = 250_000) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
     """The other columns' values, and the texts, of some rows at a time."""
     for batch in batches:
         rows, texts, held = [], [], 0
@@ -122,7 +122,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         for _, texts in _in_chunks(batches):
             held.append(shingle_ids(texts, words)[1])
             waiting += len(held[-1])
-            if waiting > 2_000_000:
+            if waiting > 500_000:
                 ids, n = fold()
                 held, waiting = [], 0
         ids, n = fold()

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ CHUNK_BITS = 20
 #: Different stretches of one gram that a bucket may sort.
 HOT_STRETCHES = 4096
 #: Stretches that a bucket sorts at once, and bytes of them in a bucket.
-SORTED_AT_ONCE = 20_000
+SORTED_AT_ONCE = 6_000
 BUCKET_STRETCHES = 40_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -48,15 +47,19 @@ _MASK = (1 << 64) - 1
 _U = np.uint64
 
 
-@lru_cache(maxsize=4)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, dtype=_U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=_U))
-    return out[0], out[1]
+    """At least ``n`` powers of ``base`` and of its inverse modulo 2**64; one table a base, grown as needed."""
+    if base not in _TABLES or len(_TABLES[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(n, b, dtype=_U)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=_U))
+        _TABLES[base] = (out[0], out[1])
+    return _TABLES[base]
 
 
 def _prefix(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
