@@ -130,6 +130,20 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, nodes: np.ndarray, vectors
     return _batch(_HIT, np.repeat(query_ids, top.shape[1]), nodes[top].ravel(), np.take_along_axis(score, top, axis=1).ravel())
 
 
+def _compact(hits: list[pa.RecordBatch], near: int) -> pa.RecordBatch:
+    """The ``near`` best nodes of each query among all of a task's hits."""
+    t = pa.Table.from_batches(hits)
+    query, node, score = (t[n].to_numpy() for n in ("query_id", "node", "score"))
+    order = np.lexsort((node, -score, query))
+    query, node, score = query[order], node[order], score[order]
+    new = np.ones(len(query), dtype=bool)
+    new[1:] = (query[1:] != query[:-1]) | (node[1:] != node[:-1])  # a node met in several buckets has one score
+    query, node, score = query[new], node[new], score[new]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return _batch(_HIT, query[place < near], node[place < near], score[place < near])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, near: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``near`` rows of highest cosine found, itself left out.
 
@@ -233,6 +247,17 @@ def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> Data
                 yield _batch(_ROW, np.array(t_of), bucket_ids(np.array(wanted)), np.ones(len(wanted), dtype=bool), batch.column("id").take(same), batch.column("vector").take(same))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: list[pa.RecordBatch] = []
+        for out in meetings(batches):
+            hits.append(out)
+            if sum(h.num_rows for h in hits) > 400_000:
+                hits = [_compact(hits, near + 1)]
+                if hits[0].num_rows > 200_000:
+                    yield hits.pop()
+        if hits:
+            yield _compact(hits, near + 1)
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compare() -> pa.RecordBatch | None:
