@@ -10,6 +10,7 @@ from tidemark.operators import price_features as pf
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
+from tidemark.sources.storage import stored
 
 c = F.col
 
@@ -33,7 +34,7 @@ LEDGER = """
 blocks AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS hash, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS time FROM orders GROUP BY 1, 2),
 txs AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS block_hash, o_orderkey AS hash FROM orders),
 outs AS (SELECT l_orderkey AS tx_hash, l_linenumber AS count, any_value(l_extendedprice) AS amount FROM lineitem GROUP BY 1, 2),
-totals AS (SELECT o.tx_hash, b.time, sum(o.amount) AS amount FROM outs o JOIN txs t ON t.hash = o.tx_hash JOIN blocks b ON b.hash = t.block_hash GROUP BY 1, 2)"""
+txsum AS (SELECT o.tx_hash, b.time, sum(o.amount) AS amount FROM outs o JOIN txs t ON t.hash = o.tx_hash JOIN blocks b ON b.hash = t.block_hash GROUP BY 1, 2)"""
 
 
 def _amounts(unit: str) -> None:
@@ -41,7 +42,7 @@ def _amounts(unit: str) -> None:
         return chain.amounts_by_period(*ledger(spark, sf_dir), unit=unit).select(F.to_date("period").alias("period"), F.round("amount", 2).alias("amount"))
 
     run.__name__ = f"chain_amount_by_{unit}"
-    query(f"WITH {LEDGER} SELECT CAST(date_trunc('{unit}', time) AS DATE) AS period, round(sum(amount), 2) AS amount FROM totals GROUP BY 1")(run)
+    query(f"WITH {LEDGER} SELECT CAST(date_trunc('{unit}', time) AS DATE) AS period, round(sum(amount), 2) AS amount FROM txsum GROUP BY 1")(run)
 
 
 for _unit in ("day", "week", "month", "year"):
@@ -53,7 +54,7 @@ COUNTS = ", ".join(
 )
 
 
-@query(f"WITH {LEDGER} SELECT CAST(time AS DATE) AS date, {COUNTS} FROM totals GROUP BY 1")
+@query(f"WITH {LEDGER} SELECT CAST(time AS DATE) AS date, {COUNTS} FROM txsum GROUP BY 1")
 def chain_size_buckets(spark, sf_dir):
     return chain.bucket_counts(chain.tx_totals(*ledger(spark, sf_dir)), LINE_BOUNDS)
 
@@ -78,7 +79,7 @@ def chain_frame(spark, sf_dir) -> DataFrame:
 
 
 CHAIN = f"""{LEDGER},
-cday AS (SELECT 'chain' AS symbol, CAST(time AS DATE) AS date, round(sum(amount), 2) AS amount, {COUNTS} FROM totals GROUP BY 1, 2),
+cday AS (SELECT 'chain' AS symbol, CAST(time AS DATE) AS date, round(sum(amount), 2) AS amount, {COUNTS} FROM txsum GROUP BY 1, 2),
 c0 AS (SELECT symbol, date, amount, CAST(b7_rest AS DOUBLE) AS whale, CAST(b6_lt_1000 AS DOUBLE) AS mid,
        CAST(b0_lt_0_001 + b1_lt_0_01 + b2_lt_0_1 + b3_lt_1 + b4_lt_10 + b5_lt_100 AS DOUBLE) AS small FROM cday),
 c1 AS (SELECT *, CASE WHEN amount > 0 THEN ln(amount) END AS alog, CASE WHEN whale + mid + small > 0 THEN whale / (whale + mid + small) END AS share,
@@ -191,7 +192,7 @@ def context(features: DataFrame) -> DataFrame:
 
 def feature_store(spark, sf_dir) -> DataFrame:
     """Price features as a feature store keeps them, with eight decimals."""
-    return rounded_doubles(pf.price_features(src.order_bars(spark, sf_dir)), 8)
+    return stored(rounded_doubles(pf.price_features(stored(src.order_bars(spark, sf_dir), "bars")), 8), "features")
 
 
 def context_frame(spark, sf_dir) -> DataFrame:

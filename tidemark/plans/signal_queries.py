@@ -11,6 +11,7 @@ from tidemark.plans import series_queries as sq
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
+from tidemark.sources.storage import stored
 
 c = F.col
 r = sf.r
@@ -18,11 +19,12 @@ r = sf.r
 
 def dataset(spark, sf_dir) -> DataFrame:
     """Features, regime context, live swing state and chain features of each bar, with eight decimals as stored."""
-    bars = src.order_bars(spark, sf_dir)
+    bars = stored(src.order_bars(spark, sf_dir), "bars")
     live = rounded_doubles(swings.live_state(swings.with_atr(bars)).drop("atr_pct", "last_confirmed_pivot_date", "last_confirmed_pivot_price"), 8)
     chain = rounded_doubles(sq.chain_frame(spark, sf_dir).select("date", "ONCHAIN_VOL_Z", "ONCHAIN_DOM_Z", "ONCHAIN_WHALE_SHARE_Z"), 8)
     ewma = rounded_doubles(pf.ewma_vol(bars), 8)
-    return sq.context(sq.feature_store(spark, sf_dir)).join(ewma, ["symbol", "date"]).join(live, ["symbol", "date"], "left").join(chain, "date", "left")
+    data = sq.context(sq.feature_store(spark, sf_dir)).join(ewma, ["symbol", "date"]).join(live, ["symbol", "date"], "left").join(chain, "date", "left")
+    return stored(data, "dataset")
 
 
 _LIVE = f"""
@@ -72,9 +74,9 @@ def exposure_aggressive(spark, sf_dir):
 
 def scored(data: DataFrame) -> DataFrame:
     """Buy and sell phase, exhaustion and fixed-weight timing; the phase stands in for a fitted zone model."""
-    phase = {"buy_phase": F.round(1 - c("band_pos"), 6), "sell_phase": F.round(c("band_pos"), 6)}
-    x = data.withColumns(phase | {f"{s}_exhaustion": F.round(scores.exhaustion(s), 6) for s in ("buy", "sell")} | {f"{s}_analog": F.lit(None).cast("double") for s in ("buy", "sell")} | {"buy_exhaustion_weighted": F.round(scores.buy_exhaustion_weighted(), 6)})
-    x = x.withColumns({f"{s}_timing": F.round(scores.timing(s), 6) for s in ("buy", "sell")})
+    phase = {"buy_phase": 1 - c("band_pos"), "sell_phase": c("band_pos")}
+    x = data.withColumns(phase | {f"{s}_exhaustion": scores.exhaustion(s) for s in ("buy", "sell")} | {f"{s}_analog": F.lit(None).cast("double") for s in ("buy", "sell")} | {"buy_exhaustion_weighted": scores.buy_exhaustion_weighted()})
+    x = x.withColumns({f"{s}_timing": scores.timing(s) for s in ("buy", "sell")})
     mixed = scores.hybrids(c("buy_phase"), c("buy_timing"), c("buy_exhaustion_weighted"))
     return x.withColumns(mixed | {"consensus": scores.consensus(c("buy_phase"), c("buy_timing"), c("buy_exhaustion"), c("buy_exhaustion_weighted"))})
 
@@ -103,27 +105,27 @@ _WEIGHTED = _cl(
     + 0.08 * (0.55 * {_cl(_k("P_REBOUND_10D_CAL"))} + 0.25 * (1 - {_cl(_k("P_SHOCK_HMM"))}) + 0.2 * {_cl(_k("P_CORRECTION_10D_CAL"))})
     + 0.04 * (0.45 * {_third("ONCHAIN_WHALE_SHARE_Z")} + 0.35 * {_third("ONCHAIN_DOM_Z")} + 0.2 * {_third("ONCHAIN_VOL_Z")})"""
 )
-_timing = lambda s: f"round({_cl(f'CASE WHEN {s}_phase IS NULL THEN {s}_exhaustion * 0.25 / 0.25 ELSE ({s}_phase * 0.45 + {s}_exhaustion * 0.25) / 0.7 END')}, 6)"
+_timing = lambda s: f"{_cl(f'CASE WHEN {s}_phase IS NULL THEN {s}_exhaustion * 0.25 / 0.25 ELSE ({s}_phase * 0.45 + {s}_exhaustion * 0.25) / 0.7 END')}"
 SCORES = f"""
-q0 AS (SELECT *, round(1 - band_pos, 6) AS buy_phase, round(band_pos, 6) AS sell_phase, round({_exhaustion("buy")}, 6) AS buy_exhaustion, round({_exhaustion("sell")}, 6) AS sell_exhaustion, round({_WEIGHTED}, 6) AS buy_exhaustion_weighted FROM ds),
+q0 AS (SELECT *, 1 - band_pos AS buy_phase, band_pos AS sell_phase, {_exhaustion("buy")} AS buy_exhaustion, {_exhaustion("sell")} AS sell_exhaustion, {_WEIGHTED} AS buy_exhaustion_weighted FROM ds),
 q1 AS (SELECT *, {_timing("buy")} AS buy_timing, {_timing("sell")} AS sell_timing FROM q0)"""
 _SCORE_COLUMNS = ["buy_phase", "sell_phase", "buy_exhaustion", "sell_exhaustion", "buy_exhaustion_weighted", "buy_timing", "sell_timing"]
 _null_phase = lambda e: f"CASE WHEN buy_phase IS NOT NULL THEN {_cl(e)} END"
 
 
 @query(
-    f"""WITH RECURSIVE {DATASET},{SCORES} SELECT symbol, date, {", ".join(f"{n} + 0.0 AS {n}" for n in _SCORE_COLUMNS)}, {r(_null_phase("0.4 * buy_phase + 0.3 * buy_timing + 0.3 * buy_exhaustion_weighted"))} AS hybrid_balanced,
-    {r(_null_phase("0.25 * buy_phase + 0.35 * buy_timing + 0.4 * buy_exhaustion_weighted"))} AS hybrid_rank_local, {r(_cl("buy_timing * (0.35 + 0.65 * buy_exhaustion_weighted)"))} AS hybrid_two_stage,
-    {r(_null_phase("buy_phase * greatest(buy_timing, buy_exhaustion, buy_exhaustion_weighted)"))} AS consensus FROM q1"""
+    f"""WITH RECURSIVE {DATASET},{SCORES} SELECT symbol, date, {", ".join(f"{r(n, 8)} AS {n}" for n in _SCORE_COLUMNS)}, {r(_null_phase("0.4 * buy_phase + 0.3 * buy_timing + 0.3 * buy_exhaustion_weighted"), 8)} AS hybrid_balanced,
+    {r(_null_phase("0.25 * buy_phase + 0.35 * buy_timing + 0.4 * buy_exhaustion_weighted"), 8)} AS hybrid_rank_local, {r(_cl("buy_timing * (0.35 + 0.65 * buy_exhaustion_weighted)"), 8)} AS hybrid_two_stage,
+    {r(_null_phase("buy_phase * greatest(buy_timing, buy_exhaustion, buy_exhaustion_weighted)"), 8)} AS consensus FROM q1"""
 )
 def swing_scores(spark, sf_dir):
-    return rounded_doubles(scored(dataset(spark, sf_dir)).select("symbol", "date", *_SCORE_COLUMNS, "hybrid_balanced", "hybrid_rank_local", "hybrid_two_stage", "consensus"))
+    return rounded_doubles(scored(dataset(spark, sf_dir)).select("symbol", "date", *_SCORE_COLUMNS, "hybrid_balanced", "hybrid_rank_local", "hybrid_two_stage", "consensus"), 8)
 
 
 def decided(spark, sf_dir) -> DataFrame:
     rows = scored(dataset(spark, sf_dir)).where(c("buy_phase").isNotNull()).select("symbol", "date", c("buy_timing").alias("buy"), c("sell_timing").alias("sell"))
     split = metrics.chronological_split(rows)
-    return rounded_doubles(scores.decisions(split, c("split") != "test").drop("split"))
+    return rounded_doubles(scores.decisions(split, c("split") != "test").drop("split"), 8)
 
 
 def signal_chain(spark, sf_dir) -> DataFrame:
@@ -141,9 +143,9 @@ DECISIONS = f"""
 d0 AS (SELECT symbol, date, buy_timing AS buy, sell_timing AS sell, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n FROM q1 WHERE buy_phase IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 dc AS (SELECT symbol, quantile_cont(buy, [0.6, 0.8]) AS bq, quantile_cont(sell, [0.6, 0.8]) AS sq FROM d0 WHERE i <= floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) GROUP BY 1),
 d1 AS (SELECT d0.symbol, date, buy, sell, buy - sell AS raw_spread, bq[1] AS bm, bq[2] AS bh, sq[1] AS sm, sq[2] AS sh FROM d0 JOIN dc USING (symbol)),
-d2 AS (SELECT symbol, date, buy, sell, {r("raw_spread")} AS spread,
+d2 AS (SELECT symbol, date, {r("buy", 8)} AS buy, {r("sell", 8)} AS sell, {r("raw_spread", 8)} AS spread,
   CASE WHEN buy >= bh AND sell < sm AND raw_spread >= 0.1 THEN 'BUY_SETUP' WHEN sell >= sh AND buy < bm AND raw_spread <= -0.1 THEN 'SELL_SETUP' WHEN buy >= bm AND sell >= sm THEN 'CONFLICT_OVERLAP' WHEN buy < bm AND sell < sm THEN 'NEUTRAL_NO_EDGE' ELSE 'TRANSITION_UNCLEAR' END AS decision_state,
-  {r(_cl("abs(raw_spread) * (0.5 + 0.5 * greatest(buy, sell))"))} AS clarity, {r(_cl("least(buy, sell) * greatest(buy, sell)"))} AS conflict, {r("buy * (1 - sell)")} AS buy_dominance, {r("sell * (1 - buy)")} AS sell_dominance,
+  {r(_cl("abs(raw_spread) * (0.5 + 0.5 * greatest(buy, sell))"), 8)} AS clarity, {r(_cl("least(buy, sell) * greatest(buy, sell)"), 8)} AS conflict, {r("buy * (1 - sell)", 8)} AS buy_dominance, {r("sell * (1 - buy)", 8)} AS sell_dominance,
   CASE WHEN buy >= bh THEN 'high' WHEN buy >= bm THEN 'moderate' ELSE 'low' END AS buy_band, CASE WHEN sell >= sh THEN 'high' WHEN sell >= sm THEN 'moderate' ELSE 'low' END AS sell_band FROM d1),
 d3 AS (SELECT *, CASE WHEN buy_band = 'high' AND sell_band = 'high' THEN 'both_high' WHEN buy_band = 'high' THEN 'buy_high' WHEN sell_band = 'high' THEN 'sell_high' WHEN buy_band = 'low' AND sell_band = 'low' THEN 'both_low' ELSE 'mixed_moderate' END AS interaction_bucket FROM d2),{_aged("d3", "dec", "decision_state", "decision")}"""
 PLAYBOOK = """
@@ -243,8 +245,8 @@ _VECTOR = ", ".join([f"CAST(lag({x}, {k}) OVER w AS DOUBLE)" if k else f"CAST({x
 @query(
     f"""WITH RECURSIVE {DATASET},
     a0 AS (SELECT symbol, date, row_number() OVER w AS i, coalesce(live_swing_direction, 'unknown') AS way, [{_VECTOR}] AS v, max(high) OVER f >= close * 1.05 AS h5, max(high) OVER f >= close * 1.03 AS h3, close, list(high) OVER f AS hs FROM ds WINDOW w AS (PARTITION BY symbol ORDER BY date), f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
-    a1 AS (SELECT *, list_position(list_transform(hs, lambda h: h >= close * 1.05), true) AS d, sqrt(list_dot_product(v, v)) AS nv FROM a0 WHERE len(list_filter(v, lambda x: x IS NULL)) = 0),
-    pr AS (SELECT a.symbol, a.date, b.i AS bi, CAST(b.h5 AS INT) AS h5, CAST(b.h3 AS INT) AS h3, nullif(b.d, 0) AS d, list_dot_product(a.v, b.v) / (a.nv * b.nv + 1e-12) AS s FROM a1 a JOIN a1 b ON b.symbol = a.symbol AND b.i < a.i AND b.way = 'down' AND b.h5 IS NOT NULL AND b.nv > 0 WHERE a.nv > 0),
+    a1 AS (SELECT symbol, date, i, way, h5, h3, list_position(list_transform(hs, lambda h: h >= close * 1.05), true) AS d, CASE WHEN len(list_filter(v, lambda x: x IS NULL)) = 0 THEN v END AS v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM a0),
+    pr AS (SELECT a.symbol, a.date, b.i AS bi, CAST(b.h5 AS INT) AS h5, CAST(b.h3 AS INT) AS h3, nullif(b.d, 0) AS d, list_dot_product(a.v, b.v) / (a.nv * b.nv + 1e-12) AS s FROM a1 a JOIN a1 b ON b.symbol = a.symbol AND b.i < a.i AND b.way = 'down' AND b.h5 IS NOT NULL AND b.nv > 0 AND b.v IS NOT NULL WHERE a.nv > 0 AND a.v IS NOT NULL),
     tk AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY s DESC, bi DESC) AS rk, max(s) OVER (PARTITION BY symbol, date) AS ms FROM pr), wt AS (SELECT *, exp((s - ms) / 0.15) AS w FROM tk WHERE rk <= 40),
     md AS (SELECT symbol, date, min(d) AS m FROM (SELECT symbol, date, d, sum(w) OVER (PARTITION BY symbol, date ORDER BY d RANGE UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY symbol, date) AS tot FROM wt WHERE d IS NOT NULL) WHERE run >= 0.5 * tot * (1 - 1e-12) GROUP BY 1, 2)
     SELECT wt.symbol, wt.date, {r("sum(w * h5) / sum(w)", 5)} AS analog_hit_5, {r("sum(w * h3) / sum(w)", 5)} AS analog_hit_3, CAST(any_value(md.m) AS DOUBLE) AS analog_days, CAST(count(*) AS INT) AS matches FROM wt LEFT JOIN md ON md.symbol = wt.symbol AND md.date = wt.date GROUP BY 1, 2"""
@@ -436,16 +438,16 @@ def in_swings(spark, sf_dir) -> DataFrame:
 IN_SWINGS = f"{JUDGED}, js AS (SELECT ju.*, cont.start_date, round(zd.distance, 6) AS distance FROM ju JOIN cont ON cont.symbol = ju.symbol AND cont.date = ju.date AND cont.direction = 'down' JOIN zd ON zd.symbol = ju.symbol AND zd.date = ju.date)"
 
 
-@query(f"WITH RECURSIVE {IN_SWINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY score DESC, date) AS o FROM js) SELECT symbol, start_date, date, score + 0.0 AS score, distance + 0.0 AS distance FROM o WHERE o = 1")
+@query(f"WITH RECURSIVE {IN_SWINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY score DESC, date) AS o FROM js) SELECT symbol, start_date, date, {r('score')} AS score, distance + 0.0 AS distance FROM o WHERE o = 1")
 def swing_best_row(spark, sf_dir):
     return rounded_doubles(metrics.best_per_swing(in_swings(spark, sf_dir)).select("symbol", "start_date", "date", "score", "distance"))
 
 
-@query(f"WITH RECURSIVE {IN_SWINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY other DESC, date) AS o, count(*) OVER (PARTITION BY symbol, start_date) AS m FROM js), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY score DESC, date) AS q FROM o WHERE o <= ceil(m * 0.4::DOUBLE)) SELECT symbol, start_date, date, score + 0.0 AS score FROM p WHERE q = 1")
+@query(f"WITH RECURSIVE {IN_SWINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY other DESC, date) AS o, count(*) OVER (PARTITION BY symbol, start_date) AS m FROM js), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_date ORDER BY score DESC, date) AS q FROM o WHERE o <= ceil(m * 0.4::DOUBLE)) SELECT symbol, start_date, date, {r('score')} AS score FROM p WHERE q = 1")
 def swing_two_stage_row(spark, sf_dir):
     return rounded_doubles(metrics.two_stage_best(in_swings(spark, sf_dir), "other", "score").select("symbol", "start_date", "date", "score"))
 
 
-@query(f"WITH RECURSIVE {IN_SWINGS}, per AS (SELECT symbol, start_date, max(CAST(score >= 0.6 AS INT)) AS hit, arg_min(distance, date) FILTER (WHERE score >= 0.6) AS at FROM js GROUP BY 1, 2) SELECT symbol, count(*) AS swings, CAST(sum(hit) AS BIGINT) AS captured, {r('avg(at)')} AS mean_first_distance FROM per GROUP BY 1")
+@query(f"WITH RECURSIVE {IN_SWINGS}, per AS (SELECT symbol, start_date, max(CAST(score >= 0.6 AS INT)) AS hit, arg_min(distance, date) FILTER (WHERE score >= 0.6) AS first_at FROM js GROUP BY 1, 2) SELECT symbol, count(*) AS swings, CAST(sum(hit) AS BIGINT) AS captured, {r('avg(first_at)')} AS mean_first_distance FROM per GROUP BY 1")
 def swing_capture(spark, sf_dir):
     return rounded_doubles(metrics.capture(in_swings(spark, sf_dir), c("score") >= 0.6))
