@@ -11,6 +11,12 @@ from tidemark.llm.scratch import materialize, table
 
 #: Documents with at least this score are rejected.
 TOXIC = 0.5
+#: Rows handed to Python at once: documents are long, so that few of them fill a batch.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,17 +26,20 @@ def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; null and empty texts stay."""
+    _small_batches(spark)
     lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A source's boilerplate lines go; every document stays."""
+    _small_batches(spark)
     return _retexted(line_dedup.drop_boilerplate(docs), docs.columns)
 
 
 def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8) the one with the least doc_id stays; texts without words and null ids stay."""
+    _small_batches(spark)
     classes = materialize(shingle_join.classes(docs), "classes")
     others = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("row").alias("_row")).distinct()
     return docs.withColumn("_row", shingle_join.row_number_of(F.col("doc_id"), F.col("text"))).join(others, "_row", "left_anti").select(docs.columns)
@@ -38,11 +47,13 @@ def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that recur go from all their places; every document stays."""
+    _small_batches(spark)
     return _retexted(suffix_dedup.drop_repeats(docs), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 4096 ids."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
