@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 LABELLED_PAGES = 2000
 #: So many kinds of token keep a learned score, the commonest first; others take the default.
 KINDS = 4000
+#: Score of a word under boilerplate. Below 0, so it is left out; small, so an advert between two paragraphs doesn't part them.
+BOILERPLATE = -0.1
 
 # Names from the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -96,7 +98,7 @@ def default_score(kind: str) -> float:
     """Of a kind that no labelled page has shown often enough."""
     if kind[0] == "<":
         return -0.5
-    return -2.0 if kind.endswith("!") else 0.2 if "@a" in kind else 1.0
+    return BOILERPLATE if kind.endswith("!") else 0.2 if "@a" in kind else 1.0
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -163,7 +165,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html", key: Column | None =
     for kind, ins, outs in counts:
         odds = math.log((ins + 0.5) / (outs + 0.5))
         # a kind under boilerplate stays out even where it was nested in the marked element
-        weights[kind] = min(-0.25, max(-3.0, odds)) if kind[0] == "<" else min(-0.5, odds) if kind.endswith("!") else min(1.0, max(-3.0, odds))
+        weights[kind] = min(-0.25, max(-3.0, odds)) if kind[0] == "<" else BOILERPLATE if kind.endswith("!") else min(1.0, max(-3.0, odds))
     return weights
 
 
