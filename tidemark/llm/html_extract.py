@@ -149,7 +149,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html", key: Column | None =
             for page in batch["html"]:
                 for kind, text, _, inside in tokens(page):
                     seen[kind, inside] += len(text.split()) if text else 1
-        yield pd.DataFrame([(k, i, n) for (k, i), n in seen.items() if n], columns=["kind", "inside", "n"])
+        if rows := [(k, i, n) for (k, i), n in seen.items() if n]:
+            yield pd.DataFrame(rows, columns=["kind", "inside", "n"])
 
     counts = (
         marked.select(F.col(html_col).cast("string").alias("html"))
