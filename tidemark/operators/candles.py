@@ -31,7 +31,7 @@ def candle_features(bars: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
 
 def quantile_label(x: Column, edges: Column) -> Column:
     """``Q1``... by sorted distinct edges, upper edge included, the lowest one too."""
-    inside = F.size(F.filter(F.slice(edges, 2, F.size(edges) - 2), lambda e: x > e))
+    inside = F.size(F.filter(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))), lambda e: x > e))
     return F.when(x.isNotNull(), F.concat(F.lit("Q"), (inside + 1).cast("string")))
 
 

@@ -51,7 +51,7 @@ def calibration_table(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> D
     """(keys, bin, n, mean_score, event_rate) over quantile bins of ``score``, equal edges dropped."""
     keys = list(keys)
     edges = rows.groupBy(*keys).agg(F.array_distinct(quantiles(c("score"), [i / bins for i in range(bins + 1)])).alias("e"))
-    inner = F.slice("e", 2, F.size("e") - 2)
+    inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
     placed = rows.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter(inner, lambda e: c("score") > e)))
     return placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg(c("label").cast("double")).alias("event_rate"))
 
