@@ -304,11 +304,11 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
 
     top = mixed.agg(F.max("kinds"), F.sum("kinds")).first()
     buckets = max(1, int((top[1] or 0) // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    snippets = docs.join(listed(wanted.where(F.col("kinds") <= hot)), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
+    snippets = docs.join(listed(wanted.where(F.col("kinds") <= hot)).hint("merge"), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
     sorted_in = snippets.repartitionByRange(buckets, "lead", "key").sortWithinPartitions("lead", "key")
     places = [copied, sorted_in.mapInArrow(_sort_bucket(span), _ddl(_PLACE))]
     if (top[0] or 0) > hot:
-        prints = materialize(docs.join(listed(wanted.where(F.col("kinds") > hot)), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
+        prints = materialize(docs.join(listed(wanted.where(F.col("kinds") > hot)).hint("merge"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
         places.append(prints.join(twice, ["p", "q"]).select("row", F.shiftleft("start", 16).bitwiseOR(F.lit(span)).alias("span")))
     spans = places[0]
@@ -366,7 +366,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows alike in key and text have the same repeats, so they may share a number
     rows = docs.drop(*added).withColumn("_sd_row", F.xxhash64(F.col(id_col).cast("string"), text)).withColumn(text_col, text)
     spans = materialize(repeated_spans(rows, "_sd_row", text_col, span, hot=hot), "spans").withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
-    joined = rows.join(spans, "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
+    joined = rows.join(spans.hint("merge"), "_sd_row", "left")  # the same plan at every size.withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_sd_text", "_sd_spans")]
     schema = ", ".join([*kept, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "_sd_kept string"])
     out = joined.mapInArrow(_clean(span, keep_text), schema)
