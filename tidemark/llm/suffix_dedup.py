@@ -366,7 +366,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # rows alike in key and text have the same repeats, so they may share a number
     rows = docs.drop(*added).withColumn("_sd_row", F.xxhash64(F.col(id_col).cast("string"), text)).withColumn(text_col, text)
     spans = materialize(repeated_spans(rows, "_sd_row", text_col, span, hot=hot), "spans").withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
-    joined = rows.join(spans.hint("merge"), "_sd_row", "left")  # the same plan at every size.withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
+    # merged at every size, so that the plan stays the same
+    joined = rows.join(spans.hint("merge"), "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_sd_text", "_sd_spans")]
     schema = ", ".join([*kept, "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "_sd_kept string"])
     out = joined.mapInArrow(_clean(span, keep_text), schema)
