@@ -200,6 +200,27 @@ def test_pieces_equal_the_library(spark):
         assert r["ids"] == (sp.encode(r["text"]) if r["text"] is not None else None) and r["decoded"] == r["text"]
 
 
+def test_pieces_of_whole_documents(spark, tmp_path):
+    import sentencepiece
+
+    from tidemark.llm import queries
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), np.random.default_rng(8)
+    odd = ["", "  ", " a  b\n\nc ", "naïve ﬁ ① 日本語 \U0001f600 x", "word" * 30 + " " + "ab1" * 40, "\t tab\r\n", "Hello world, hello.", "é" * 60, prose(rng, 20_000), "x" * 5000, None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate([*odd, odd[6], odd[6]])], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 0, "Hi there"), (5, 1, None)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = queries.op8_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(len(odd) + 2)) and sum(r["conv_id"] == 5 for r in got) == 2
+    for r in got:
+        text = [*odd, odd[6], odd[6]][r["doc_id"]] if r["doc_id"] is not None else ["Hi there", None][r["turn"]]
+        assert r["ids"] == (sp.encode(text) if text is not None else None) and r["decoded"] == text and r["same"]
+    table = pieces.piece_table(spark, path)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd[:8] + [None])], "i int, text string")
+    fold = {r["i"]: (r["ids"], r["decoded"]) for r in pieces.decode(pieces.encode(df, table), table).collect()}
+    assert {r["i"]: (r["ids"], r["decoded"]) for r in pieces.transcode(df, table).collect()} == fold
+
+
 def test_viterbi_over_a_unigram_table(spark):
     table = spark.createDataFrame([("▁a", 1, -1.0, "2061"), ("b", 2, -1.0, "62"), ("▁ab", 3, -2.5, "206162"), ("a", 4, -3.0, "61"), ("▁", 5, -2.0, "20"), (None, 6, None, "00")], "piece string, id int, score double, bytes string")
     df = spark.createDataFrame([("ab",)], "text string")

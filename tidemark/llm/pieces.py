@@ -12,19 +12,32 @@ higher-order function ``aggregate`` picks the path:
 
 Everything runs on DataFrame functions, but for units longer than ``LONG`` characters of a
 ``bpe`` table: the fold's cost is quadratic there, and a helper with a heap takes over.
+
+``transcode`` is for whole corpora: it gives the same ids and texts without a shuffle, by the
+same heap over every distinct unit that a worker meets.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 LONG = 48
+#: Units that a worker remembers, and ids handed back at once.
+REMEMBERED = 300_000
+CHUNK_IDS = 250_000
+
+_UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 
 
 def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
@@ -181,3 +194,63 @@ def decode(rows: DataFrame, table: DataFrame, ids_col: str = "ids", text_col: st
     joined = parts.groupBy("_sp_ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bytes", F.lit("")).alias("bytes")))), lambda x: x["bytes"]), "").alias("_sp_hex"))
     whole = F.regexp_replace(F.decode(F.unhex("_sp_hex"), "UTF-8"), "^ ", "")
     return keyed.join(joined, "_sp_ids", "left").withColumn(text_col, F.when(F.col(ids_col).isNotNull(), F.coalesce(whole, F.lit("")))).drop("_sp_ids", "_sp_hex")
+
+
+class _Merger(dict):
+    """Ids of a unit, remembered for repeated units."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_zero: int):
+        super().__init__()
+        self._pieces, self._zero = pieces, byte_zero
+
+    def __missing__(self, unit: str) -> array:
+        ids = array("i", merge_long(unit, self._pieces, self._zero))
+        if len(self) < REMEMBERED and len(unit) < LONG:
+            self[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> array:
+        ids = array("i")
+        if text:
+            for unit in _UNITS.findall(SPACE + text.replace(" ", SPACE)):
+                ids += self[unit]
+        return ids
+
+
+def transcode(rows: DataFrame, table: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``rows`` with the ids of their texts under a ``bpe`` table, and with the text that these ids decode to.
+
+    Equal to ``decode(encode(rows, table), table)``, but for the order of columns. Nothing is
+    shuffled, so neither a hot unit nor a group of copies gathers anywhere.
+    """
+    entries = table.collect()  # as many rows as the model has pieces
+    pieces = {r["piece"]: (r["id"], r["score"]) for r in entries if r["piece"] is not None}
+    raw = {r["id"]: bytes.fromhex(r["bytes"] or "") for r in entries}
+    zero = min((r["id"] for r in entries if r["bytes"] == "00" and r["piece"] is None), default=None)
+    if zero is None:
+        raise ValueError("the piece table has no byte pieces")
+    shared = rows.sparkSession.sparkContext.broadcast((pieces, raw, zero))
+    kept = rows.drop(ids_col, decoded_col).withColumn(text_col, F.col(text_col).cast("string"))
+    names = [*kept.columns, ids_col, decoded_col]  # the frame itself stays out of the function below
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, raw, zero = shared.value
+        merger = _Merger(pieces, zero)
+        for batch in batches:
+            texts, begin = batch.column(text_col), 0
+            flat, starts, decoded = array("i"), [], []
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                if text is None:
+                    starts.append(None), decoded.append(None)
+                else:
+                    ids = merger.encode(text)
+                    starts.append(len(flat)), decoded.append(b"".join([raw[x] for x in ids]).decode("utf-8", "replace").removeprefix(" "))
+                    flat += ids
+                if len(flat) >= CHUNK_IDS or i + 1 == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array([*starts, len(flat)], pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, i + 1 - begin).columns, lists, pa.array(decoded, pa.string())], names=names)
+                    flat, starts, decoded, begin = array("i"), [], [], i + 1
+
+    kinds = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
+    return kept.mapInArrow(code, kinds)

@@ -89,11 +89,12 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every conversation turn, and the text they decode to."""
+    """Ids of every document and of every conversation turn, and the text they decode to. A turn has no doc_id, a document no conv_id."""
     pieces_of = pieces.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    back = pieces.decode(pieces.encode(turns, pieces_of), pieces_of)
-    return back.select("conv_id", "turn", F.size("ids").alias("n_ids"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
+    back = pieces.transcode(docs.unionByName(turns, allowMissingColumns=True), pieces_of)
+    return back.select("doc_id", "conv_id", "turn", F.size("ids").alias("n_ids"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
