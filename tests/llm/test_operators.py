@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -263,6 +264,22 @@ def test_toxicity_sees_through_disguise(spark):
     assert got[1000] >= 0.5 and got[1001] >= 0.5 and got[1004] < 0.5 and got[1002] == got[1003] < 0.5
 
 
+def test_disguise_of_any_length_is_read(spark):
+    text = "the river runs over old stones and you moron run along the road every morning "
+    model = toxicity.log_model(toxicity.count_trigrams(spark.createDataFrame([(text * 50,)], "text string")))
+    reader = toxicity.Reader(model=model)
+    filler = "the river runs over old stones and " * 12
+    late = (filler + "you moron").replace(" ", "")
+    assert len(late) > 300
+    assert "moron" in reader.words(" ".join(late))  # spelled apart
+    assert "moron" in reader.words(".".join(late))
+    assert "moron" in reader.words("mo" + "o" * 60 + "ron")
+    assert "moron" in reader.words("mmoorroonn")
+    began = time.process_time()
+    reader.words("ab" * 50_000), reader.words("1" * 100_000), reader.words("a.b" * 30_000 + ".")
+    assert time.process_time() - began < 30
+
+
 def test_copied_pictures(spark):
     from tidemark.llm.queries import _render
 

@@ -1,8 +1,8 @@
 """Toxicity after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents.
-2. Chunks that look disguised (digits or symbols among letters, letters held long, letters
-   spelled apart) become a lattice: every sign offers the letters it may stand for, a run may
+2. Chunks that look disguised (digits or symbols among letters, letters held long or doubled
+   more than once, letters spelled apart) become a lattice: every sign offers the letters it may stand for, a run may
    be one or two letters, a separator may be nothing or a word boundary. Viterbi picks the
    path that is likeliest under the character model and the channel's costs.
 3. A lexicon of words and word beginnings with log odds, learned from labelled rows, and a
@@ -41,7 +41,10 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 AS_LETTER, AS_BOUNDARY, AS_DIGIT, SHORTER, LONG, DROPPED = 0.7, 2.0, 5.0, 0.5, 3.0, 0.3
 
 _SEPARATORS = ".-_*~·"
-_DISGUISED = re.compile(rf"[^\W\d_]*(?:[{re.escape(''.join(LEET))}]+[^\W\d_]|[^\W\d_][{re.escape(''.join(LEET).replace('!', '').replace('+', '').replace('(', ''))}])|([^\W\d_])\1\1|(?:^|[\W_])(?:[^\W_][{re.escape(_SEPARATORS)}]){{2,}}[^\W_]")
+_SIGNS = re.escape("".join(LEET))
+_AFTER_LETTER = re.escape("".join(LEET).replace("!", "").replace("+", "").replace("(", ""))
+# each alternative takes time in proportion to the chunk, however long it is
+_DISGUISED = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_AFTER_LETTER}]|([^\W\d_])\1\1|([^\W\d_])\2[^\W\d_]*([^\W\d_])\3|(?:^|[\W_])(?:[^\W_][{re.escape(_SEPARATORS)}]){{2,}}[^\W_]")
 _SPELLED = re.compile(r"(?<!\S)[^\W_](?: [\w@$!|]){2,}(?!\S)")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -121,9 +124,9 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 def decode(chunk: str, model: np.ndarray) -> str:
     """Likeliest reading of a disguised chunk: Viterbi over the lattice, a state being the last two letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the cost, and (what came before, letters)
     for place in lattice(chunk):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (p, q), (cost, said) in best.items():
             for letters, fee in place:
                 a, b, c = p, q, cost + fee
@@ -134,9 +137,14 @@ def decode(chunk: str, model: np.ndarray) -> str:
                     c -= float(model[a * V + b, code])
                     a, b = b, code
                 if (a, b) not in now or c < now[a, b][0]:
-                    now[a, b] = (c, said + letters)
+                    now[a, b] = (c, (said, letters))
         best = now
-    return min((c - float(model[p * V + q, 0]) * (q != 0), said) for (p, q), (c, said) in best.items())[1].strip()
+    _, said = min(((c - float(model[p * V + q, 0]) * (q != 0), said) for (p, q), (c, said) in best.items()), key=lambda x: x[0])
+    parts = []
+    while said:
+        said, letters = said
+        parts.append(letters)
+    return "".join(reversed(parts)).strip()
 
 
 def features(word: str) -> list[str]:
@@ -152,7 +160,7 @@ class Reader(dict):
     def __missing__(self, chunk: str) -> tuple[str, ...]:
         low = chunk.lower()
         words = _WORDS.findall(low)
-        if len(low) < 60 and _DISGUISED.search(low):
+        if _DISGUISED.search(low):
             words += _WORDS.findall(decode(low, self.model))
         found = tuple(dict.fromkeys(words))
         if len(self) < REMEMBERED and len(chunk) < 40:
@@ -163,7 +171,7 @@ class Reader(dict):
         """Distinct lower-case words of a text as written and as restored."""
         found = {w for chunk in set(text.split()) for w in self[chunk]}
         for m in _SPELLED.finditer(text):
-            found.update(_WORDS.findall(decode(m[0].lower()[:400], self.model)))
+            found.update(_WORDS.findall(decode(m[0].lower(), self.model)))
         return found
 
 
