@@ -38,11 +38,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the one with the least doc_id stays; texts without words and null ids stay."""
+    """Of near copies (five-word shingles, similarity 0.8) exactly one row stays; texts without words all stay.
+
+    It is the one of least doc_id, nulls last, then of least row number; of rows alike in
+    doc_id and text, which share that number, the one least in the other columns.
+    """
     _small_batches(spark)
-    classes = materialize(shingle_join.classes(docs), "classes")
-    others = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", shingle_join.row_number_of(F.col("doc_id"), F.col("text"))).join(others, "_row", "left_anti").select(docs.columns)
+    classes = materialize(shingle_join.classes(docs), "classes").where(F.col("n_shingles") > 0)
+    members = classes.groupBy("class", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    first = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("class", F.col("first.row").alias("survivor"))
+    marks = materialize(members.join(first, "class").select(F.col("row").alias("_row"), (F.col("row") == F.col("survivor")).alias("stays"), "times"), "marks")
+    others, repeated = marks.where(~F.col("stays")).select("_row"), marks.where(F.col("stays") & (F.col("times") > 1)).select("_row")
+    kept = docs.withColumn("_row", shingle_join.row_number_of(F.col("doc_id"), F.col("text"))).join(others, "_row", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    one = kept.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.join(repeated, "_row", "left_anti").select(docs.columns).unionByName(one)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

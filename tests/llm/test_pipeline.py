@@ -38,3 +38,32 @@ def test_pipeline(spark, tmp_path):
     assert after["suffix_array"].columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert ids["packing"] == ids["suffix_array"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == after["packing"].count()
+
+
+def test_one_row_of_each_class_stays(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    texts = [prose(rng, 90) for _ in range(5)]
+
+    def near(text):
+        words = text.split(" ")
+        words[7] = "changed"
+        return " ".join(words)
+
+    rows = [(i, prose(rng, 60), "en", "s", 0) for i in range(20)]
+    rows += [(800, texts[0], "en", "s", 0), (800, texts[0], "en", "s", 0), (800, texts[0], "de", "s", 0)]  # repeated rows
+    rows += [(801, texts[1], "en", "s", 0), (801, near(texts[1]), "en", "s", 0)]  # near copies under one id
+    rows += [(802, texts[2], "en", "s", 0), (None, near(texts[2]), "en", "s", 0)]
+    rows += [(None, texts[3], "en", "s", 0), (None, near(texts[3]), "en", "s", 0), (None, texts[3], "en", "s", 0)]
+    rows += [(801, texts[4], "en", "s", 0)]  # another class under the same id
+    rows += [(900, "", "en", "s", 0), (900, "", "en", "s", 0), (901, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = corpus_pipeline.shingle_join_stage(spark, docs, str(tmp_path))
+    assert stage.columns == docs.columns
+    got = [(r["doc_id"], r["text"], r["lang"]) for r in stage.collect()]
+    assert got.count((800, texts[0], "de")) == 1 and sum(d == 800 for d, _, _ in got) == 1
+    assert sum(t in (texts[1], near(texts[1])) for _, t, _ in got) == 1
+    assert [d for d, t, _ in got if t in (texts[2], near(texts[2]))] == [802]
+    assert sum(t in (texts[3], near(texts[3])) for _, t, _ in got) == 1 and (801, texts[4], "en") in got
+    assert got.count((900, "", "en")) == 2 and (901, None, "en") in got and len(got) == 20 + 5 + 3
+    after = corpus_pipeline.suffix_dedup_stage(spark, stage, str(tmp_path)).collect()
+    assert [r["text"] for r in after if r["doc_id"] == 800] == [texts[0]]

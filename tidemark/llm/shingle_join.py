@@ -285,13 +285,14 @@ def row_number_of(key: Column, text: Column) -> Column:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, row): one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, row, class): one row for each row of ``docs``.
 
     ``component_id`` is the least id reachable by links, the row's own included. Null texts
     and texts without words have no shingles and link with nothing, not even with each
     other. Repeated rows are in one class. A null id takes part in links but is never the
     least; a class of null ids only has a null ``component_id``. ``row`` numbers rows alike
-    in id and text. An empty table gives no rows.
+    in id and text. ``class`` tells classes apart even where ids are null or shared; it is
+    null without shingles. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_number_of(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
@@ -331,8 +332,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     joined = components(links.unionByName(more))
     final = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = final.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = final.join(least, "component").select("node", "component_id")
-    return signed.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row")
+    by_node = final.join(least, "component").select("node", "component_id", F.col("component").alias("class"))
+    return signed.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("class")).alias("class"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, frequent, threshold: tuple[int, int]) -> DataFrame:
