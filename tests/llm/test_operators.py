@@ -72,8 +72,8 @@ def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(1 << 50, size=200).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(1 << 50, size=rng.integers(0, 40)).astype(np.uint64)])) for _ in range(150)]
-    a, b = shingle_join.tree_pairs(np.array([len(x) for x in sets]), shingle_join._fold([shingle_join.bitmap(x) for x in sets]), (80, 100), lambda i, j: i != j)
-    found = {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b, strict=True)}
+    pairs = shingle_join.similar_pairs(np.array([len(x) for x in sets]), [shingle_join.bitmap(x) for x in sets], (80, 100), lambda i, j: i != j)
+    found = {(int(min(x, y)), int(max(x, y))) for a, b in pairs for x, y in zip(a, b, strict=True)}
     for i in range(150):
         for j in range(i + 1, 150):
             n = len(np.intersect1d(sets[i], sets[j]))
@@ -81,6 +81,24 @@ def test_signature_tree_loses_no_pair():
                 assert (i, j) in found
 
 
+def test_shingle_classes_in_blocks(spark, corpus, monkeypatch):
+    """Blocks of three sets, repeated rows, a null id, a very long text and columns of the names used inside."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 3)
+    rng = np.random.default_rng(21)
+    base, rows = prose(rng, 130).split(" "), [*corpus, (400, prose(rng, 40_000))]
+    for k in range(40):  # a chain: neighbours are near copies, the ends are not
+        base[(3 * k) % 120] = f"link{k}"
+        rows.append((500 + k, " ".join(base)))
+    twice = [*rows, rows[0], rows[0], (None, rows[1][1]), (None, "alone with no id")]
+    docs = frame(spark, twice).withColumn("row", F.lit("x")).withColumn("node", F.lit(1)).withColumn("label", F.lit(2))
+    got = shingle_join.classes(docs, words=5, threshold=(80, 100)).collect()
+    assert len(got) == len(twice)
+    want = brute_classes(rows, 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert {r["component_id"] for r in got if r["doc_id"] is None} == {want[1][1], None}
+    assert len({want[500 + k][1] for k in range(40)}) == 1
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats(spark, corpus, hot):
     got = {r["doc_id"]: r for r in suffix_dedup.drop_repeats(frame(spark, corpus), hot=hot).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import Workspace
 
 #: Rounds after which the search gives up with an error; each at least halves the longest chain.
 MAX_ROUNDS = 60
@@ -21,19 +21,27 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(node, component) for the nodes of ``links(a, b)``: the least node reachable.
 
     Alternates large stars and small stars until nothing changes; every round is written to
-    the shared folder, so a lost executor repeats one round at most. Links may repeat and
-    run either way; no links give no rows.
+    the shared folder, so a lost executor repeats one round at most, and the round before is
+    dropped. Links may repeat and run either way; no links give no rows. With ``work`` the
+    result is one of its tables, else it stays in the shared folder.
     """
-    now = materialize(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    rounds = Workspace(links.sparkSession)
+    now = rounds.keep(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
     mark = None
-    for _ in range(MAX_ROUNDS):
-        now = materialize(_stars(_stars(now, True), False), "stars")
+    for i in range(MAX_ROUNDS):
+        now = rounds.keep(_stars(_stars(now, True), False), str(i + 1))
+        rounds.drop(str(i))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            if work is None:
+                return rounds.result(found)
+            out = work.keep(found, f"components-{rounds.name}")
+            rounds.drop(str(i + 1))
+            return out
         mark = seen
     raise RuntimeError("components did not settle")

@@ -6,11 +6,16 @@ Identical sets are one node from the start. Then
    band's most central node and verified; what links joins a class.
 2. Links that could be missing: in a global order of shingles (rare before frequent, long
    before short) two sets of similarity t share one of their first ``n - ceil(t n) + 1``
-   shingles. Nodes of different classes that share such a shingle meet in a bucket of like
-   size, where a signature tree finds the pairs that can still reach t: its nodes hold the
-   OR of bitmaps of shingles, the least count of set bits and the range of set sizes, and two
-   subtrees are traversed together only while their largest possible overlap suffices.
-   What it leaves is verified on the sets themselves.
+   shingles. Nodes of different classes that share such a shingle meet in a bucket, where a
+   signature tree finds the pairs that can still reach t: its nodes hold the OR of bitmaps of
+   shingles, the least count of set bits and the range of set sizes, and two subtrees are
+   traversed together only while their largest possible overlap suffices. A bucket hands on
+   a spanning forest of its pairs, so never more rows than it was given.
+3. What those forests connect is a cluster. Its sets come together once, a signature tree
+   leaves the pairs that may link, and each is checked on the sets themselves unless its
+   ends are already in one class; again a spanning forest goes on.
+
+Large buckets and clusters are dealt to blocks, and each two blocks meet in a task.
 
 Any order and any choice of bands gives the same classes; they only decide how little work
 is left for the second step.
@@ -23,21 +28,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import Workspace
 from tidemark.llm.suffix_dedup import _BASE, _U, _batch, _bytes, _ddl, _mix, _prefix
 
 WORDS = 5
 THRESHOLD = (80, 100)
-BANDS = 5
+BANDS = 4
 #: A shingle counts as frequent from so many occurrences; so many, the commonest, are told apart.
 FREQUENT, FREQUENT_KEPT = 64, 200_000
 #: What one task reports of its own frequent shingles.
 LOCAL_MIN, LOCAL_KEPT = 8, 8192
 LEAF = 8
+#: Sets, and shingles of sets, of a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 3_000_000
+#: Distinct keys up to which a selection of rows is broadcast.
+BROADCAST_KEYS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,10 +154,10 @@ def bitmap(ids: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-_SIGNATURE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bitmap", pa.binary())])
-_TOKEN = pa.schema([("token", pa.int64()), ("node", pa.int64())])
-_SET = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64()))])
+_SIGNATURE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SET = pa.schema([("node", pa.int64()), ("ids", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR_DDL = "a long, b long"
 
 
 def _node(ids: np.ndarray) -> int:
@@ -158,45 +167,56 @@ def _node(ids: np.ndarray) -> int:
     return int(_mix(np.add.reduce(both * np.array([3, 1], dtype=_U), keepdims=True) + _U(len(ids)))[0].astype(np.int64)) if len(ids) else 0
 
 
-def _signatures(words: int, frequent, seeds: np.ndarray) -> Callable:
+def prefix_length(n: int, threshold: tuple[int, int]) -> int:
+    """Shingles of a set of ``n`` of which any similar set holds one."""
+    num, den = threshold
+    return n - (num * n + den - 1) // den + 1 if n else 0
+
+
+def _signatures(words: int, frequent, seeds: np.ndarray, threshold: tuple[int, int]) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _in_chunks(batches):
-            out: list[list] = [[] for _ in _SIGNATURE]
-            for (row, doc), ids in zip(rows, ordered_sets(texts, words, frequent), strict=True):
-                bands = []
+            sets = ordered_sets(texts, words, frequent)
+            bands, first = [], []
+            for ids in sets:
+                first.append(ids[: prefix_length(len(ids), threshold)].view(np.int64))
                 if len(ids):
                     low = ids & _U((1 << 58) - 1)
                     least = np.array([[_mix(low ^ s).min() for s in band] for band in seeds], dtype=_U)
-                    bands = _mix(np.add.reduce(least * np.array(_STEP[: seeds.shape[1]], dtype=_U), axis=1) + np.arange(len(seeds), dtype=_U)).view(np.int64).tolist()
-                for column, x in zip(out, (row, doc, _node(ids), len(ids), bands, bitmap(ids)), strict=True):
-                    column.append(x)
-            yield _batch(_SIGNATURE, *out)
+                    bands.append(_mix(np.add.reduce(least * np.array(_STEP[: seeds.shape[1]], dtype=_U), axis=1) + np.arange(len(seeds), dtype=_U)).view(np.int64))
+                else:
+                    bands.append(np.zeros(0, np.int64))
+            row, doc = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists(bands), pa.array([bitmap(x) for x in sets], pa.binary()), _lists(first)],
+                schema=_SIGNATURE,
+            )
 
     return sign
 
 
-def prefix_length(n: int, threshold: tuple[int, int]) -> int:
-    """Shingles of a set of ``n`` of which any similar set holds one."""
-    num, den = threshold
-    return n - (num * n + den - 1) // den + 1 if n else 0
+def _lists(each: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each)))
 
 
-def _tokens(words: int, frequent, threshold: tuple[int, int]) -> Callable:
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _in_chunks(batches):
-            sets = [x for x in ordered_sets(texts, words, frequent) if len(x)]
-            if sets:
-                first = [x[: prefix_length(len(x), threshold)] for x in sets]
-                yield _batch(_TOKEN, np.concatenate(first).view(np.int64), np.repeat(np.array([_node(x) for x in sets], dtype=np.int64), [len(x) for x in first]))
+def _packed(ids: np.ndarray) -> bytes:
+    """The low 48 bits of each id, sorted, as six bytes: two sets of n shingles seem to share one too many at odds of n * n in 2**48."""
+    return np.unique(ids & _U((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    return prefixes
 
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _sets(words: int) -> Callable:
+    none = (np.zeros(0, _U), np.zeros(0, _U))
 
-def _sets(words: int, frequent) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _in_chunks(batches):
-            found = ordered_sets(texts, words, frequent)
-            yield _batch(_SET, [_node(x) for x in found], [x.view(np.int64).tolist() for x in found])
+            found = ordered_sets(texts, words, none)
+            yield _batch(_SET, [_node(x) for x in found], [_packed(x) for x in found])
 
     return sets
 
@@ -210,12 +230,12 @@ def _fold(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, threshold: tuple[int, int], differ: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, bits: np.ndarray, threshold: tuple[int, int], differ: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs i < j of sets, given sizes and bitmaps, that may reach the threshold: dual traversal of a signature tree.
 
-    ``differ`` says which leaf pairs are wanted. The bound of two subtrees: of a set in one,
-    the bits outside the other's OR are not shared, so at most
-    ``max size - (least bits - common bits)`` shingles are.
+    They come some at a time; ``differ`` says, just before, which of them are still wanted.
+    The bound of two subtrees: of a set in one, the bits outside the other's OR are not
+    shared, so at most ``max size - (least bits - common bits)`` shingles are.
     """
     num, den = threshold
     order = np.argsort(n, kind="stable")
@@ -225,58 +245,155 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, threshold: tuple[int, int], diff
         cut = np.arange(0, len(low), LEAF)
         levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(ones, cut), np.bitwise_or.reduceat(ors, cut, axis=0)))
     i, j = np.triu_indices(len(levels[-1][0]))
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    at_once = max(256, 4_000_000 // max(1, bits.shape[1]))  # so that the words compared stay within some tens of megabytes
     stack = [(len(levels) - 1, i, j)]
     while stack:
         depth, i, j = stack.pop()
-        if len(i) > 50_000:
+        if len(i) > at_once:
             half = len(i) // 2
-            stack += [(depth, i[:half], j[:half]), (depth, i[half:], j[half:])]
+            stack += [(depth, i[half:], j[half:]), (depth, i[:half], j[:half])]
             continue
         low, high, ones, ors = levels[depth]
+        if depth == 0:
+            wanted = (i < j) & differ(order[i], order[j])
+            i, j = i[wanted], j[wanted]
         common = np.bitwise_count(ors[i] & ors[j]).sum(axis=1).astype(np.int64)
         most = np.minimum(high[i] - np.maximum(0, ones[i] - common), high[j] - np.maximum(0, ones[j] - common))
         # overlap >= t / (1 + t) * (|a| + |b|), and sizes within t of each other
         good = (most * (num + den) >= num * (low[i] + low[j])) & (high[i] * den >= num * low[j]) & (high[j] * den >= num * low[i])
         i, j = i[good], j[good]
+        if not len(i):
+            continue
         if depth == 0:
-            a, b = order[i], order[j]
-            wanted = (i < j) & differ(a, b)
-            kept.append((a[wanted], b[wanted]))
-        elif len(i):
+            yield order[i], order[j]
+        else:
             below = len(levels[depth - 1][0])
             a = (i[:, None] * LEAF + np.repeat(np.arange(LEAF), LEAF)).ravel()
             b = (j[:, None] * LEAF + np.tile(np.arange(LEAF), LEAF)).ravel()
             fits = (a < below) & (b < below) & (a <= b)
             stack.append((depth - 1, a[fits], b[fits]))
-    if not kept:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
-
-
-def _match_buckets(threshold: tuple[int, int]) -> Callable:
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[dict]) -> pa.RecordBatch | None:
-            home = np.array([r["home"] for r in rows])
-            label = np.array([r["label"] for r in rows], dtype=np.int64)
-            node = np.array([r["node"] for r in rows], dtype=np.int64)
-            if not home.any() or (label == label[0]).all():
-                return None
-            a, b = tree_pairs(np.array([r["n"] for r in rows]), _fold([r["bitmap"] for r in rows]), threshold, lambda i, j: (home[i] | home[j]) & (label[i] != label[j]))
-            return _batch(_PAIR, np.minimum(node[a], node[b]), np.maximum(node[a], node[b])) if len(a) else None
-
-        held, key = [], None
+
+
+def similar_pairs(n: np.ndarray, bitmaps: list[bytes], threshold: tuple[int, int], differ: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs as ``tree_pairs`` gives them, one tree for each class of sizes and its next, so that bitmaps of like width are compared."""
+    num, den = threshold
+    of = np.floor(np.log(n) / math.log(den / num)).astype(np.int64)
+    for size in np.unique(of):
+        some = np.flatnonzero((of == size) | (of == size + 1))
+        if len(some) > 1:
+            home = of[some] == size
+            for a, b in tree_pairs(n[some], _fold([bitmaps[i] for i in some]), threshold, lambda i, j: (home[i] | home[j]) & differ(some[i], some[j])):
+                yield some[a], some[b]
+
+
+class _Forest:
+    """Union of members; remembers the pairs that joined two of its parts."""
+
+    def __init__(self, label: np.ndarray):
+        self._up = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]].tolist()
+        self.part = np.array(self._up)
+        self.joined: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        up = self._up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def add(self, a: np.ndarray, b: np.ndarray, linked: Callable[[int, int], bool]) -> None:
+        """Join the pairs that are linked; of those already in one part nobody asks."""
+        apart, before = self.part[a] != self.part[b], len(self.joined)
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = self.root(i), self.root(j)
+            if x != y and linked(i, j):
+                self._up[max(x, y)] = min(x, y)
+                self.joined.append((i, j))
+        if len(self.joined) > before:
+            self.part = np.array([self.root(i) for i in range(len(self._up))])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """The rows of one key after the other; they come sorted by key."""
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and any(r[k] != held[0][k] for k in keys):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _joined(forest: _Forest, node: np.ndarray) -> pa.RecordBatch | None:
+    if not forest.joined:
+        return None
+    a, b = np.array(forest.joined).T
+    return _batch(_PAIR, node[a], node[b])
+
+
+def _candidates(threshold: tuple[int, int]) -> Callable:
+    """Per (token, cell), pairs that may reach the threshold, as few as keep together what they connect."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("token", "cell")):
+            label, node = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("label", "node"))
+            if (label == label[0]).all():
+                continue
+            forest = _Forest(np.arange(len(rows)))
+            for a, b in similar_pairs(np.array([r["n"] for r in rows]), [r["bitmap"] for r in rows], threshold, lambda i, j: (label[i] != label[j]) & (forest.part[i] != forest.part[j])):
+                forest.add(a, b, lambda i, j: True)
+            if (out := _joined(forest, node)) is not None:
+                yield out
+
+    return meet
+
+
+def _checked(threshold: tuple[int, int]) -> Callable:
+    """Per (cluster, cell), links between sets of different labels, as few as connect the same sets."""
+    num, den = threshold
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("cluster", "cell")):
+            label, node = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("label", "node"))
+            sets = [_unpacked(r["ids"]) for r in rows]
+            forest = _Forest(label)
+
+            def linked(i: int, j: int) -> bool:
+                both = np.concatenate([sets[i], sets[j]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                return common * den >= (len(both) - common) * num
+
+            for a, b in similar_pairs(np.array([len(x) for x in sets]), [bitmap(x) for x in sets], threshold, lambda i, j: forest.part[i] != forest.part[j]):
+                forest.add(a, b, linked)
+            if (out := _joined(forest, node)) is not None:
+                yield out
+
+    return check
+
+
+def _star_links(threshold: tuple[int, int]) -> Callable:
+    """Per (leader, salt), the members that the leader links with; the leader's own row comes first."""
+    num, den = threshold
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, held = None, np.zeros(0, _U)
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["token"], r["size"]) != key:
-                    if len(held) > 1 and (out := pairs(held)) is not None:
-                        yield out
-                    held, key = [], (r["token"], r["size"])
-                held.append(r)
-        if len(held) > 1 and (out := pairs(held)) is not None:
-            yield out
+            found = []
+            for name, node, ids in zip(batch.column("leader").to_pylist(), batch.column("node").to_pylist(), batch.column("ids"), strict=True):
+                own = _unpacked(ids.as_py())
+                if name == node:
+                    leader, held = name, own
+                elif name == leader:
+                    common = int(np.isin(own, held, assume_unique=True).sum())
+                    if common * den >= (len(own) + len(held) - common) * num:
+                        found.append((node, name))
+            if found:
+                yield _batch(_PAIR, *zip(*found, strict=True))
 
-    return match
+    return check
 
 
 def row_number_of(key: Column, text: Column) -> Column:
@@ -284,6 +401,20 @@ def row_number_of(key: Column, text: Column) -> Column:
     return F.xxhash64(key.cast("string"), F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _cells(rows: DataFrame, parts: Column) -> DataFrame:
+    """Each row in the cells where it meets others: one for a small group; else its block with each other block."""
+    block = F.pmod(F.xxhash64("node"), F.col("_parts"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: j != block)
+    cells = F.when(F.col("_parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(other, lambda j: F.least(block, j) * F.col("_parts") + F.greatest(block, j)))
+    return rows.withColumn("_parts", parts.cast("long")).withColumn("cell", F.explode(cells)).drop("_parts")
+
+
+def _picked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted. Up to ``BROADCAST_KEYS`` distinct keys, of eight bytes, go to the rows; beyond that the rows are shuffled to the keys."""
+    few = wanted.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, row, class): one row for each row of ``docs``.
 
@@ -293,55 +424,65 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     least; a class of null ids only has a null ``component_id``. ``row`` numbers rows alike
     in id and text. ``class`` tells classes apart even where ids are null or shared; it is
     null without shingles. An empty table gives no rows.
+
+    Exact but for hashes: sets are numbered by 64 bits (odds of any collision among m
+    distinct sets: m * m in 2**65), shingles are compared by 48.
     """
+    work = Workspace(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_number_of(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
     num, den = threshold
     seeds = _mix(np.arange(1, BANDS * (3 if num * 20 >= 17 * den else 2) + 1, dtype=_U) * _U(0x632BE59BD9B4E019)).reshape(BANDS, -1)
     frequent = frequent_shingles(rows, words)
-    only_text = rows.select("row", "text")
-    signed = materialize(rows.mapInArrow(_signatures(words, frequent, seeds), _ddl(_SIGNATURE)), "signatures")
-    nodes = signed.where(F.col("n") > 0).groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("bitmap").alias("bitmap"))
-    nodes = materialize(nodes, "nodes")
+    signed = work.keep(rows.mapInArrow(_signatures(words, frequent, seeds, threshold), _ddl(_SIGNATURE)), "signatures")
+    some = signed.where(F.col("n") > 0)
+    nodes = work.keep(some.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "nodes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, ids) of the wanted nodes, from their texts."""
+        chosen = nodes.join(wanted, "node", "left_semi").select("row")
+        return _picked(rows.select("row", "text"), chosen, "row").dropDuplicates(["row"]).mapInArrow(_sets(words), _ddl(_SET))
 
     # 1. pairs with the most central node of each band
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    crowds = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1), "crowds")
-    met = materialize(banded.join(crowds, "band"), "bands")
+    crowds = work.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1), "crowds")
+    met = work.keep(banded.join(crowds, "band"), "bands")
     central = met.groupBy("node").agg(F.sum("crowd").alias("weight"))
-    leaders = materialize(met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("leader")), "leaders")
-    stars = met.join(leaders, "band").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = materialize(_verified(stars, nodes, only_text, words, frequent, threshold), "links")
-    labels = materialize(components(links), "labels")
+    leaders = met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
+    stars = work.keep(met.join(leaders, "band").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "stars")
+    salts = work.keep(stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "salts")
+    members = stars.join(salts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node")
+    heads = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("node"))
+    sets = work.keep(sets_of(stars.select(F.explode(F.array("leader", "node")).alias("node")).distinct()), "sets")
+    spread = members.unionByName(heads).join(sets, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader"))
+    links = work.keep(spread.mapInArrow(_star_links(threshold), _PAIR_DDL), "links")
+    work.drop("crowds", "bands", "stars", "salts", "sets")
+    labels = components(links, work)
 
     # 2. prefix shingles shared by nodes of different classes
-    prefixes = only_text.mapInArrow(_tokens(words, frequent, threshold), _ddl(_TOKEN))
-    # written out, so that the join's partitions of a common shingle can be split
-    shared = materialize(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1).select("token"), "shared")
-    labelled = materialize(prefixes.join(shared, "token").distinct().join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")), "prefixes")
+    prefixes = some.groupBy("node").agg(F.any_value("prefix").alias("prefix"))
+    labelled = prefixes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.explode("prefix").alias("token"))
+    same = Window.partitionBy("token")
+    spread = labelled.select("token", "node", "label", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"), F.bit_xor(F.xxhash64("node")).over(same).alias("who"))
+    meeting = work.keep(spread.where(F.col("low") != F.col("high")).drop("low", "high"), "meeting")
     # shingles with the same nodes lead to the same pairs: one of them is enough
-    group = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"), F.min("node").alias("first"))
-    several = materialize(group.where(F.col("low") != F.col("high")).groupBy("n", "nodes", "first").agg(F.min("token").alias("token")).select("token"), "several")
-    size = F.floor(F.ln("n") / F.lit(math.log(den / num))).cast("int")
-    meeting = labelled.join(several, "token").join(nodes.select("node", "n", "bitmap"), "node")
-    # each node in the bucket of its size, and as a guest in the next
-    buckets = meeting.select("token", "node", "label", "n", "bitmap", F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("home")), F.struct((size + 1).alias("size"), F.lit(False).alias("home")))).alias("in")).select("token", "in.*", "node", "label", "n", "bitmap")
-    candidates = buckets.repartition("token", "size").sortWithinPartitions("token", "size").mapInArrow(_match_buckets(threshold), _ddl(_PAIR)).distinct()
-    more = materialize(_verified(candidates, nodes, only_text, words, frequent, threshold), "links")
-
-    joined = components(links.unionByName(more))
+    several = work.keep(meeting.groupBy("times", "who").agg(F.min("token").alias("token")).select("token"), "several")
+    meeting = meeting.join(several, "token", "left_semi")
+    bitmaps = work.keep(_picked(some.select("node", "n", "bitmap"), meeting.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
+    buckets = _cells(meeting, F.ceil(F.col("times") / BLOCK)).select("token", "cell", "node", "label").join(bitmaps, "node")
+    candidates = work.keep(buckets.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL).distinct(), "candidates")
+    work.drop("meeting", "several", "bitmaps")
+    clusters = work.keep(components(candidates, work).withColumnRenamed("component", "cluster"), "clusters")
+    sized = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    placed = _cells(clusters.join(sized, "cluster"), F.col("parts")).join(labels, "node", "left").select("cluster", "cell", "node", F.coalesce("component", "node").alias("label"))
+    sets = work.keep(sets_of(clusters.select("node")), "sets")
+    checked = placed.join(sets, "node").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_checked(threshold), _PAIR_DDL)
+    more = work.keep(links.unionByName(checked), "all_links")
+    work.drop("sets", "clusters", "candidates")
+
+    joined = components(more, work)
     final = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = final.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = final.join(least, "component").select("node", "component_id", F.col("component").alias("class"))
-    return signed.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, frequent, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    num, den = threshold
-    pairs = materialize(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("row")
-    sets = materialize(texts.join(involved, "row").dropDuplicates(["row"]).mapInArrow(_sets(words, frequent), "node long, ids array<long>"), "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), sets.select(F.col("node").alias("b"), F.col("ids").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
+    out = signed.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return work.result(out)
