@@ -101,7 +101,9 @@ def test_shingle_classes_in_blocks(spark, corpus, monkeypatch):
 
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats(spark, corpus, hot):
-    got = {r["doc_id"]: r for r in suffix_dedup.drop_repeats(frame(spark, corpus), hot=hot).collect()}
+    docs = frame(spark, corpus).withColumns({c: F.lit("clash") for c in ("n_spans", "row", "key", "at", "spans", "kinds")})
+    got = {r["doc_id"]: r for r in suffix_dedup.drop_repeats(docs, hot=hot).collect()}
+    assert {got[0][c] for c in ("row", "key", "at", "spans", "kinds")} == {"clash"}
     seen = Counter(b[s : s + 200] for _, t in corpus for b in [(t or "").encode()] for s in range(len(b) - 199))
     for i, t in corpus:
         b, keep = (t or "").encode(), np.ones(len((t or "").encode()), dtype=bool)
@@ -109,10 +111,35 @@ def test_repeats(spark, corpus, hot):
             if seen[b[s : s + 200]] > 1:
                 keep[s : s + 200] = False
         rest = bytes(x for x, k in zip(b, keep, strict=True) if k)
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), len(b) - len(rest), hashlib.sha256(rest).hexdigest()), i
+        n_spans = int((np.diff(np.concatenate([[1], keep.astype(int)])) == -1).sum())
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), len(b) - len(rest), n_spans, hashlib.sha256(rest).hexdigest()), i
     assert got[303]["text"] == ""
 
 
+def test_repeats_in_very_long_texts(spark):
+    """Texts beyond the windows handled at once, a repeat across that seam, and repeated rows under one id."""
+    rng = np.random.default_rng(12)
+    seam = (1 << suffix_dedup.CHUNK_BITS) - 150
+    long = bytes(rng.integers(97, 123, size=seam + 5000, dtype=np.uint8)).decode()
+    alone = bytes(rng.integers(97, 123, size=5000, dtype=np.uint8)).decode()
+    got = suffix_dedup.drop_repeats(frame(spark, [(1, long), (2, alone[:1000] + long[seam - 300 : seam + 300] + alone[1000:2000]), (3, alone[3000:4000]), (3, alone[3000:4000])])).collect()
+    by_id = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got}
+    assert len(got) == 4 and by_id == {1: (600, 1), 2: (600, 1), 3: (1000, 1)}
+    with pytest.raises(ValueError, match="span"):
+        suffix_dedup.repeated_spans(frame(spark, [(1, alone)]).withColumnRenamed("doc_id", "row"), span=300)
+
+
+def test_multikey_quicksort_finds_equal_windows():
+    rng = np.random.default_rng(3)
+    left, key = rng.integers(4, 12, size=400), rng.integers(0, 3, size=400)
+    windows = np.array([rng.integers(1, x + 2) for x in left])
+    content = [bytes(rng.integers(97, 99, size=w + 11, dtype=np.uint8)) for w in windows]
+    got = suffix_dedup.repeated_windows(key, left, windows, content, span=12)
+    each = [(key[i], left[i] - k, content[i][k : k + 12]) for i in range(400) for k in range(windows[i])]
+    times = Counter(each)
+    assert got.tolist() == [times[x] > 1 for x in each] and 0 < got.sum() < len(got)
+
+
 def test_line_boilerplate(spark):
     rows = [(i, f"own line {i}\n  Shared footer \n\nlast {i}", "a") for i in range(40)] + [(100 + i, "copy one\ncopy two", "a") for i in range(30)]
     rows += [(900, None, "a"), (901, "", "a"), (902, "Shared footer", None), (903, "Shared footer", "b")]

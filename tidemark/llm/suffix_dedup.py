@@ -7,7 +7,7 @@ are sorted, and still no repeat is lost:
    (leftmost of equals). Equal windows have their anchors at the same place, so a window can
    only recur among windows whose anchor is the same gram. Neighbouring windows share an
    anchor; a maximal run of them is a *stretch*, about one for 85 bytes.
-2. Stretches whose gram occurs once are dropped (hash count, combined before the shuffle).
+2. Stretches meet by gram, in one shuffle; those whose gram occurs once are dropped.
 3. Stretches with equal content recur as a whole: all their windows are repeats. One of each
    kind goes on, and only where its gram has stretches of different content.
 4. Those are range-partitioned by the leading bytes of the suffix at the anchor, with
@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import Workspace
 
 SPAN = 200
 GRAM = 32
@@ -113,11 +113,11 @@ def stretches(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.
 def repeated_windows(key: np.ndarray, left: np.ndarray, windows: np.ndarray, content: list[bytes], span: int = SPAN) -> np.ndarray:
     """For the windows of all stretches in turn: does another one hold the same bytes?
 
-    ``left`` is the anchor's distance from the first window. Windows are first grouped by gram
-    and anchor distance, then by one eight-byte word after the other, as a multikey quicksort
-    does; a window alone in its group is done.
+    ``left`` is the anchor's distance from the first window. Windows are grouped by gram and
+    anchor distance, then sorted by a multikey quicksort on eight-byte words, all groups a
+    step at a time: a group is parted by a pivot word into less, equal and greater, of which
+    the equal part goes on to the next word. A window alone in its part is done.
     """
-    tail = -span % 8
     sizes = np.array([len(x) for x in content])
     buffer = np.frombuffer(b"".join(content) + bytes(8), dtype=np.uint8).astype(_U)
     word, size = buffer, 1
@@ -128,20 +128,29 @@ def repeated_windows(key: np.ndarray, left: np.ndarray, windows: np.ndarray, con
     of = np.repeat(np.arange(len(windows)), windows)
     nth = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
     start = (np.cumsum(sizes) - sizes)[of] + nth
+    depths = np.array([*range(0, span - 7, 8), *([span - 8] if span % 8 else [])])
     group = np.unique(key, return_inverse=True)[1][of] * (span + 1) + (left[of] - nth)
-    active = np.arange(total)
-    for depth in (*range(0, span - 7, 8), *([span - 8] if tail else [])):
-        now = word[start[active] + depth]
-        order = np.lexsort((now, group))
-        now, group, active = now[order], group[order], active[order]
-        new = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (now[1:] != now[:-1]))])
-        several = np.bincount(new)[new] > 1
-        active, group = active[several], new[several]
+    active = np.argsort(group, kind="stable")
+    group, level, found = group[active], np.zeros(total, dtype=np.int64), np.zeros(total, dtype=bool)
+    while True:
+        turn = np.flatnonzero(group[1:] != group[:-1]) + 1
+        first = np.concatenate([[0], turn]) if len(group) else turn
+        many = np.diff(np.append(first, len(group)))
+        kept = np.repeat(many > 1, many)
+        ended = level == len(depths)
+        found[active[kept & ended]] = True
+        kept &= ~ended
+        active, group, level = active[kept], group[kept], level[kept]
         if not len(active):
-            break
-    found = np.zeros(total, dtype=bool)
-    found[active] = True
-    return found
+            return found
+        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+        many = np.diff(np.append(first, len(group)))
+        now = word[start[active] + depths[level]]
+        pivot = np.repeat(now[first + many // 2], many)
+        part = np.repeat(np.arange(len(first)), many) * 3 + (now >= pivot) + (now > pivot)
+        order = np.argsort(part, kind="stable")
+        active, group, level = active[order], part[order], level[order]
+        level += group % 3 == 1
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,32 +298,36 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
 
     ``row`` must tell apart rows of different text.
     """
+    if span - gram > _AT[2] or gram < 8 or span < gram:
+        raise ValueError("span must be at least gram, and at most 255 more")
+    work = Workspace(docs.sparkSession)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.encode(F.col(text), "UTF-8").alias("text"))
-    all_stretches = docs.mapInArrow(_find_stretches(span, gram), _ddl(_STRETCH))
-    # written out, so that the join's partitions of a common gram can be split
-    shared = materialize(all_stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
-    found = materialize(all_stretches.join(shared, "key"), "stretches")
-    kinds = materialize(found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")), "kinds")
-    copied = found.join(kinds.where(F.col("n") > 1).select("key", "whole"), ["key", "whole"]).select("row", _span_of("at", span))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    wanted = kinds.join(mixed, "key").select(F.col("one.row").alias("row"), "key", "n", F.col("one.at").alias("at"), "kinds")
+    same_gram = Window.partitionBy("key")
+    same_content = Window.partitionBy("key", "whole").orderBy("row", "at")
+    whole = same_content.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one shuffle by gram serves all of these; a common gram's rows are read from disk where they don't fit
+    every = docs.mapInArrow(_find_stretches(span, gram), _ddl(_STRETCH)).withColumn("times", F.count(F.lit(1)).over(same_gram)).where(F.col("times") > 1)
+    counted = every.select("key", "row", "at", F.count(F.lit(1)).over(whole).alias("n"), F.row_number().over(same_content).alias("nth")).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(same_gram))
+    found = work.keep(counted.select("row", "at", "n", F.when((F.col("nth") == 1) & (F.col("kinds") > 1), F.col("key")).alias("key"), "kinds").where((F.col("n") > 1) | F.col("key").isNotNull()), "stretches")
+    copied = found.where(F.col("n") > 1).select("row", _span_of("at", span))
+    wanted = found.where(F.col("key").isNotNull())
 
     def listed(some: DataFrame) -> DataFrame:
         return some.groupBy("row").agg(F.collect_list(F.struct("key", "n", "at")).alias("wanted"))
 
-    top = mixed.agg(F.max("kinds"), F.sum("kinds")).first()
-    buckets = max(1, int((top[1] or 0) // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    top = wanted.agg(F.max("kinds"), F.count(F.lit(1))).first()
+    buckets = max(1, int(top[1] // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     snippets = docs.join(listed(wanted.where(F.col("kinds") <= hot)).hint("merge"), "row").mapInArrow(_cut_snippets(span), _ddl(_SNIPPET))
     sorted_in = snippets.repartitionByRange(buckets, "lead", "key").sortWithinPartitions("lead", "key")
     places = [copied, sorted_in.mapInArrow(_sort_bucket(span), _ddl(_PLACE))]
     if (top[0] or 0) > hot:
-        prints = materialize(docs.join(listed(wanted.where(F.col("kinds") > hot)).hint("merge"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
+        prints = work.keep(docs.join(listed(wanted.where(F.col("kinds") > hot)).hint("merge"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
         places.append(prints.join(twice, ["p", "q"]).select("row", F.shiftleft("start", 16).bitwiseOR(F.lit(span)).alias("span")))
     spans = places[0]
     for more in places[1:]:
         spans = spans.unionByName(more)
-    return spans.groupBy("row").agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>")
+    return work.result(spans.groupBy("row").agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>"))
 
 
 def _span_of(at: str, span: int) -> Column:
@@ -365,7 +378,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # rows alike in key and text have the same repeats, so they may share a number
     rows = docs.drop(*added).withColumn("_sd_row", F.xxhash64(F.col(id_col).cast("string"), text)).withColumn(text_col, text)
-    spans = materialize(repeated_spans(rows, "_sd_row", text_col, span, hot=hot), "spans").withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
+    spans = repeated_spans(rows, "_sd_row", text_col, span, hot=hot).withColumnsRenamed({"row": "_sd_row", "spans": "_sd_spans"})
     # merged at every size, so that the plan stays the same
     joined = rows.join(spans.hint("merge"), "_sd_row", "left").withColumn("_sd_text", F.encode(text_col, "UTF-8")).drop("_sd_row", text_col)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_sd_text", "_sd_spans")]
