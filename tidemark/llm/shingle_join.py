@@ -6,8 +6,8 @@ Identical sets are one node from the start. Then
    band's most central node and verified; what links joins a class.
 2. Links that could be missing: in a global order of shingles (rare before frequent, long
    before short) two sets of similarity t share one of their first ``n - ceil(t n) + 1``
-   shingles. Nodes of different classes that share such a shingle meet in a bucket, where a
-   signature tree finds the pairs that can still reach t: its nodes hold the OR of bitmaps of
+   shingles. Nodes of different classes that share such a shingle meet in a bucket of like
+   size, where a signature tree finds the pairs that can still reach t: its nodes hold the OR of bitmaps of
    shingles, the least count of set bits and the range of set sizes, and two subtrees are
    traversed together only while their largest possible overlap suffices. A bucket hands on
    a spanning forest of its pairs, so never more rows than it was given.
@@ -44,7 +44,7 @@ FREQUENT, FREQUENT_KEPT = 64, 200_000
 LOCAL_MIN, LOCAL_KEPT = 8, 8192
 LEAF = 8
 #: Sets, and shingles of sets, of a block; two blocks meet in a task.
-BLOCK, BLOCK_SHINGLES = 1024, 3_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_500_000
 #: Distinct keys up to which a selection of rows is broadcast.
 BROADCAST_KEYS = 1_000_000
 
@@ -334,15 +334,15 @@ def _joined(forest: _Forest, node: np.ndarray) -> pa.RecordBatch | None:
 
 
 def _candidates(threshold: tuple[int, int]) -> Callable:
-    """Per (token, cell), pairs that may reach the threshold, as few as keep together what they connect."""
+    """Per (token, size, cell), pairs that may reach the threshold, as few as keep together what they connect."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ("token", "cell")):
-            label, node = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("label", "node"))
+        for rows in _groups(batches, ("token", "size", "cell")):
+            label, node, home = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("label", "node", "home"))
             if (label == label[0]).all():
                 continue
             forest = _Forest(np.arange(len(rows)))
-            for a, b in similar_pairs(np.array([r["n"] for r in rows]), [r["bitmap"] for r in rows], threshold, lambda i, j: (label[i] != label[j]) & (forest.part[i] != forest.part[j])):
+            for a, b in tree_pairs(np.array([r["n"] for r in rows]), _fold([r["bitmap"] for r in rows]), threshold, lambda i, j: ((home[i] | home[j]) > 0) & (label[i] != label[j]) & (forest.part[i] != forest.part[j])):
                 forest.add(a, b, lambda i, j: True)
             if (out := _joined(forest, node)) is not None:
                 yield out
@@ -468,10 +468,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # shingles with the same nodes lead to the same pairs: one of them is enough
     several = work.keep(meeting.groupBy("times", "who").agg(F.min("token").alias("token")).select("token"), "several")
     meeting = meeting.join(several, "token", "left_semi")
-    bitmaps = work.keep(_picked(some.select("node", "n", "bitmap"), meeting.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
-    buckets = _cells(meeting, F.ceil(F.col("times") / BLOCK)).select("token", "cell", "node", "label").join(bitmaps, "node")
-    candidates = work.keep(buckets.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL).distinct(), "candidates")
-    work.drop("meeting", "several", "bitmaps")
+    # each node in the bucket of its size, and as a guest in the next; a bucket of one label or of guests only has no pair
+    size = F.floor(F.log("n") / F.lit(math.log(den / num)))
+    placed = meeting.join(nodes.select("node", "n"), "node").select("token", "node", "label", F.explode(F.array(F.struct(size.alias("size"), F.lit(1).alias("home")), F.struct((size + 1).alias("size"), F.lit(0).alias("home")))).alias("in")).select("token", "in.*", "node", "label")
+    bucket = Window.partitionBy("token", "size")
+    counted = placed.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high"), F.max("home").over(bucket).alias("homes"), F.count(F.lit(1)).over(bucket).alias("times"))
+    kept = work.keep(counted.where((F.col("low") != F.col("high")) & (F.col("homes") > 0)).drop("low", "high", "homes"), "placed")
+    bitmaps = work.keep(_picked(some.select("node", "n", "bitmap"), kept.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
+    buckets = _cells(kept, F.ceil(F.col("times") / BLOCK)).select("token", "size", "cell", "home", "node", "label").join(bitmaps, "node")
+    candidates = work.keep(buckets.repartition("token", "size", "cell").sortWithinPartitions("token", "size", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL).distinct(), "candidates")
+    work.drop("meeting", "several", "placed", "bitmaps")
     clusters = work.keep(components(candidates, work).withColumnRenamed("component", "cluster"), "clusters")
     sized = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     placed = _cells(clusters.join(sized, "cluster"), F.col("parts")).join(labels, "node", "left").select("cluster", "cell", "node", F.coalesce("component", "node").alias("label"))
