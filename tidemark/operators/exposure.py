@@ -12,10 +12,12 @@ c = F.col
 
 
 def inputs(features: DataFrame) -> DataFrame:
-    """Support, direction, conviction, hazards and the risk-off flag of each row; missing hazards count as .20."""
+    """Support, direction, conviction, hazards and the risk-off flag of each row; regime probabilities count as shares of their sum, missing hazards as .20."""
     # Thresholds of support, dominance and risk-off.
-    pos = clip01(c("P_DRIFT_HMM") + c("P_SURGE_HMM"))
-    x = features.withColumns({"pos": pos, "p_corr": F.coalesce("P_CORRECTION_10D_CAL", F.lit(0.20)), "p_reb": F.coalesce("P_REBOUND_10D_CAL", F.lit(0.20))})
+    regimes = ("P_CORE_HMM", "P_DRIFT_HMM", "P_SHOCK_HMM", "P_SURGE_HMM")
+    total = sum((c(n) for n in regimes[1:]), c(regimes[0]))
+    x = features.withColumns({n: F.when(total > 0, c(n) / total).when(total.isNotNull(), 0.25) for n in regimes})
+    x = x.withColumns({"pos": clip01(c("P_DRIFT_HMM") + c("P_SURGE_HMM")), "p_corr": F.coalesce(clip01(c("P_CORRECTION_10D_CAL")), F.lit(0.20)), "p_reb": F.coalesce(clip01(c("P_REBOUND_10D_CAL")), F.lit(0.20))})
     x = x.withColumns({"support": clip01(c("pos") + 0.5 * c("P_CORE_HMM")), "tilt": clip(c("pos") - c("P_SHOCK_HMM"), -1.0, 1.0), "dominance": clip01((c("hmm_confidence") - 0.35) / 0.35)})
     weak = F.coalesce(c("TS_50") <= 0, F.lit(False)) | F.coalesce(c("band_pos") <= 0.35, F.lit(False)) | F.coalesce((c("state_hmm_label") == "SHOCK") & (c("hmm_confidence") >= 0.60), F.lit(False))
     off = (c("P_SHOCK_HMM") >= 0.70) & (c("pos") <= 0.30) & (c("p_corr") >= 0.65) & weak
@@ -24,8 +26,7 @@ def inputs(features: DataFrame) -> DataFrame:
 
 def target() -> F.Column:
     """The safe profile's exposure before its step limit."""
-    health = clip01(c("support") * (1 - c("p_corr")) * (1 - c("p_corr")))
-    return F.when(c("risk_off"), 0.0).otherwise(0.15 + 0.85 * c("conviction") * health)
+    return F.when(c("risk_off"), 0.0).otherwise(0.15 + 0.85 * c("conviction") * clip01((1 - c("p_corr")) * (1 - c("p_corr"))))
 
 
 def safe_exposure(features: DataFrame, start: float = 0.15) -> DataFrame:
@@ -48,21 +49,28 @@ def safe_exposure(features: DataFrame, start: float = 0.15) -> DataFrame:
     return rows.groupBy("symbol").applyInPandas(scan, "symbol string, date date, risk_off boolean, exposure double, entry_step double")
 
 
-def aggressive_exposure(features: DataFrame, cap: float = 2.0, gain: float = 1.0, enter: float = 0.10, flip: float = 0.20) -> DataFrame:
-    """(symbol, date, direction, exposure, leverage): a signed profile; a direction is taken at ``enter`` and reversed at ``flip``."""
-    rows = inputs(features).where(c("tilt").isNotNull() & c("conviction").isNotNull()).select("symbol", "date", "tilt", "conviction", "pos", "p_corr", "p_reb")
+def aggressive_exposure(features: DataFrame, cap: float = 2.0, gain: float = 1.0, near: float = 0.10, far: float = 0.20) -> DataFrame:
+    """(symbol, date, direction, exposure, leverage, entry_step, risk_off): a signed profile.
+
+    The direction is the tilt's sign where that passes ``near`` on the side last taken (the
+    long side at first and after none), or ``far`` on the other; else, and in risk-off, it is none.
+    Exposure moves toward direction x conviction x (1 - hazard)^2 by .10, or by .50 into
+    risk-off. ``entry_step`` is the increase of its size unless it changes sides.
+    """
+    rows = inputs(features).where(c("tilt").isNotNull() & c("conviction").isNotNull()).select("symbol", "date", "tilt", "conviction", "pos", "p_corr", "p_reb", "risk_off")
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        way, out = 0, []
-        for tilt, conviction, pos, corr, reb in zip(*(rows[n] for n in ("tilt", "conviction", "pos", "p_corr", "p_reb")), strict=True):
-            if way == 0:
-                way = int(tilt >= enter) - int(tilt <= -enter)
-            elif way * tilt <= -flip:
-                way = -way
+        way, held, out = 0, 0.0, []
+        for tilt, conviction, pos, corr, reb, off in zip(*(rows[n] for n in ("tilt", "conviction", "pos", "p_corr", "p_reb", "risk_off")), strict=True):
+            up, down = (near, far) if way >= 0 else (far, near)
+            way = 0 if off else int(tilt > up) - int(tilt < -down)
             hazard = corr if way >= 0 else reb
-            size = max(-1.0, min(1.0, way * conviction * (1 - hazard)))
-            out.append((way, size, min(cap, 1 + gain * (cap - 1) * pos * conviction * (1 - hazard))))
-        return rows[["symbol", "date"]].assign(direction=[x for x, *_ in out], exposure=[y for _, y, _ in out], leverage=[z for *_, z in out])
+            goal, limit = max(-1.0, min(1.0, way * conviction * (1 - hazard) * (1 - hazard))), 0.5 if off else 0.1
+            now = max(-1.0, min(1.0, held + min(limit, max(-limit, goal - held))))
+            step = max(0.0, abs(now) - abs(held)) if held == 0 or now * held > 0 else 0.0
+            out.append((way, now, max(1.0, min(cap, 1 + gain * (cap - 1) * pos * conviction * (1 - hazard))), step))
+            held = now
+        return rows[["symbol", "date", "risk_off"]].assign(**{n: [x[i] for x in out] for i, n in enumerate(("direction", "exposure", "leverage", "entry_step"))})
 
-    return rows.groupBy("symbol").applyInPandas(scan, "symbol string, date date, direction int, exposure double, leverage double")
+    return rows.groupBy("symbol").applyInPandas(scan, "symbol string, date date, risk_off boolean, direction int, exposure double, leverage double, entry_step double")

@@ -66,34 +66,34 @@ def states(features: DataFrame) -> DataFrame:
 
 
 def trend_flags(features: DataFrame) -> DataFrame:
-    """Seven flags, the eight-way trend state and the five-way context; null flags count as false."""
-    for col, name in (("TS_50", "p_ts50"), ("TS_200", "p_ts200"), ("ER_20", "p_er20"), ("ER_50", "p_er50"), ("R_7", "p_r7"), ("R_14", "p_r14"), ("TS_20", "p_ts20")):
-        features = features.withColumn(name, percentile_rank(c(col)))
-    flag = lambda e: F.coalesce(e, F.lit(False))
-    x = features.withColumns(
+    """Seven flags, the eight-way trend state and the five-way context; all are null where an input or its percentile is missing."""
+    inputs = ("TS_20", "TS_50", "TS_200", "ER_20", "ER_50", "R_14", "R_7", "LR_20")
+    x = features.withColumns({f"p_{n.lower()}": percentile_rank(c(n)) for n in inputs})
+    known = sum((c(n).isNull().cast("int") for n in inputs), F.lit(0)) == 0  # a known value has a rank
+    x = x.withColumns(
         {
-            "supportive": flag((c("TS_50") > 0) & (c("TS_200") > 0) & ((c("TS_20") > 0) | ((c("TS_20") > -0.08) & (c("LR_20") > 0)))),
-            "weak": flag((c("TS_50") <= 0) & (c("TS_200") <= 0)),
-            "clean": flag((c("p_er20") >= 0.60) & (c("p_er50") >= 0.67)),
-            "noisy": flag((c("p_er20") <= 0.33) & (c("p_er50") <= 0.40)),
-            "rebound": flag((c("TS_20") > 0) & (c("LR_20") > 0) & (c("R_14") <= 0)),
-            "extended": flag((c("p_r7") >= 0.80) | (c("p_r14") >= 0.80)),
+            "supportive": (c("TS_50") > 0) & (c("TS_200") > 0) & ((c("TS_20") > 0) | ((c("TS_20") > -0.08) & (c("LR_20") > 0))),
+            "weak": (c("TS_50") <= 0) & (c("TS_200") <= 0),
+            "clean": (c("p_er_20") >= 0.60) & (c("p_er_50") >= 0.67),
+            "noisy": (c("p_er_20") <= 0.33) & (c("p_er_50") <= 0.40),
+            "rebound": (c("TS_20") > 0) & (c("LR_20") > 0) & (c("R_14") <= 0),
+            "extended": (c("p_r_7") >= 0.80) | (c("p_r_14") >= 0.80),
         }
     )
-    x = x.withColumns({"strong": c("supportive") & flag((c("p_ts50") >= 0.60) & (c("p_ts200") >= 0.55)), "pullback": c("supportive") & flag((c("R_7") < 0) & (c("R_14") <= 0.03)), "very_extended": c("extended") & flag((c("TS_20") > 0) & (c("p_ts20") >= 0.67))})
-    known = c("TS_20").isNotNull() & c("TS_50").isNotNull() & c("TS_200").isNotNull()
+    x = x.withColumns({"strong": c("supportive") & (c("p_ts_50") >= 0.60) & (c("p_ts_200") >= 0.55), "pullback": c("supportive") & (c("R_7") < 0) & (c("R_14") <= 0.03), "very_extended": c("extended") & (c("TS_20") > 0) & (c("p_ts_20") >= 0.67)})
     state = (
         F.when(c("strong") & c("clean") & ~c("pullback") & ~c("very_extended"), "STRONG_CLEAN_UPTREND")
-        .when(c("pullback") & flag(c("ER_50") > 0.10), "PULLBACK_IN_UPTREND")
+        .when(c("pullback") & (c("ER_50") > 0.10), "PULLBACK_IN_UPTREND")
         .when(c("supportive") & c("clean"), "WEAK_UPTREND")
         .when(c("supportive"), "NOISY_UPTREND")
-        .when(c("weak") & c("rebound") & flag(c("ER_20") >= 0.18), "CLEAN_REBOUND_ATTEMPT")
+        .when(c("weak") & c("rebound") & (c("ER_20") >= 0.18), "CLEAN_REBOUND_ATTEMPT")
         .when(c("weak"), "BEARISH_PRESSURE")
-        .when(flag(c("ER_20") <= 0.14) & flag(c("ER_50") <= 0.10), "CHOPPY_NEUTRAL")
+        .when((c("ER_20") <= 0.14) & (c("ER_50") <= 0.10), "CHOPPY_NEUTRAL")
         .otherwise("FAILED_BOUNCE_OR_WEAK_STRUCTURE")
     )
-    context = F.when(c("pullback"), "PULLBACK").when(c("weak") & c("rebound"), "REBOUND_ATTEMPT").when(c("very_extended"), "EXTENDED").when(c("clean") & flag((c("R_7") > 0) & (c("R_14") > 0)), "EARLY_MOVE").otherwise("CHOP")
-    return x.select("symbol", "date", F.when(known, state).alias("trend_state_v1"), F.when(known, context).alias("trend_context_v1"), *[c(n).cast("int").alias(n) for n in ("supportive", "strong", "weak", "clean", "noisy", "pullback", "rebound", "extended")])
+    context = F.when(c("pullback"), "PULLBACK").when(c("weak") & c("rebound"), "REBOUND_ATTEMPT").when(c("very_extended"), "EXTENDED").when(c("clean") & (c("R_7") > 0) & (c("R_14") > 0), "EARLY_MOVE").otherwise("CHOP")
+    flags = {"supportive_structure_flag": "supportive", "weak_backdrop_flag": "weak", "clean_trend_flag": "clean", "noisy_trend_flag": "noisy", "pullback_flag": "pullback", "rebound_attempt_flag": "rebound", "extended_move_flag": "extended"}
+    return x.select("symbol", "date", F.when(known, state).alias("trend_state_v1"), F.when(known, context).alias("trend_context_v1"), *[F.when(known, c(n).cast("double")).alias(name) for name, n in flags.items()])
 
 
 def runs(rows: DataFrame, state: str) -> DataFrame:

@@ -262,19 +262,19 @@ def state_runs(spark, sf_dir):
     return found.select("symbol", "date", "trend_state", c("run_id").cast("long").alias("run_id"), c("run_age").cast("long").alias("run_age"), "run_length")
 
 
-_flag = lambda e: f"coalesce({e}, false)"
+TREND_INPUTS = ("TS_20", "TS_50", "TS_200", "ER_20", "ER_50", "R_14", "R_7", "LR_20")
 TREND = f"""
-t0 AS (SELECT *, {", ".join(f"{_rank(n)} AS p_{n}" for n in ("TS_50", "TS_200", "ER_20", "ER_50", "R_7", "R_14", "TS_20"))} FROM store),
-t1 AS (SELECT *, {_flag("TS_50 > 0 AND TS_200 > 0 AND (TS_20 > 0 OR (TS_20 > -0.08 AND LR_20 > 0))")} AS supportive, {_flag("TS_50 <= 0 AND TS_200 <= 0")} AS weak, {_flag("p_ER_20 >= 0.6 AND p_ER_50 >= 0.67")} AS clean,
-       {_flag("p_ER_20 <= 0.33 AND p_ER_50 <= 0.4")} AS noisy, {_flag("TS_20 > 0 AND LR_20 > 0 AND R_14 <= 0")} AS rebound, {_flag("p_R_7 >= 0.8 OR p_R_14 >= 0.8")} AS extended FROM t0),
-t2 AS (SELECT *, supportive AND {_flag("p_TS_50 >= 0.6 AND p_TS_200 >= 0.55")} AS strong, supportive AND {_flag("R_7 < 0 AND R_14 <= 0.03")} AS pullback, extended AND {_flag("TS_20 > 0 AND p_TS_20 >= 0.67")} AS very FROM t1)"""
+t0 AS (SELECT *, {", ".join(f"{_rank(n)} AS p_{n}" for n in TREND_INPUTS)}, {" AND ".join(f"{n} IS NOT NULL" for n in TREND_INPUTS)} AS known FROM store),
+t1 AS (SELECT *, TS_50 > 0 AND TS_200 > 0 AND (TS_20 > 0 OR (TS_20 > -0.08 AND LR_20 > 0)) AS supportive, TS_50 <= 0 AND TS_200 <= 0 AS weak, p_ER_20 >= 0.6 AND p_ER_50 >= 0.67 AS clean,
+       p_ER_20 <= 0.33 AND p_ER_50 <= 0.4 AS noisy, TS_20 > 0 AND LR_20 > 0 AND R_14 <= 0 AS rebound, p_R_7 >= 0.8 OR p_R_14 >= 0.8 AS extended FROM t0),
+t2 AS (SELECT *, supportive AND p_TS_50 >= 0.6 AND p_TS_200 >= 0.55 AS strong, supportive AND R_7 < 0 AND R_14 <= 0.03 AS pullback, extended AND TS_20 > 0 AND p_TS_20 >= 0.67 AS very FROM t1)"""
 
 
 @query(
-    f"""WITH {sf.features_cte()},{TREND} SELECT symbol, date, CASE WHEN TS_20 IS NULL OR TS_50 IS NULL OR TS_200 IS NULL THEN NULL WHEN strong AND clean AND NOT pullback AND NOT very THEN 'STRONG_CLEAN_UPTREND' WHEN pullback AND {_flag("ER_50 > 0.1")} THEN 'PULLBACK_IN_UPTREND'
-    WHEN supportive AND clean THEN 'WEAK_UPTREND' WHEN supportive THEN 'NOISY_UPTREND' WHEN weak AND rebound AND {_flag("ER_20 >= 0.18")} THEN 'CLEAN_REBOUND_ATTEMPT' WHEN weak THEN 'BEARISH_PRESSURE' WHEN {_flag("ER_20 <= 0.14 AND ER_50 <= 0.1")} THEN 'CHOPPY_NEUTRAL' ELSE 'FAILED_BOUNCE_OR_WEAK_STRUCTURE' END AS trend_state_v1,
-    CASE WHEN TS_20 IS NULL OR TS_50 IS NULL OR TS_200 IS NULL THEN NULL WHEN pullback THEN 'PULLBACK' WHEN weak AND rebound THEN 'REBOUND_ATTEMPT' WHEN very THEN 'EXTENDED' WHEN clean AND {_flag("R_7 > 0 AND R_14 > 0")} THEN 'EARLY_MOVE' ELSE 'CHOP' END AS trend_context_v1,
-    {", ".join(f"CAST({n} AS INT) AS {n}" for n in ("supportive", "strong", "weak", "clean", "noisy", "pullback", "rebound", "extended"))} FROM t2"""
+    f"""WITH {sf.features_cte()},{TREND} SELECT symbol, date, CASE WHEN NOT known THEN NULL WHEN strong AND clean AND NOT pullback AND NOT very THEN 'STRONG_CLEAN_UPTREND' WHEN supportive AND pullback AND ER_50 > 0.1 THEN 'PULLBACK_IN_UPTREND'
+    WHEN supportive AND clean THEN 'WEAK_UPTREND' WHEN supportive AND NOT clean THEN 'NOISY_UPTREND' WHEN weak AND rebound AND ER_20 >= 0.18 THEN 'CLEAN_REBOUND_ATTEMPT' WHEN weak THEN 'BEARISH_PRESSURE' WHEN ER_20 <= 0.14 AND ER_50 <= 0.1 THEN 'CHOPPY_NEUTRAL' ELSE 'FAILED_BOUNCE_OR_WEAK_STRUCTURE' END AS trend_state_v1,
+    CASE WHEN NOT known THEN NULL WHEN pullback THEN 'PULLBACK' WHEN weak AND rebound THEN 'REBOUND_ATTEMPT' WHEN very THEN 'EXTENDED' WHEN clean AND R_7 > 0 AND R_14 > 0 THEN 'EARLY_MOVE' ELSE 'CHOP' END AS trend_context_v1,
+    {", ".join(f"CASE WHEN known THEN CAST({n} AS DOUBLE) END AS {name}" for n, name in (("supportive", "supportive_structure_flag"), ("weak", "weak_backdrop_flag"), ("clean", "clean_trend_flag"), ("noisy", "noisy_trend_flag"), ("pullback", "pullback_flag"), ("rebound", "rebound_attempt_flag"), ("extended", "extended_move_flag")))} FROM t2"""
 )
 def trend_states(spark, sf_dir):
     return states.trend_flags(feature_store(spark, sf_dir))

@@ -45,7 +45,7 @@ EXPOSURE = f"""
 e0 AS (SELECT *, {_c01("(P_DRIFT_HMM + P_SURGE_HMM)")} AS pos, coalesce(P_CORRECTION_10D_CAL, 0.2) AS p_corr, coalesce(P_REBOUND_10D_CAL, 0.2) AS p_reb FROM ctx),
 e1 AS (SELECT *, {_c01("(pos + 0.5 * P_CORE_HMM)")} AS support, CASE WHEN pos IS NOT NULL THEN least(greatest(pos - P_SHOCK_HMM, -1.0), 1.0) END AS tilt, {_c01("((hmm_confidence - 0.35) / 0.35)")} AS dominance FROM e0),
 e2 AS (SELECT *, {_c01("(support * dominance)")} AS conviction, coalesce(P_SHOCK_HMM >= 0.7 AND pos <= 0.3 AND p_corr >= 0.65 AND (coalesce(TS_50 <= 0, false) OR coalesce(band_pos <= 0.35, false) OR coalesce(state_hmm_label = 'SHOCK' AND hmm_confidence >= 0.6, false)), false) AS risk_off FROM e1),
-e3 AS (SELECT symbol, date, risk_off, tilt, conviction, pos, p_corr, p_reb, CASE WHEN risk_off THEN 0.0 ELSE 0.15 + 0.85 * conviction * {_c01("(support * (1 - p_corr) * (1 - p_corr))")} END AS target FROM e2)"""
+e3 AS (SELECT symbol, date, risk_off, tilt, conviction, pos, p_corr, p_reb, CASE WHEN risk_off THEN 0.0 ELSE 0.15 + (1 - 0.15) * conviction * {_c01("pow(1 - p_corr, 2)")} END AS target FROM e2)"""
 
 
 @query(
@@ -58,12 +58,18 @@ def exposure_safe(spark, sf_dir):
     return rounded_doubles(exposure.safe_exposure(sq.context_frame(spark, sf_dir)))
 
 
+_move = lambda held: f"least(1.0, greatest(-1.0, {held} + least(lim, greatest(-lim, e_star - {held}))))"
+
+
 @query(
-    f"""WITH RECURSIVE {sq.SQL_CONTEXT},{EXPOSURE}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM e3 WHERE tilt IS NOT NULL AND conviction IS NOT NULL),
-    s AS (SELECT symbol, i, CAST(tilt >= 0.1 AS INT) - CAST(tilt <= -0.1 AS INT) AS way FROM g WHERE i = 1
-      UNION ALL SELECT g.symbol, g.i, CASE WHEN s.way = 0 THEN CAST(g.tilt >= 0.1 AS INT) - CAST(g.tilt <= -0.1 AS INT) WHEN s.way * g.tilt <= -0.2 THEN -s.way ELSE s.way END FROM s JOIN g ON g.symbol = s.symbol AND g.i = s.i + 1)
-    SELECT g.symbol, g.date, way AS direction, {r("greatest(-1.0, least(1.0, way * conviction * (1 - CASE WHEN way >= 0 THEN p_corr ELSE p_reb END)))")} AS exposure,
-      {r("least(2.0, 1 + pos * conviction * (1 - CASE WHEN way >= 0 THEN p_corr ELSE p_reb END))")} AS leverage FROM s JOIN g USING (symbol, i)"""
+    f"""WITH RECURSIVE {sq.SQL_CONTEXT},{EXPOSURE}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, CASE WHEN risk_off THEN 0.5 ELSE 0.1 END AS lim FROM e3 WHERE tilt IS NOT NULL AND conviction IS NOT NULL),
+    s AS (SELECT symbol, CAST(0 AS BIGINT) AS i, 0 AS d, CAST(0.0 AS DOUBLE) AS was, CAST(0.0 AS DOUBLE) AS e FROM g WHERE i = 1
+      UNION ALL SELECT symbol, i, d, e, {_move("e")} FROM (
+        SELECT *, least(1.0, greatest(-1.0, d * conviction * pow(1 - CASE WHEN d < 0 THEN p_reb ELSE p_corr END, 2))) AS e_star FROM (
+          SELECT g.*, s.e, CASE WHEN g.risk_off THEN 0 WHEN s.d >= 0 AND g.tilt > 0.1 THEN 1 WHEN s.d >= 0 AND g.tilt < -0.2 THEN -1 WHEN s.d < 0 AND g.tilt < -0.1 THEN -1 WHEN s.d < 0 AND g.tilt > 0.2 THEN 1 ELSE 0 END AS d
+          FROM s JOIN g ON g.symbol = s.symbol AND g.i = s.i + 1)))
+    SELECT g.symbol, g.date, g.risk_off, s.d AS direction, {r("s.e")} AS exposure, {r("least(2.0, greatest(1.0, 1 + g.pos * g.conviction * (1 - CASE WHEN s.d < 0 THEN g.p_reb ELSE g.p_corr END)))")} AS leverage,
+      {r("CASE WHEN sign(s.e) = sign(s.was) OR s.was = 0 THEN greatest(0.0, abs(s.e) - abs(s.was)) ELSE 0.0 END")} AS entry_step FROM s JOIN g ON g.symbol = s.symbol AND g.i = s.i"""
 )
 def exposure_aggressive(spark, sf_dir):
     return rounded_doubles(exposure.aggressive_exposure(sq.context_frame(spark, sf_dir)))
