@@ -34,7 +34,7 @@ END_ID = 2
 SENTENCE_CUT = 2
 HARD_CUT = 16
 BLOCK_WINDOWS = 256
-#: Entries that an encoder remembers; more chunks are encoded without being remembered.
+#: Chunks that an encoder gathers before it forgets those not met since.
 REMEMBERED = 400_000
 
 PIECES = T.StructType(
@@ -52,14 +52,18 @@ _ARROW = pa.schema([(f.name, pa.int64()) for f in PIECES.fields])
 
 
 class ChunkEncoder(dict):
-    """Ids of a white-space-free chunk as little-endian bytes, remembered for repeated chunks.
+    """Ids of texts as little-endian bytes; those of white-space-free chunks are remembered.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are
-    those of its chunks in order. Texts for which that could fail (separators that Python and
-    the tokenizer disagree on, special token strings) are encoded whole.
+    those of its chunks in order. Of a chunk of ASCII signs and Latin-1 letters the
+    pre-tokenizer's pieces are known too, and the model alone is asked for each. Texts for
+    which that could fail (separators that Python and the tokenizer disagree on, special token
+    strings) are encoded whole.
     """
 
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+    _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    # fixed values: the pieces of the vocabulary file's own pre-tokenizer, for such chunks in lower case
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
     _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>")
 
     def __init__(self, path: str):
@@ -68,10 +72,11 @@ class ChunkEncoder(dict):
 
         self._tok = Tokenizer.from_file(path)
         self._model = self._tok.model
-        self._words: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}  # what was remembered until there was too much of it
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self._letters = dict(zip(shown, shown, strict=True)) | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self._marks = {m: self._ask(m) for m in (".", ",", "")}
+        self._piece = lru_cache(maxsize=REMEMBERED)(self._ask_model)
+        self._marks = {m: self._ask(m) for m in ".,"}
         self.sentence_ends = np.unique(
             [np.frombuffer(self._ask(m), dtype="<u4")[-1] for m in (".", "!", "?", "...", '."', ".)", "。")]
         )
@@ -79,21 +84,21 @@ class ChunkEncoder(dict):
     def _ask(self, text: str) -> bytes:
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _ask_model(self, piece: str) -> bytes:
+        shape = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(shape)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        stem, mark = (chunk[:-1], self._marks[chunk[-1]]) if chunk[-1] in ".," else (chunk, b"")
+        if stem.isalpha() and stem.isascii():  # nearly all chunks
+            return self._piece(stem.lower()) + mark
+        if self._SIMPLE.fullmatch(chunk):
+            return b"".join(map(self._piece, self._PIECES.findall(chunk.lower())))
+        return self._ask(chunk)
+
     def __missing__(self, chunk: str) -> bytes:
-        plain = self._PLAIN.fullmatch(chunk)
-        if plain:
-            word = plain[1].lower()
-            ids = self._words.get(word)
-            if ids is None:
-                # a lower-case run of letters is one piece of the pre-tokenizer: ask the model alone
-                shape = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
-                ids = array("I", [t.id for t in self._model.tokenize(shape)]).tobytes()
-                if len(self._words) < REMEMBERED:
-                    self._words[word] = ids
-            ids += self._marks[plain[2]]
-        else:
-            ids = self._ask(chunk)
-        if len(self) < REMEMBERED and len(chunk) < 40:
+        ids = self._before.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= 40:
             self[chunk] = ids
         return ids
 
@@ -102,6 +107,9 @@ class ChunkEncoder(dict):
             return b""
         if any(x in text for x in self._WHOLE):
             return self._ask(text)
+        if len(self) > REMEMBERED:
+            self._before = self.copy()
+            self.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -224,9 +232,8 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                packer.add(names[i].as_py(), np.frombuffer(words.encode(texts[i].as_py()) + tail, dtype="<u4"))
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(name, np.frombuffer(words.encode(text.as_py()) + tail, dtype="<u4"))
                 if packer.waiting >= BLOCK_WINDOWS * window and (rows := packer.flush(False)):
                     yield out(rows)
         if rows := packer.flush(True):
