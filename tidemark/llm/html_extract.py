@@ -29,12 +29,17 @@ KINDS = 4000
 BOILERPLATE = -0.1
 
 # Names from the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
+RAW = "script|style|noscript|template|textarea|iframe|select|title"
 REGIONS = frozenset("article main nav header footer aside form section dialog menu head".split())
 NEVER = frozenset("nav header footer aside form dialog menu head button".split())
-#: Names in class, id or role that mark boilerplate.
+#: Elements that a name can make boilerplate: text blocks such as quotations are the article's own, whatever they are called.
+NAMED = frozenset("div section ul ol dl p".split())
+#: Names that speak against a weak mark of boilerplate on the same element, and such marks.
+CONTENT = frozenset("article content entry main post story body text main-content article-body article-content post-content post-body entry-content story-body".split())
+WEAK = frozenset("alert banner foot head header notice notices related search share sharing side social tags widget".split())
+#: Names in class, id or role that mark boilerplate. These rules hold against learned scores: a labelled page counts the adverts in its article as inside.
 NAMES = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-?list|replies|respond|consent|cookies?\w*|gdpr|disqus|footer|foot|header|masthead|menu\w*|nav\w*|newsletter|notices?|pagination|pager|popup|modal|promo\w*|recommend\w*|related|share|sharing|shoutbox|sidebar\w*|side|social\w*|sponsor\w*|subscribe|tags|toolbar|widget\w*|alert|complementary|contentinfo|navigation|search)(?![a-z])",
     re.I,
@@ -48,48 +53,101 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _named_bad(name: str, attributes: str) -> bool:
+    """Do class, id or role mark the element as boilerplate?"""
+    if name not in NAMED:
+        return False
+    said = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
+    marks = [m[0] for m in NAMES.finditer(said)]
+    return bool(marks) and not (all(m in WEAK for m in marks) and CONTENT.intersection(said.split()))
+
+
+def _wide_forms(found: list[re.Match]) -> set[int]:
+    """Places of forms that wrap the page: they hold an ``article`` or ``main``, or half of all words."""
+    forms, at, total = [], None, 0  # place, words, holds the article
+    for i, m in enumerate(found):
+        if m[0][0] != "<" or m[0] == "<":
+            total += len(m[0].split())
+            continue
+        name = (m[3] or m[6] or "").lower()
+        if name == "form":
+            if at is not None:
+                forms.append((at[0], total - at[1], at[2]))
+            at = None if m[2] or m[5] else [i, total, False]
+        elif at is not None and name in ("article", "main"):
+            at[2] = True
+    if at is not None:
+        forms.append((at[0], total - at[1], at[2]))
+    return {i for i, words, holds in forms if holds or 2 * words >= total > 0}
+
+
+class _Open:
+    """The open elements, with counts that spare a look through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []
+        self.regions = ["body"]
+        self.count: Counter = Counter()
+        self.bad = 0
+
+    def push(self, name: str, bad: bool) -> None:
+        self.stack.append((name, bad))
+        self.count[name] += 1
+        self.bad += bad
+        if name in REGIONS:
+            self.regions.append(name)
+
+    def pop(self) -> str:
+        name, bad = self.stack.pop()
+        self.count[name] -= 1
+        self.bad -= bad
+        if name in REGIONS:
+            self.regions.pop()
+        return name
+
+    @property
+    def inside(self) -> bool:
+        return self.count["article"] + self.count["main"] > 0
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, text, breaks, inside): text is empty for a tag; breaks: a block begins or ends here.
 
     The kind of text is ``block/region``, with ``@a`` in a link and ``!`` under boilerplate;
-    inside: an open ``article`` or ``main`` holds it.
+    inside: an open ``article`` or ``main`` holds it. Takes time in proportion to the page,
+    however deep it nests.
     """
-    stack: list[tuple[str, bool]] = []
-    links = 0
-    for m in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    wide, now, links = _wide_forms(found), _Open(), 0
+    for i, m in enumerate(found):
         token = m[0]
         if token[0] != "<" or token == "<":
-            block = stack[-1][0] if stack else "body"
-            region = next((t for t, _ in reversed(stack) if t in REGIONS), "body")
-            bad = any(b for _, b in stack)
-            yield f"{block}/{region}{'@a' if links else ''}{'!' if bad else ''}", token, False, any(t in ("article", "main") for t, _ in stack)
+            block = now.stack[-1][0] if now.stack else "body"
+            yield f"{block}/{now.regions[-1]}{'@a' if links else ''}{'!' if now.bad else ''}", token, False, now.inside
             continue
         name = (m[3] or m[6] or "").lower()
         if not name:
             yield "<raw>", "", False, False
             continue
         closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        inside = now.inside
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
-            yield f"<{name}>", "", False, any(t in ("article", "main") for t, _ in stack)
+            yield f"<{name}>", "", False, inside
             continue
-        inside = any(t in ("article", "main") for t, _ in stack)
         if closing:
-            if any(t == name for t, _ in stack):
-                while stack.pop()[0] != name:
+            if now.count[name]:
+                while now.pop() != name:
                     pass
             links = 0
         elif name not in VOID and not attributes.endswith("/"):
             if name in ("article", "main", "body"):  # what was left open before doesn't hold the content
-                while stack and stack[-1][1]:
-                    stack.pop()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            bad = name in NEVER
-            if not bad and name not in ("html", "body", "article", "main"):
-                bad = any(NAMES.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
-            stack.append((name, bad))
+                while now.stack and now.stack[-1][1]:
+                    now.pop()
+            if now.stack and now.stack[-1][0] == "p":
+                now.pop()
+            now.push("div" if i in wide else name, i not in wide and (name in NEVER or name not in ("html", "body", "article", "main") and _named_bad(name, attributes)))
             links = 0
         yield f"<{'/' if closing else ''}{name}>", "", True, inside
 
@@ -97,7 +155,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 def default_score(kind: str) -> float:
     """Of a kind that no labelled page has shown often enough."""
     if kind[0] == "<":
-        return -0.5
+        return -0.1 if kind[1:-1] in INLINE else -0.5
     return BOILERPLATE if kind.endswith("!") else 0.2 if "@a" in kind else 1.0
 
 
