@@ -282,6 +282,34 @@ def test_html(spark):
     assert html_extract.main_text("<body><p>some words here</p></body>", {}) == "some words here"
 
 
+def test_html_against_a_plain_extractor(spark):
+    """Pages made of known parts: what a reader would copy by hand is the article's blocks in order."""
+    rng = np.random.default_rng(14)
+    junk = ["<nav><ul><li><a href='/a'>{}</a></li></ul></nav>", "<div class='cookie-notice'>{}</div>", "<aside><p>{}</p></aside>", "<div id=comments><p>{}</p></div>", "<form>{}<input></form>", "<footer>{}</footer>", "<script>{}</script>", "<div class='ad'>{}</div>"]
+    inner = ["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote class='share'>{}</blockquote>", "<pre>{}</pre>", "<p><b>{}</b></p>", "<p><math><mi>{}</mi></math></p>"]
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [prose(rng, rng.integers(5, 60)) for _ in range(rng.integers(4, 12))]
+        parts = [inner[rng.integers(len(inner))].format(b) for b in blocks]
+        if i % 3 == 0:
+            parts.insert(2, junk[-1].format(prose(rng, 6)))
+        article = "".join(parts)
+        article = f"<article>{article}</article>" if i % 4 else f"<div class='content side'>{article}</div>"
+        before, after = ("".join(junk[k].format(prose(rng, 8)) for k in rng.permutation(len(junk))[:3]) for _ in range(2))
+        page = f"<html><head><title>t</title></head><body>{before}{article}{after}</body></html>"
+        if i % 5 == 0:
+            page = page.replace("<body>", "<body><form action='/'>").replace("</body>", "</form></body>")
+            page = page.replace("<form><input></form>", "")
+        rows.append((i, page, "kept"))
+        want[i] = " ".join(b.strip() for b in blocks)
+    rows += [(100, "<div>" * 50_000 + "deep words stay here", "kept"), (101, "<p>" + "word " * 200_000, "kept"), (102, rows[1][1], "kept"), (102, rows[1][1], "kept")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract(df, html_extract.learn_weights(df)).collect()]
+    texts = dict(got)
+    assert len(got) == len(rows) and texts[100] == "deep words stay here" and len(texts[101].split()) == 200_000 and texts[102] == texts[1]
+    assert np.mean([texts[i] == want[i] for i in want]) >= 0.95
+
+
 def test_best_region_is_maximal():
     rng = np.random.default_rng(4)
     for _ in range(50):

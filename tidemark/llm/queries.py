@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,25 +46,33 @@ def _render(vectors: np.ndarray, side: int = 96) -> np.ndarray:
 
 
 def media_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture for every embedding. Ids ending in 3 and 7 show the picture of the id before: one cropped, one turned and darkened."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").alias("image_id"), "embedding")
-    edit = F.col("image_id") % 10
-    shown = vectors.withColumn("shown", F.when(edit.isin(3, 7), F.col("image_id") - 1).otherwise(F.col("image_id")))
-    source = vectors.select(F.col("image_id").alias("shown"), F.col("embedding").alias("drawn"))
-    rows = shown.drop("embedding").join(source, "shown").select("image_id", "drawn")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A picture for every embedding. Ids ending in 3 and 7 show the picture of the id before: one cropped, one turned and darkened.
+
+    Without such an id before, or where its vector hasn't 64 finite components, an id shows its own; without such a vector of its own, none.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    vectors = vectors.withColumn("embedding", F.when(fine, F.col("embedding")))
+    edited = F.when((F.col("image_id") % 10).isin(3, 7), F.col("image_id") - 1)
+    source = vectors.where((F.col("image_id") % 10).isin(2, 6)).groupBy(F.col("image_id").alias("shown")).agg(F.max("embedding").alias("drawn"))
+    rows = vectors.withColumn("shown", edited).join(source, "shown", "left").select("image_id", F.col("drawn").isNotNull().alias("edited"), F.coalesce("drawn", "embedding").alias("drawn"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = []
-            for name, grey in zip(batch["image_id"], _render(np.stack(batch["drawn"]).astype(np.float64)), strict=True) if len(batch) else ():
-                if name % 10 == 3:
-                    grey = grey[9:, 14:]
-                elif name % 10 == 7:
-                    grey = (np.rot90(grey) * 0.85 + 12).astype(np.uint8)
-                media.append({"width": grey.shape[1], "height": grey.shape[0], "pixels": grey.tobytes()})
-            yield pd.DataFrame({"image_id": batch["image_id"], "media": media})
-
-    return rows.mapInPandas(draw, "image_id long, media struct<width:int,height:int,pixels:binary>")
+            for begin in range(0, batch.num_rows, image_copies.AT_ONCE):
+                part = batch.slice(begin, image_copies.AT_ONCE)
+                there = np.flatnonzero(part["drawn"].is_valid().to_numpy(zero_copy_only=False))
+                greys = iter(_render(part["drawn"].flatten().to_numpy().reshape(-1, 64)) if len(there) else ())
+                media: list[dict | None] = [None] * part.num_rows
+                for i in there:
+                    grey = next(greys)
+                    if part["edited"][i].as_py():
+                        grey = grey[9:, 14:] if part["image_id"][i].as_py() % 10 == 3 else (np.rot90(grey) * 0.85 + 12).astype(np.uint8)
+                    media[i] = {"width": grey.shape[1], "height": grey.shape[0], "pixels": grey.tobytes()}
+                yield pa.RecordBatch.from_arrays([part["image_id"], pa.array(media, kind)], names=["image_id", "media"])
+
+    kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+    return rows.mapInArrow(draw, "image_id long, media struct<width:int,height:int,pixels:binary>")
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
