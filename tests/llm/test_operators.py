@@ -365,6 +365,63 @@ def test_copied_pictures(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2, 50: 50, 51: 51, 52: 52}
 
 
+def test_edited_pictures_against_a_brute_force_matcher(spark):
+    """Noisy, smaller, cropped and turned copies: what comparing all descriptors of two pictures finds, the hash tables find too; a crowd of copies, blank pictures and repeated ids."""
+    import math
+
+    from tidemark.llm.queries import _render
+
+    rng = np.random.default_rng(7)
+    base = _render(rng.normal(size=(14, 64)))
+    edits = [
+        lambda p: np.clip(p + rng.normal(0, 4, p.shape), 0, 255).astype(np.uint8),
+        lambda p: np.rint(image_copies.resized(p.astype(float), 0.8)).astype(np.uint8),
+        lambda p: p[9:, 14:],
+        lambda p: (np.rot90(p) * 0.85 + 12).astype(np.uint8),
+    ]
+    pictures = {i: p for i, p in enumerate(base)} | {100 * (k + 1) + i: f(p) for k, f in enumerate(edits) for i, p in enumerate(base)}
+    crowd = {1000 + k: np.clip(base[0] + rng.normal(0, 2, base[0].shape), 0, 255).astype(np.uint8) for k in range(3 * image_copies.ALL_PAIRS)}
+    blank = {2000: np.zeros((90, 90), np.uint8), 2001: np.full((90, 90), 7, np.uint8), 2002: np.zeros((500, 700), np.uint8)}
+
+    def media(p):
+        return {"width": p.shape[1], "height": p.shape[0], "pixels": bytearray(p.tobytes())}
+
+    rows = [(i, media(p), "x") for i, p in (pictures | crowd | blank).items()] + [(0, media(base[0]), "x"), (None, media(base[1]), "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "image_id long, media struct<width:int,height:int,pixels:binary>, label string")
+    found = image_copies.copies(df).collect()
+    got = {r["image_id"]: r["class_id"] for r in found if r["image_id"] is not None}
+    assert len(found) == len(rows) and all(got[i] == i for i in (*range(14), *blank)) and {got[i] for i in crowd} == {0}
+    assert sorted(str(r["class_id"]) for r in found if r["image_id"] is None) == ["1", "None"]
+
+    def brute(p, q):
+        (b, at), (b2, at2) = image_copies.describe(p), image_copies.describe(q)
+        near = np.argwhere(np.bitwise_count(b.view("<u8")[:, None] ^ b2.view("<u8")[None]).sum(axis=2) <= image_copies.NEAR_BITS)
+        votes = defaultdict(set)
+        for i, j in near:
+            turn, scale = (at2[j, 3] - at[i, 3]) % (2 * math.pi), at[i, 2] / at2[j, 2]
+            dx = at2[j, 0] - scale * (math.cos(turn) * at[i, 0] - math.sin(turn) * at[i, 1])
+            dy = at2[j, 1] - scale * (math.sin(turn) * at[i, 0] + math.cos(turn) * at[i, 1])
+            for grid in (0, 0.5):
+                votes[grid, math.floor(turn * 6 / math.pi + grid) % 12, math.floor(math.log(scale) / 0.5 + grid), math.floor(dx / 12 + grid), math.floor(dy / 12 + grid)].add(i)
+        return max(map(len, votes.values()), default=0) >= image_copies.CONSENSUS
+
+    want = [i for i in pictures if i >= 100 and brute(pictures[i % 100], pictures[i])]
+    assert len(want) >= 50 and np.mean([got[i] == i % 100 for i in want]) >= 0.9
+    assert all(got[i] in (i, i % 100) for i in pictures)
+
+
+def test_every_embedding_has_its_picture(spark, tmp_path):
+    from tidemark.llm import queries
+
+    rows = [(2, [1.0] * 64), (3, [2.0] * 64), (7, [float(i) for i in range(64)]), (8, None), (9, [1.0] * 5), (12, [float("nan")] * 64), (13, [float(i % 5) for i in range(64)]), (13, [3.0] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in queries.media_of_embeddings(spark, str(tmp_path)).collect():
+        got.setdefault(r["image_id"], []).append(r["media"])
+    assert sorted(got) == [2, 3, 7, 8, 9, 12, 13] and len(got[13]) == 2
+    assert got[8] == got[9] == got[12] == [None] and got[3][0]["height"] == 87 and got[7][0]["height"] == got[13][0]["height"] == 96
+
+
 def test_empty_tables(spark):
     docs = frame(spark, []).withColumn("source", F.lit("s"))
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -377,5 +434,7 @@ def test_empty_tables(spark):
     assert toxicity.with_scores(docs, *toxicity.train(docs, marks)).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(vectors, vectors).count() == 0
+    pictures = spark.createDataFrame([], "image_id long, media struct<width:int,height:int,pixels:binary>")
+    assert image_copies.copies(pictures).count() == 0
     pages = spark.createDataFrame([], "page_id long, html string")
     assert html_extract.extract(pages, html_extract.learn_weights(pages)).count() == 0
