@@ -177,29 +177,41 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_STRETCH = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
+_STRETCH = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("more", pa.list_(pa.int64()))])
 _SNIPPET = pa.schema([("lead", pa.binary()), ("key", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("alone", pa.bool_()), ("content", pa.binary())])
 _PLACE = pa.schema([("row", pa.int64()), ("span", pa.int64())])  # start << 16, and the length
+_SPANS = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 _PRINT = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
 #: ``at`` of a stretch: its anchor, and how far its first and last window start before it.
 _AT = (16, 8, 0xFF)
 
 
 def _find_stretches(span: int, gram: int) -> Callable:
+    """A row for each stretch; those of one text that have equal contents share a row, which lists the others in ``more``."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held, size = batch.column("row").to_numpy(), [], 0
+            rows, held, others, size = batch.column("row").to_numpy(), [], [], 0
             for row, data in zip(rows, _bytes(batch, "text"), strict=True):
                 if len(data) < span:
                     continue
                 key, whole, a, ends = stretches(data, span, gram)
-                held.append((key.view(np.int64), whole.view(np.int64), np.full(len(key), row), (a << _AT[0]) | ((a - ends[:, 0]) << _AT[1]) | (a - ends[:, 1])))
+                at = (a << _AT[0]) | ((a - ends[:, 0]) << _AT[1]) | (a - ends[:, 1])
+                _, first, of, times = np.unique(_mix(key) + whole, return_index=True, return_inverse=True, return_counts=True)
+                more: list[np.ndarray | None] = [None] * len(first)
+                if len(first) < len(key):
+                    order = np.argsort(of, kind="stable")
+                    for i, group in enumerate(np.split(order, np.cumsum(times)[:-1])):
+                        if len(group) > 1:
+                            more[i] = at[group[1:]]
+                held.append((key[first].view(np.int64), whole[first].view(np.int64), np.full(len(first), row), at[first]))
+                others += more
                 size += len(key)
                 if size > 50_000:
-                    yield _batch(_STRETCH, *map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
+                    yield _batch(_STRETCH, *map(np.concatenate, zip(*held, strict=True)), others)
+                    held, others, size = [], [], 0
             if held:
-                yield _batch(_STRETCH, *map(np.concatenate, zip(*held, strict=True)))
+                yield _batch(_STRETCH, *map(np.concatenate, zip(*held, strict=True)), others)
 
     return find
 
@@ -280,17 +292,28 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
-def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, span) rows sorted by row to a row each with its merged spans."""
+
+    def merged(row: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], row[1:] != row[:-1]])
+        shift = (np.cumsum(new) - 1) << 40  # so that spans of different rows stay apart
+        start = shift + (span >> 16)
+        both = merge(np.stack([start, start + (span & 0xFFFF)], axis=1))
+        ends = np.searchsorted(both[:, 0] >> 40, np.arange(new.sum() + 1))
+        values = pa.StructArray.from_arrays([pa.array(both[:, 0] & ((1 << 40) - 1)), pa.array(both[:, 1] - (both[:, 0] >> 40 << 40))], names=["start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(row[new]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema=_SPANS)
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for batch in batches:
-        lists = batch.column("spans")
-        packed = lists.flatten().to_numpy()
-        both = np.stack([packed >> 16, (packed >> 16) + (packed & 0xFFFF)], axis=1)
-        at = np.cumsum([0, *lists.value_lengths().to_pylist()])
-        merged = [merge(both[s:e]) for s, e in zip(at, at[1:], strict=False)]
-        ends = np.cumsum([0, *map(len, merged)])
-        flat = np.concatenate(merged) if merged else both
-        values = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "stop"])
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["row", "spans"])
+        row, span = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("row", "span"), strict=True))
+        done = np.flatnonzero(row != row[-1]) if len(row) else row  # the last row may go on
+        last = int(done[-1]) + 1 if len(done) else 0
+        if last:
+            yield merged(row[:last], span[:last])
+        held = row[last:], span[last:]
+    if len(held[0]):
+        yield merged(*held)
 
 
 def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT_STRETCHES) -> DataFrame:
@@ -306,14 +329,16 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     same_content = Window.partitionBy("key", "whole").orderBy("row", "at")
     whole = same_content.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one shuffle by gram serves all of these; a common gram's rows are read from disk where they don't fit
-    every = docs.mapInArrow(_find_stretches(span, gram), _ddl(_STRETCH)).withColumn("times", F.count(F.lit(1)).over(same_gram)).where(F.col("times") > 1)
-    counted = every.select("key", "row", "at", F.count(F.lit(1)).over(whole).alias("n"), F.row_number().over(same_content).alias("nth")).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(same_gram))
-    found = work.keep(counted.select("row", "at", "n", F.when((F.col("nth") == 1) & (F.col("kinds") > 1), F.col("key")).alias("key"), "kinds").where((F.col("n") > 1) | F.col("key").isNotNull()), "stretches")
-    copied = found.where(F.col("n") > 1).select("row", _span_of("at", span))
+    here = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
+    every = docs.mapInArrow(_find_stretches(span, gram), _ddl(_STRETCH)).withColumn("times", F.sum(here).over(same_gram)).where(F.col("times") > 1)
+    counted = every.select("key", "row", "at", "more", F.sum(here).over(whole).alias("n"), F.row_number().over(same_content).alias("nth")).withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(same_gram))
+    found = work.keep(counted.select("row", "at", "more", "n", F.when((F.col("nth") == 1) & (F.col("kinds") > 1), F.col("key")).alias("key"), "kinds").where((F.col("n") > 1) | F.col("key").isNotNull()), "stretches")
+    copied = found.where(F.col("n") > 1).select("row", F.explode(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<long>")))).alias("at")).select("row", _span_of("at", span))
     wanted = found.where(F.col("key").isNotNull())
 
     def listed(some: DataFrame) -> DataFrame:
-        return some.groupBy("row").agg(F.collect_list(F.struct("key", "n", "at")).alias("wanted"))
+        # dealt by row first: lists that are begun before a shuffle take more room than their entries
+        return some.select("row", "key", "n", "at").repartition("row").groupBy("row").agg(F.collect_list(F.struct("key", "n", "at")).alias("wanted"))
 
     top = wanted.agg(F.max("kinds"), F.count(F.lit(1))).first()
     buckets = max(1, int(top[1] // BUCKET_STRETCHES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -327,7 +352,7 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     spans = places[0]
     for more in places[1:]:
         spans = spans.unionByName(more)
-    return work.result(spans.groupBy("row").agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_lists, "row long, spans array<struct<start:long,stop:long>>"))
+    return work.result(spans.repartition("row").sortWithinPartitions("row").mapInArrow(_merge_sorted, "row long, spans array<struct<start:long,stop:long>>"))
 
 
 def _span_of(at: str, span: int) -> Column:
