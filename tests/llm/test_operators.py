@@ -206,6 +206,28 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark):
     assert 0.7 < {r["s"]: r["count"] for r in heavy}[1] / 3000 < 0.8
 
 
+def test_shards_recomputed_by_hand(spark):
+    """Every score by the formula, in Python; null keys, repeated rows, changed weights, a clashing column."""
+    import math
+
+    import xxhash
+
+    rows = [(i, "t" * (i % 7), "x") for i in range(400)] + [(5, "ttttt", "x"), (5, "other", "x"), (None, "a", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string")
+
+    def best(key, weights):
+        units = [((xxhash.xxh64_intdigest(f"{'' if key is None else key}#{i}".encode(), 42) >> 12) + 0.5) / 2**52 for i in range(len(weights))]
+        return max((-w / math.log(u), i) for i, (w, u) in enumerate(zip(weights, units, strict=True)))[1]
+
+    for weights, grown in (([1.0] * 3, [1.0] * 4), ([1.0, 2.5, 0.5], [1.0, 2.5, 1.5])):
+        got = sharding.shard_documents(docs, weights, grown).collect()
+        assert len(got) == len(rows)
+        assert all(r["shard"] == best(r["doc_id"], weights) and r["grown_shard"] == best(r["doc_id"], grown) for r in got)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((i is None, i or 0, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+        for shard in range(3):
+            assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
 def test_nearest_finds_the_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16))
@@ -335,6 +357,36 @@ def test_toxicity_sees_through_disguise(spark):
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.95
     assert got[1000] >= 0.5 and got[1001] >= 0.5 and got[1004] < 0.5 and got[1002] == got[1003] < 0.5
+    again = frame(spark, [*rows[-5:-3], rows[-5], (1005, "bread and fruit on friday " * 20_000 + "you m0r0n")]).withColumn("toxicity", F.lit("clash")).withColumn("text2", F.col("text"))
+    scored = toxicity.with_scores(again, lexicon, model).collect()
+    assert [r["toxicity"] >= 0.5 for r in scored][:3] == [True] * 3 and len(scored) == 4 and scored[0]["toxicity"] == scored[2]["toxicity"] == got[1000] and scored[3]["text2"] == scored[3]["text"]
+
+
+def test_decoding_is_the_best_of_all_readings(spark):
+    """Every path of small lattices by hand: Viterbi's reading has the least cost."""
+    import itertools
+
+    text = "you moron you loser the river runs over old stones and people walk along the road "
+    model = toxicity.log_model(toxicity.count_trigrams(spark.createDataFrame([(text * 20,)], "text string")))
+    code = lambda x: toxicity.LETTERS.get(x, toxicity.OTHER if x.isalpha() else 0)
+
+    def cost(path):
+        a = b = 0
+        total = 0.0
+        for letters, fee in path:
+            total += fee
+            for x in letters:
+                if code(x) or b:
+                    total -= float(model[a * toxicity.V + b, code(x)])
+                    a, b = b, code(x)
+        return total - (float(model[a * toxicity.V + b, 0]) if b else 0.0)
+
+    for chunk in ("m0r0n", "l.o.s.e.r", "l00000ser", "y0u", "m o r o n", "$tone$", "rooooad", "1!1", "r!ver.", "0ver+old"):
+        paths = list(itertools.product(*toxicity.lattice(chunk)))
+        best = min(map(cost, paths))
+        readings = {"".join(x for x, _ in p).strip() for p in paths if cost(p) <= best + 1e-4}
+        got = toxicity.decode(chunk, model)
+        assert " ".join(got.split()) in {" ".join(x.split()) for x in readings}, chunk
 
 
 def test_disguise_of_any_length_is_read(spark):
@@ -347,7 +399,7 @@ def test_disguise_of_any_length_is_read(spark):
     assert "moron" in reader.words(" ".join(late))  # spelled apart
     assert "moron" in reader.words(".".join(late))
     assert "moron" in reader.words("mo" + "o" * 60 + "ron")
-    assert "moron" in reader.words("mmoorroonn")
+    assert "moron" in reader.words("mmoorroonn") and "moron" in reader.words("m" + "0" * 70 + "ron")
     began = time.process_time()
     reader.words("ab" * 50_000), reader.words("1" * 100_000), reader.words("a.b" * 30_000 + ".")
     assert time.process_time() - began < 30

@@ -10,8 +10,8 @@ from tidemark.llm.scratch import materialize
 #: A line is boilerplate if it stands on more than this share of its host's pages, and on so many at least.
 MAX_RATIO = 0.05
 MIN_PAGES = 5
-#: Hosts whose boilerplate is sent to every executor; beyond that the tables are joined by host.
-BROADCAST_HOSTS = 20_000
+#: Boilerplate lines, of eight bytes each, that are sent to every executor; beyond that the tables are joined by host.
+BROADCAST_LINES = 500_000
 
 
 def _shape(line: Column) -> Column:
@@ -50,7 +50,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     Columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
     common = materialize(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages), "boilerplate")
-    if common.count() <= BROADCAST_HOSTS:
+    if (common.agg(F.sum(F.size("_ld_common") + 1)).first()[0] or 0) <= BROADCAST_LINES:
         common = F.broadcast(common)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(F.col("_ld_lines"), lambda x: (_shape(x) == "") | ~F.array_contains(F.col("_ld_common"), F.xxhash64(_shape(x))))

@@ -21,8 +21,8 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
     name = F.coalesce(key.cast("string"), F.lit(""))
 
     def score(shard: int, weight: float) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.concat_ws("#", name, F.lit(str(shard)))), 11)
-        unit = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        bits = F.shiftrightunsigned(F.xxhash64(F.concat_ws("#", name, F.lit(str(shard)))), 12)
+        unit = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))  # 52 bits and a half are exact: never 0 or 1
         return F.struct((F.lit(-float(weight)) / F.ln(unit)).alias("score"), F.lit(shard).alias("shard"))
 
     return F.array_max(F.array(*[score(i, w) for i, w in enumerate(weights)]))["shard"]

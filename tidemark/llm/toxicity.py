@@ -112,8 +112,11 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             else:
                 places.append([(c, SHORTER), (c * 2, SHORTER + 0.2), (c * 3, LONG)])
         elif c in LEET:
-            for _ in range(min(run, 3)):
-                places.append([(x, AS_LETTER) for x in LEET[c]] + [(" ", AS_DIGIT if c.isdigit() else AS_BOUNDARY)])
+            gap = [(" ", AS_DIGIT if c.isdigit() else AS_BOUNDARY)]
+            if run < 3:
+                places += [[(x, AS_LETTER) for x in LEET[c]] + gap] * run
+            else:  # held long, as a letter is
+                places.append([(x * k, AS_LETTER + fee) for x in LEET[c] for k, fee in ((1, SHORTER), (2, SHORTER + 0.2), (3, LONG))] + gap)
         elif c in _SEPARATORS or c == " ":
             places.append([("", DROPPED), (" ", AS_BOUNDARY)])
         else:
