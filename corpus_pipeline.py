@@ -11,13 +11,6 @@ from tidemark.llm.scratch import materialize, table
 
 #: Documents with at least this score are rejected.
 TOXIC = 0.5
-#: Rows handed to Python at once: documents are long, so that few of them fill a batch.
-BATCH_ROWS = 1000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
 
 def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of ``documents`` with ``n_chars`` brought up to date."""
@@ -26,14 +19,12 @@ def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; null and empty texts stay."""
-    _small_batches(spark)
     lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A source's boilerplate lines go; every document stays."""
-    _small_batches(spark)
     return _retexted(line_dedup.drop_boilerplate(docs), docs.columns)
 
 
@@ -43,8 +34,7 @@ def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     It is the one of least doc_id, nulls last, then of least row number; of rows alike in
     doc_id and text, which share that number, the one least in the other columns.
     """
-    _small_batches(spark)
-    classes = materialize(shingle_join.classes(docs), "classes").where(F.col("n_shingles") > 0)
+    classes = shingle_join.classes(docs).where(F.col("n_shingles") > 0)
     members = classes.groupBy("class", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
     first = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("class", F.col("first.row").alias("survivor"))
     marks = materialize(members.join(first, "class").select(F.col("row").alias("_row"), (F.col("row") == F.col("survivor")).alias("stays"), "times"), "marks")
@@ -58,13 +48,11 @@ def shingle_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that recur go from all their places; every document stays."""
-    _small_batches(spark)
     return _retexted(suffix_dedup.drop_repeats(docs), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 4096 ids."""
-    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
