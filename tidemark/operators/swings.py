@@ -116,6 +116,15 @@ def grid_summary(bars: DataFrame, atr_windows: Sequence[int] = (10, 14, 20), ks:
     return every.groupBy("atr_window", "k").agg(F.count(F.lit(1)).alias("swings"), F.count_if(up).alias("up_swings"), F.count_if(~up).alias("down_swings"), F.median(F.abs("amplitude_pct")).alias("median_abs_amplitude"), F.median("duration_days").alias("median_duration"), F.avg("duration_days").alias("mean_duration"))
 
 
+def overlay(swings: DataFrame) -> DataFrame:
+    """Swings as a chart takes them: dates as text, amplitudes that are no number missing; an error if a column lacks."""
+    needed = ("symbol", "start_date", "end_date", "direction", "amplitude_pct", "duration_days")
+    if lacking := [n for n in needed if n not in swings.columns]:
+        raise ValueError(f"swings lack {lacking}")
+    amplitude = F.when(F.abs("amplitude_pct") < float("inf"), c("amplitude_pct"))
+    return swings.select("symbol", *[F.date_format(n, "yyyy-MM-dd").alias(n) for n in ("start_date", "end_date")], "direction", amplitude.alias("amplitude_pct"), c("duration_days").cast("long").alias("duration_days"))
+
+
 def taxonomy(swings: DataFrame) -> DataFrame:
     """``swings`` with ``swing_id`` and size and duration class by the terciles of their series."""
     size = F.abs("amplitude_pct")

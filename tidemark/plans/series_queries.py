@@ -10,7 +10,7 @@ from tidemark.operators import price_features as pf
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
-from tidemark.sources.storage import stored
+from tidemark.sources.storage import stored_once
 
 c = F.col
 
@@ -192,7 +192,7 @@ def context(features: DataFrame) -> DataFrame:
 
 def feature_store(spark, sf_dir) -> DataFrame:
     """Price features as a feature store keeps them, with eight decimals."""
-    return stored(rounded_doubles(pf.price_features(stored(src.order_bars(spark, sf_dir), "bars")), 8), "features")
+    return stored_once(spark, sf_dir, "features", lambda: rounded_doubles(pf.price_features(stored_once(spark, sf_dir, "bars", lambda: src.order_bars(spark, sf_dir))), 8))
 
 
 def context_frame(spark, sf_dir) -> DataFrame:

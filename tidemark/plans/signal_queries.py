@@ -11,7 +11,7 @@ from tidemark.plans import series_queries as sq
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
-from tidemark.sources.storage import stored
+from tidemark.sources.storage import stored_once
 
 c = F.col
 r = sf.r
@@ -19,12 +19,16 @@ r = sf.r
 
 def dataset(spark, sf_dir) -> DataFrame:
     """Features, regime context, live swing state and chain features of each bar, with eight decimals as stored."""
-    bars = stored(src.order_bars(spark, sf_dir), "bars")
+    return stored_once(spark, sf_dir, "dataset", lambda: _dataset(spark, sf_dir))
+
+
+def _dataset(spark, sf_dir) -> DataFrame:
+    bars = stored_once(spark, sf_dir, "bars", lambda: src.order_bars(spark, sf_dir))
     live = rounded_doubles(swings.live_state(swings.with_atr(bars)).drop("atr_pct", "last_confirmed_pivot_date", "last_confirmed_pivot_price"), 8)
     chain = rounded_doubles(sq.chain_frame(spark, sf_dir).select("date", "ONCHAIN_VOL_Z", "ONCHAIN_DOM_Z", "ONCHAIN_WHALE_SHARE_Z"), 8)
     ewma = rounded_doubles(pf.ewma_vol(bars), 8)
     data = sq.context(sq.feature_store(spark, sf_dir)).join(ewma, ["symbol", "date"]).join(live, ["symbol", "date"], "left").join(chain, "date", "left")
-    return stored(data, "dataset")
+    return data
 
 
 _LIVE = f"""

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this process has stored, by session, input and name.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is made only where none is set (tests)."""
+    """The session's shared folder. Where none is set, one is made if all tasks run in this process (tests); else it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -23,3 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as ``stored`` leaves it, once for each session and input: later queries read what the first one wrote."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STORED:
+        _STORED[key] = stored(make(), name)
+    return _STORED[key]
