@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 LONG = 48
-#: Units that a worker remembers, and ids handed back at once.
+#: Units that a worker gathers before it forgets those not met since, and ids handed back at once.
 REMEMBERED = 300_000
 CHUNK_IDS = 250_000
 
@@ -202,16 +202,22 @@ class _Merger(dict):
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_zero: int):
         super().__init__()
         self._pieces, self._zero = pieces, byte_zero
+        self._before: dict[str, array] = {}  # what was remembered until there was too much of it
 
     def __missing__(self, unit: str) -> array:
-        ids = array("i", merge_long(unit, self._pieces, self._zero))
-        if len(self) < REMEMBERED and len(unit) < LONG:
+        ids = self._before.get(unit)
+        if ids is None:
+            ids = array("i", merge_long(unit, self._pieces, self._zero))
+        if len(unit) < LONG:
             self[unit] = ids
         return ids
 
     def encode(self, text: str) -> array:
         ids = array("i")
         if text:
+            if len(self) > REMEMBERED:
+                self._before = self.copy()
+                self.clear()
             for unit in _UNITS.findall(SPACE + text.replace(" ", SPACE)):
                 ids += self[unit]
         return ids

@@ -1,10 +1,10 @@
-"""Regime and event models: a Gaussian hidden Markov model, calibrated logistic models, and touch simulations."""
+"""Regime and event models: a Gaussian hidden Markov model, calibrated logistic models and score combiners."""
 
 from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ HMM_INPUTS = ("r1", "TS_50", "ER_20", "atr_pct", "band_pos", "relative_volume_20
 HAZARD_INPUTS = ("TS_20", "TS_50", "TS_200", "ER_20", "vol_20", "atr_pct", "band_pos", "band_w", "dist_from_mean_vol_units", "relative_volume_20", "return_accel")
 STATES, ROUNDS, TOLERANCE, STICKY, FLOOR, LEAST_ROWS = 4, 80, 1e-4, 0.85, 1e-4, 250
 LABELS = ("CORE", "DRIFT", "SHOCK", "SURGE")
+SIGNATURE = ("r1", "TS_20", "TS_50", "ER_20", "vol_20", "atr_pct", "ewma_vol", "band_w", "band_pos", "dist_from_mean_vol_units", "relative_volume_20")
 
 
 def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -49,41 +50,84 @@ def _seeded(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return own
 
 
-def fit_hmm(x: np.ndarray, k: int = STATES, seed: int = 42) -> dict:
-    """Baum-Welch on standardised rows in order; states named by their signatures."""
+def signatures(values: dict[str, np.ndarray], posterior: np.ndarray, move: np.ndarray) -> dict[str, np.ndarray]:
+    """For each state the posterior-weighted means of the known values, its occupancy and its chance to stay."""
+    out = {}
+    for name, x in values.items():
+        known = np.isfinite(x)
+        weight = posterior[known].sum(axis=0)
+        with np.errstate(invalid="ignore"):
+            out[name] = np.where(weight > 0, posterior[known].T @ x[known] / weight, np.nan)
+    return out | {"occupancy": posterior.mean(axis=0), "self_transition": np.diag(move)}
+
+
+def name_states(found: dict[str, np.ndarray]) -> list[int]:
+    """The state of each of ``LABELS``: of all assignments the one of highest score on z-scored signatures; the first of equals."""
+
+    def z(name: str, shift: float = 0.0) -> np.ndarray:
+        x = found.get(name)
+        if x is None:
+            return np.zeros(len(found["occupancy"]))
+        sd = np.nanstd(x)
+        return (x - np.nanmean(x)) / sd if np.isfinite(sd) and sd > 0 else np.zeros(len(x))
+
+    # What speaks for each name.
+    direction = z("r1") + 0.35 * z("TS_20") + 0.45 * z("TS_50") + 0.20 * z("band_pos")
+    quality = 0.45 * np.abs(z("TS_20")) + 0.35 * np.abs(z("TS_50")) + 0.55 * z("ER_20")
+    volatility = z("vol_20") + 0.75 * z("atr_pct") + 0.50 * z("ewma_vol") + 0.40 * z("band_w")
+    stretch = np.abs(z("dist_from_mean_vol_units"))
+    claim = {
+        "CORE": -1.10 * volatility - 0.90 * np.abs(direction) - 0.50 * stretch + 0.40 * z("occupancy") + 0.35 * z("self_transition"),
+        "DRIFT": 0.95 * direction + 0.80 * quality - 0.55 * volatility + 0.40 * z("self_transition") - 0.20 * stretch,
+        "SHOCK": -1.00 * direction + 1.05 * volatility - 0.30 * quality + 0.20 * stretch - 0.10 * z("band_pos"),
+        "SURGE": 1.10 * direction + 0.65 * quality + 0.80 * volatility + 0.20 * z("band_pos") + 0.10 * stretch,
+    }
+    names = max(itertools.permutations(LABELS), key=lambda order: sum(claim[n][s] for s, n in enumerate(order)))
+    return [names.index(n) for n in LABELS]
+
+
+def smoothed(z: np.ndarray, start: np.ndarray, move: np.ndarray, mu: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posteriors given all rows, expected transitions, log likelihood) of standardised rows in order."""
+    b, la = _log_density(z, mu, var), np.log(move + 1e-12)
+    alpha, beta = np.empty_like(b), np.zeros_like(b)
+    alpha[0] = np.log(start + 1e-12) + b[0]
+    for t in range(1, len(z)):
+        alpha[t] = b[t] + _lse(alpha[t - 1][:, None] + la, 0)
+    for t in range(len(z) - 2, -1, -1):
+        beta[t] = _lse(la + (b[t + 1] + beta[t + 1])[None], 1)
+    total = float(_lse(alpha[-1], 0))
+    gamma = np.exp(alpha + beta - total)
+    pair = np.exp(alpha[:-1, :, None] + la[None] + (b[1:] + beta[1:])[:, None, :] - total).sum(axis=0)
+    return gamma / gamma.sum(axis=1, keepdims=True), pair, total
+
+
+def fit_hmm(x: np.ndarray, described: dict[str, np.ndarray] | None = None, k: int = STATES, seed: int = 42) -> dict:
+    """Baum-Welch on standardised rows in order; ``states`` holds the state of each of ``LABELS``, named by the signatures of ``described``."""
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd[sd == 0] = 1.0
     z, rng = (x - mean) / sd, np.random.default_rng(seed)
     own = _seeded(z, k, rng)
-    mu = np.array([z[own == j].mean(axis=0) if (own == j).any() else z.mean(axis=0) for j in range(k)])
-    var = np.array([z[own == j].var(axis=0) if (own == j).sum() > 1 else z.var(axis=0) for j in range(k)]) + FLOOR
-    start, move, last = np.full(k, 1 / k), np.full((k, k), (1 - STICKY) / (k - 1)) + np.eye(k) * (STICKY - (1 - STICKY) / (k - 1)), -np.inf
-    for _ in range(ROUNDS):
-        b, la = _log_density(z, mu, var), np.log(move)
-        alpha, beta = np.empty_like(b), np.zeros_like(b)
-        alpha[0] = np.log(start) + b[0]
-        for t in range(1, len(z)):
-            alpha[t] = b[t] + _lse(alpha[t - 1][:, None] + la, 0)
-        for t in range(len(z) - 2, -1, -1):
-            beta[t] = _lse(la + (b[t + 1] + beta[t + 1])[None], 1)
-        total = float(_lse(alpha[-1], 0))
-        gamma = np.exp(alpha + beta - total)
-        pair = np.exp(alpha[:-1, :, None] + la[None] + (b[1:] + beta[1:])[:, None, :] - total).sum(axis=0)
-        start, move = np.maximum(gamma[0], 1e-8), np.maximum(pair, 1e-8)
-        start, move = start / start.sum(), move / move.sum(axis=1, keepdims=True)
-        weight = gamma.sum(axis=0)[:, None]
-        mu = gamma.T @ z / weight
-        var = np.maximum(gamma.T @ z**2 / weight - mu**2, FLOOR)
-        if total - last < TOLERANCE * abs(last) and np.isfinite(last):
+    size = np.array([(own == j).sum() for j in range(k)])
+    mu = np.array([z[own == j].mean(axis=0) if size[j] else z.mean(axis=0) for j in range(k)])
+    var = np.array([np.maximum(z[own == j].var(axis=0), FLOOR) if size[j] > 1 else z.var(axis=0) + FLOOR for j in range(k)])
+    start, move, last, total = (size + 1.0) / (size + 1.0).sum(), np.full((k, k), (1 - STICKY) / (k - 1)), -np.inf, -np.inf
+    np.fill_diagonal(move, STICKY)
+    for turn in range(ROUNDS):
+        gamma, pair, total = smoothed(z, start, move, mu, var)
+        weight = gamma.sum(axis=0) + 1e-12
+        start = gamma[0] / gamma[0].sum()
+        move = np.clip(pair / (pair.sum(axis=1, keepdims=True) + 1e-12), 1e-8, 1.0)
+        move /= move.sum(axis=1, keepdims=True)
+        mu = gamma.T @ z / weight[:, None]
+        var = np.maximum(np.array([(gamma[:, j][:, None] * (z - mu[j]) ** 2).sum(axis=0) for j in range(k)]) / weight[:, None], FLOOR)
+        if turn > 2 and abs(total - last) < TOLERANCE * (1 + abs(last)):
             break
         last = total
-    d = z.shape[1]
-    params = (k - 1) + k * (k - 1) + 2 * k * d
-    # signatures: core calm, drift rising slowly, shock volatile and falling, surge volatile and rising
-    ret, trend, vol = mu[:, 0], mu[:, 1], mu[:, 3]
-    claim = np.stack([-vol - np.abs(trend), trend - vol, vol - ret - trend, vol + ret + trend])
-    names = max(itertools.permutations(range(k)), key=lambda p: sum(claim[i, s] for i, s in enumerate(p))) if k == 4 else range(k)
-    return {"mean": mean.tolist(), "sd": sd.tolist(), "start": start.tolist(), "move": move.tolist(), "mu": mu.tolist(), "var": var.tolist(), "states": [int(s) for s in names], "log_likelihood": total, "aic": 2 * params - 2 * total, "bic": params * np.log(len(z)) - 2 * total, "inputs": list(HMM_INPUTS)}
+    params = (k - 1) + k * (k - 1) + 2 * k * z.shape[1]
+    posterior, _, _ = smoothed(z, start, move, mu, var)
+    found = signatures(described or dict(zip(HMM_INPUTS, x.T, strict=True)), posterior, move)
+    states = name_states(found) if k == len(LABELS) else list(range(k))
+    return {"mean": mean.tolist(), "sd": sd.tolist(), "start": start.tolist(), "move": move.tolist(), "mu": mu.tolist(), "var": var.tolist(), "states": states, "log_likelihood": total, "aic": 2 * params - 2 * total, "bic": params * np.log(len(z)) - 2 * total, "inputs": list(HMM_INPUTS)}
 
 
 def hmm_regimes(features: DataFrame) -> DataFrame:
@@ -99,13 +143,14 @@ def hmm_regimes(features: DataFrame) -> DataFrame:
         if len(rows) < LEAST_ROWS:
             return pd.DataFrame(columns=columns)
         x = rows[list(HMM_INPUTS)].to_numpy(dtype=float)
-        pack = fit_hmm(x)
+        pack = fit_hmm(x, {n: rows[n].to_numpy(dtype=float) for n in SIGNATURE if n in rows})
         p = apply_hmm(pack, x)[:, pack["states"]]
         out = pd.DataFrame(p, columns=columns[2:6])
         return out.assign(symbol=rows["symbol"].to_numpy(), date=rows["date"].to_numpy(), state_hmm_label=[LABELS[i] for i in p.argmax(axis=1)], hmm_confidence=p.max(axis=1))[columns]
 
     schema = "symbol string, date date, " + ", ".join(f"P_{n}_HMM double" for n in LABELS) + ", state_hmm_label string, hmm_confidence double"
-    return features.select("symbol", "date", *HMM_INPUTS).na.drop().groupBy("symbol").applyInPandas(run, schema)
+    described = [n for n in SIGNATURE if n in features.columns and n not in HMM_INPUTS]
+    return features.select("symbol", "date", *HMM_INPUTS, *described).na.drop(subset=list(HMM_INPUTS)).groupBy("symbol").applyInPandas(run, schema)
 
 
 def apply_hmm(pack: dict, x: np.ndarray) -> np.ndarray:
@@ -122,14 +167,13 @@ def apply_hmm(pack: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def save_pack(pack: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(pack, f)
+def save_pack(spark, pack: dict, path: str) -> None:
+    """Write a pack as a line of JSON where Spark can read it."""
+    spark.createDataFrame([(json.dumps(pack),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_pack(path: str, inputs: Sequence[str]) -> dict:
-    with open(path) as f:
-        pack = json.load(f)
+def load_pack(spark, path: str, inputs: Sequence[str]) -> dict:
+    pack = json.loads(spark.read.text(path).first()["value"])
     if pack["inputs"] != list(inputs):
         raise ValueError("the pack was fitted on other inputs")
     return pack
@@ -182,35 +226,7 @@ def calibrated(rows: DataFrame, inputs: Sequence[str], label: str, name: str) ->
     return predict(calibrator, cpack, marked, name).withColumn(name, F.least(F.greatest(c(name), F.lit(1e-6)), F.lit(1 - 1e-6))).drop("_p", "_p_margin", f"{name}_margin")
 
 
-def touch_probabilities(spark, moments: dict[str, tuple[float, float]], levels: Sequence[float] = (-0.10, -0.05, -0.02, 0.02, 0.05, 0.10), days: int = 10, sims: int = 20_000, seed: int = 42) -> DataFrame:
-    """(symbol, level, probability): simulated paths of independent normal log returns that reach a level within ``days``."""
-    paths = None
-    for i, (symbol, (mean, sd)) in enumerate(sorted(moments.items())):
-        one = spark.range(sims).withColumn("symbol", F.lit(symbol))
-        steps = one.select("symbol", "id", F.array(*[F.randn(seed + 1000 * i + d) * sd + mean for d in range(days)]).alias("r"))
-        paths = steps if paths is None else paths.unionByName(steps)
-    totals = F.aggregate("r", F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    swung = paths.select("symbol", totals.alias("t")).select("symbol", F.array_min("t").alias("low"), F.array_max("t").alias("high"))
-    hit = lambda v: (c("low") <= float(np.log1p(v))) if v < 0 else (c("high") >= float(np.log1p(v)))
-    wide = swung.groupBy("symbol").agg(*[F.avg(hit(v).cast("double")).alias(f"l{i}") for i, v in enumerate(levels)])
-    return wide.select("symbol", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), c(f"l{i}").alias("probability")) for i, v in enumerate(levels)])).alias("x")).select("symbol", "x.*")
-
-
-def switching_touch(spark, pack: dict, moments: Sequence[tuple[float, float]], weights: Sequence[float], levels: Sequence[float], days: int = 10, sims: int = 20_000, seed: int = 42) -> DataFrame:
-    """(level, probability) when the regime follows the pack's transitions; simulations are spread over tasks, each with its own seed."""
-    move, start = np.array(pack["move"]), np.array(weights) / np.sum(weights)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chunk in batch["id"]:
-                rng, n = np.random.default_rng([seed, int(chunk)]), sims // 10
-                state, total = rng.choice(len(start), size=n, p=start), np.zeros(n)
-                low, high = np.zeros(n), np.zeros(n)
-                for _ in range(days):
-                    state = (move[state].cumsum(axis=1) > rng.random(n)[:, None]).argmax(axis=1)
-                    mean, sd = np.array(moments)[state].T
-                    total += rng.normal(mean, np.maximum(sd, 1e-12))
-                    low, high = np.minimum(low, total), np.maximum(high, total)
-                yield pd.DataFrame([(v, float(((low <= np.log1p(v)) if v < 0 else (high >= np.log1p(v))).mean())) for v in levels], columns=["level", "p"])
-
-    return spark.range(0, 10, numPartitions=10).mapInPandas(run, "level double, p double").groupBy("level").agg(F.avg("p").alias("probability"))
+def combined(rows: DataFrame, inputs: Sequence[str], label: str, name: str) -> DataFrame:
+    """``rows`` (with ``split``) and a score from a balanced logistic model of a few scores, fitted on train and validation."""
+    model, pack = fit_logistic(rows.where(c("split").isin("train", "validation") & c(label).isNotNull()), inputs, label)
+    return predict(model, pack, rows, name).drop(f"{name}_margin")

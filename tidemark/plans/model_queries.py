@@ -27,11 +27,12 @@ def hmm_regimes(spark, sf_dir):
 
 @query()
 def hazard_probabilities(spark, sf_dir):
-    """Calibrated probability of a large fall within ten rows."""
+    """Calibrated probabilities of a large fall and of a large rise within ten rows."""
     rows = metrics.chronological_split(sq.feature_store(spark, sf_dir).na.drop(subset=list(models.HAZARD_INPUTS)))
     labels = models.hazard_labels(src.order_bars(spark, sf_dir), rows.where("split = 'train'"))
     data = stored(rows.join(labels, ["symbol", "date"]), "hazard")
-    return models.calibrated(data, models.HAZARD_INPUTS, "correction", "P_CORRECTION_10D_CAL").select("symbol", "date", "split", "correction", "P_CORRECTION_10D_CAL")
+    both = models.calibrated(models.calibrated(data, models.HAZARD_INPUTS, "correction", "P_CORRECTION_10D_CAL"), models.HAZARD_INPUTS, "rebound", "P_REBOUND_10D_CAL")
+    return both.select("symbol", "date", "split", "correction", "P_CORRECTION_10D_CAL", "rebound", "P_REBOUND_10D_CAL")
 
 
 @query()
@@ -66,15 +67,14 @@ def ordinal_zone_score(spark, sf_dir):
     return model.transform(models.scaled(rows, pack)).select("symbol", "date", "split", (p[2] + 0.55 * p[1]).alias("ordinal_score"))
 
 
-def _moments(spark, sf_dir) -> dict:
-    found = sq.feature_store(spark, sf_dir).where(c("r1").isNotNull())
-    kept = metrics.winsorised(found, ["symbol"], "r1", 0.0025).groupBy("symbol").agg(F.avg("r1").alias("m"), F.stddev_pop("r1").alias("s")).collect()
-    return {x["symbol"]: (x["m"], x["s"]) for x in kept}  # one row a series
-
-
 @query()
-def touch_simulation(spark, sf_dir):
-    return models.touch_probabilities(spark, _moments(spark, sf_dir))
+def score_combiner(spark, sf_dir):
+    """Buy score of a model over phase and exhaustion stand-ins, fitted before the test rows."""
+    bars = src.order_bars(spark, sf_dir)
+    zones = swings.zone_labels(bars, swings.zigzag(swings.with_atr(bars))).select("symbol", "date", c("buy_zone_5pct").alias("label"))
+    scores = sq.feature_store(spark, sf_dir).select("symbol", "date", (1 - c("band_pos")).alias("phase"), (-c("dist_from_mean_vol_units")).alias("exhaustion"))
+    rows = stored(metrics.chronological_split(scores.where(c("phase").isNotNull()).join(zones, ["symbol", "date"])), "combiner")
+    return models.combined(rows, ["phase", "exhaustion"], "label", "score").select("symbol", "date", "split", "score")
 
 
 @query(
