@@ -153,15 +153,14 @@ def hmm_regimes(features: DataFrame) -> DataFrame:
     return features.select("symbol", "date", *HMM_INPUTS, *described).na.drop(subset=list(HMM_INPUTS)).groupBy("symbol").applyInPandas(run, schema)
 
 
-def apply_hmm(pack: dict, x: np.ndarray) -> np.ndarray:
-    """State probabilities given the rows so far."""
+def apply_hmm(pack: dict, x: np.ndarray, before: Sequence[float] | None = None) -> np.ndarray:
+    """State probabilities given the rows so far; ``before``: those of the row before the first."""
     z = (x - np.array(pack["mean"])) / np.array(pack["sd"])
-    b, la = _log_density(z, np.array(pack["mu"]), np.array(pack["var"])), np.log(np.array(pack["move"]))
+    b, la = _log_density(z, np.array(pack["mu"]), np.array(pack["var"])), np.log(np.array(pack["move"]) + 1e-12)
     out = np.empty_like(b)
-    a = np.log(np.array(pack["start"])) + b[0]
+    a = None if before is None else np.log(np.array(before) + 1e-300)
     for t in range(len(z)):
-        if t:
-            a = b[t] + _lse(a[:, None] + la, 0)
+        a = b[t] + (np.log(np.array(pack["start"]) + 1e-12) if a is None else _lse(a[:, None] + la, 0))
         a = a - _lse(a, 0)
         out[t] = np.exp(a)
     return out

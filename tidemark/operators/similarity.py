@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -82,6 +82,51 @@ def analogs(rows: DataFrame, k: int = 40, temperature: float = 0.15, side: str =
     return rows.select("symbol", "date", "vector", "way", "hit_5", "hit_3", "days").groupBy("symbol").applyInPandas(search, schema)
 
 
+def candle_vector(lags: int = 5) -> Column:
+    """Seven scaled candle terms of each of the last ``lags`` rows; null unless all are finite."""
+    w, atr = series(), F.when(c("atr") > 0, c("atr"))
+    terms = [c("r1"), c("candle_body") / atr, c("candle_range") / atr, c("upper_wick_ratio"), c("lower_wick_ratio"), c("close_in_range"), c("body_to_range_ratio")]
+    vector = F.array(*[(F.lag(x, k).over(w) if k else x).cast("double") for k in range(lags) for x in terms])
+    return F.when(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), vector)
+
+
+def memory_scores(rows: DataFrame, outcomes: dict[str, float], k: int = 50, temperature: float = 0.08) -> DataFrame:
+    """(symbol, date, score, matches): what followed the ``k`` most similar earlier candidates, each outcome column with its weight.
+
+    ``rows(symbol, date, vector, candidate, *outcomes)``. An outcome's value is the average of
+    its known values under similarity weights; the score is the weighted mean of the known
+    outcomes. Ties in similarity go to the later row. One row a day bounds a series' group.
+    """
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date").reset_index(drop=True)
+        at = np.flatnonzero(rows["vector"].notna().to_numpy())
+        names = ["symbol", "date", "score", "matches"]
+        if not len(at):
+            return pd.DataFrame(columns=names)
+        m = np.stack(rows["vector"].iloc[at].to_numpy())
+        norm = np.linalg.norm(m, axis=1)
+        good = rows["candidate"].to_numpy(dtype=bool)[at] & (norm > 0)
+        known = rows[list(outcomes)].to_numpy(dtype=float)[at]
+        share, out = np.array(list(outcomes.values())), []
+        for i in range(len(at)):
+            prior = np.flatnonzero(good[:i])
+            if norm[i] <= 0 or not len(prior):
+                continue
+            s = m[prior] @ m[i] / (norm[prior] * norm[i] + 1e-12)
+            top = np.lexsort((-prior, -s))[:k]
+            y, w = known[prior[top]], np.exp((s[top] - s[top].max()) / temperature)[:, None]
+            there = np.isfinite(y)
+            total = (w * there).sum(axis=0)
+            value = np.divide((w * np.where(there, y, 0)).sum(axis=0), total, out=np.full(len(share), np.nan), where=total > 0)
+            use = np.isfinite(value)
+            if use.any():
+                out.append((rows["symbol"].iloc[0], rows["date"].iloc[at[i]], float(np.clip(value[use] @ share[use] / share[use].sum(), 0, 1)), len(top)))
+        return pd.DataFrame(out, columns=names)
+
+    return rows.select("symbol", "date", "vector", "candidate", *outcomes).groupBy("symbol").applyInPandas(search, "symbol string, date date, score double, matches int")
+
+
 def sequences(rows: DataFrame, columns: Sequence[str], length: int) -> DataFrame:
     """(symbol, start_row, start_date, end_date, vector): every complete window of ``length`` rows, flattened."""
     numbered = rows.withColumn("rn", F.row_number().over(series()))
@@ -145,12 +190,21 @@ def similar_intervals(windows: DataFrame, symbol: str, start_row: int, length: i
 
 
 def _precision(scaled: DataFrame) -> np.ndarray:
-    """Inverse covariance of the vectors; sums of products are made in Spark, the matrix is as wide as a window."""
+    """Inverse covariance of the vectors: each task hands on its count, sum and Gram matrix, as wide as a window."""
     width = scaled.select(F.size("vector").alias("n")).first()["n"]
-    sums = scaled.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c("vector")[i]).alias(f"s{i}") for i in range(width)], *[F.sum(c("vector")[i] * c("vector")[j]).alias(f"p{i}_{j}") for i in range(width) for j in range(i, width)]).first()
-    n = sums["n"]
-    cov = np.array([[(sums[f"p{min(i, j)}_{max(i, j)}"] - sums[f"s{i}"] * sums[f"s{j}"] / n) / (n - 1) for j in range(width)] for i in range(width)])
-    return np.linalg.inv(cov + 1e-6 * np.eye(width))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, gram = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vector"].to_numpy())
+                n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.ravel().tolist()]})
+
+    parts = scaled.select("vector").mapInPandas(partial, "n long, total array<double>, gram array<double>").collect()  # a row a task
+    n, total, gram = sum(p["n"] for p in parts), sum(np.array(p["total"]) for p in parts), sum(np.array(p["gram"]) for p in parts).reshape(width, width)
+    return np.linalg.inv((gram - np.outer(total, total) / n) / (n - 1) + 1e-6 * np.eye(width))
 
 
 def ranked_matches(matches: DataFrame, least: float = 0.0, within_days: int | None = None) -> DataFrame:

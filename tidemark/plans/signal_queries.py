@@ -265,6 +265,39 @@ def buy_analogs(spark, sf_dir):
     return rounded_doubles(similarity.analogs(analog_rows(spark, sf_dir)), 5)
 
 
+def _memory(vector: list[str], candidate: str, hits: dict[str, tuple[int, float]], temperature: float, k: int = 50) -> str:
+    """SQL of ``memory_scores``: ``hits`` has the rows looked ahead and the weight of each outcome."""
+    frames = ", ".join(f"f{h} AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h, _ in hits.values())
+    value = {n: f"sum(w * {n}) FILTER (WHERE {n} IS NOT NULL) / sum(w) FILTER (WHERE {n} IS NOT NULL)" for n in hits}
+    return f"""WITH RECURSIVE {DATASET},
+    a0 AS (SELECT symbol, date, row_number() OVER w AS i, {candidate} AS cand, [{", ".join(vector)}] AS v, {", ".join(f"CAST(max(high) OVER f{h} >= close * 1.05 AS INT) AS {n}" for n, (h, _) in hits.items())} FROM ds WINDOW w AS (PARTITION BY symbol ORDER BY date), {frames}),
+    a1 AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM a0 WHERE len(list_filter(v, lambda x: x IS NULL)) = 0),
+    pr AS (SELECT a.symbol, a.date, b.i AS bi, {", ".join(f"b.{n}" for n in hits)}, list_dot_product(a.v, b.v) / (a.nv * b.nv + 1e-12) AS s FROM a1 a JOIN a1 b ON b.symbol = a.symbol AND b.i < a.i AND b.cand AND b.nv > 0 WHERE a.nv > 0),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY s DESC, bi DESC) AS rk, max(s) OVER (PARTITION BY symbol, date) AS ms FROM pr), wt AS (SELECT *, exp((s - ms) / {temperature}) AS w FROM tk WHERE rk <= {k}),
+    g AS (SELECT symbol, date, count(*) AS n, {", ".join(f"{e} AS {n}" for n, e in value.items())} FROM wt GROUP BY 1, 2),
+    h AS (SELECT symbol, date, n, ({" + ".join(f"coalesce({n} * {w}, 0)" for n, (_, w) in hits.items())}) / nullif({" + ".join(f"CASE WHEN {n} IS NOT NULL THEN {w} ELSE 0 END" for n, (_, w) in hits.items())}, 0) AS score FROM g)
+    SELECT symbol, date, {r("least(greatest(score, 0.0), 1.0)", 5)} AS score, CAST(n AS INT) AS matches FROM h WHERE score IS NOT NULL"""
+
+
+def _lags(terms: list[str], n: int) -> list[str]:
+    return [f"CAST(lag({x}, {k}) OVER w AS DOUBLE)" if k else f"CAST({x} AS DOUBLE)" for k in range(n) for x in terms]
+
+
+@query(_memory([*_lags(_lagged, 7), *(f"CAST({x} AS DOUBLE)" for x in _STATE)], "coalesce(live_swing_direction = 'down', false)", {"hit_3": (3, 0.25), "hit_5": (5, 0.50), "hit_7": (7, 0.25)}, 0.08))
+def buy_analog_horizons(spark, sf_dir):
+    """Analogs over seven rows, by what followed within three, five and seven rows."""
+    hits = {f"hit_{h}": similarity.outcomes(h)["hit_5"] for h in (3, 5, 7)}
+    data = dataset(spark, sf_dir).withColumns(hits | {"vector": similarity.analog_vector(7), "candidate": F.coalesce(c("live_swing_direction") == "down", F.lit(False))})
+    return rounded_doubles(similarity.memory_scores(data, {"hit_3": 0.25, "hit_5": 0.50, "hit_7": 0.25}, temperature=0.08), 5)
+
+
+@query(_memory(_lags([*_lagged, "body_to_range_ratio"], 5), "max(high) OVER f5 IS NOT NULL", {"hit": (5, 1.0)}, 0.07))
+def candle_memory(spark, sf_dir):
+    """Candle patterns of five rows, by what followed within five rows."""
+    data = dataset(spark, sf_dir).withColumns({"hit": similarity.outcomes(5)["hit_5"], "vector": similarity.candle_vector(5)}).withColumn("candidate", c("hit").isNotNull())
+    return rounded_doubles(similarity.memory_scores(data, {"hit": 1.0}, temperature=0.07), 5)
+
+
 def _intervals(metric: str, sql_distance: str | None) -> None:
     columns = ["r1", "close_in_range"]
 
