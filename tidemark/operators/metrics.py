@@ -104,8 +104,20 @@ def winsorised(rows: DataFrame, keys: Sequence[str], x: str, p: float) -> DataFr
     return rows.join(F.broadcast(cuts), list(keys)).withColumn(x, F.when(c(x).isNotNull(), F.least(F.greatest(c(x), c("_q")[0]), c("_q")[1]))).drop("_q")
 
 
-def weighted_median(rows: DataFrame, keys: Sequence[str], x: str = "x", w: str = "w") -> DataFrame:
-    """The least value whose cumulative weight reaches half."""
-    run = Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.unboundedPreceding, 0)
-    known = rows.where(c(x).isNotNull() & (c(w) > 0)).withColumns({"_c": F.sum(w).over(run), "_t": F.sum(w).over(Window.partitionBy(*keys))})
-    return known.where(c("_c") >= 0.5 * c("_t")).groupBy(*keys).agg(F.min(x).alias("weighted_median"))
+def weighted_median(rows: DataFrame, keys: Sequence[str], x: str = "x", w: str = "w", parts: int = 64) -> DataFrame:
+    """The least value whose cumulative weight reaches half.
+
+    Weights are summed by value first. A group isn't ordered in one task: its values are dealt
+    to ``parts`` ranges by approximate quantiles, the range that holds the middle is found from
+    the ranges' sums, and only that one is ordered.
+    """
+    keys = list(keys)
+    known = rows.where(c(x).isNotNull() & (c(w) > 0)).groupBy(*keys, c(x).alias("_x")).agg(F.sum(w).alias("_w"))
+    edges = known.groupBy(*keys).agg(F.percentile_approx("_x", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_w").alias("_t"))
+    placed = known.join(edges, keys).withColumn("_p", F.size(F.filter("_e", lambda e: e < c("_x")))).drop("_e")
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_p", "_t").agg(F.sum("_w").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
+    middle = ranges.where((c("_b") < 0.5 * c("_t")) & (c("_b") + c("_s") >= 0.5 * c("_t"))).select(*keys, "_p", "_b")
+    run = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(middle, [*keys, "_p"]).withColumn("_c", c("_b") + F.sum("_w").over(run))
+    return near.where(c("_c") >= 0.5 * c("_t")).groupBy(*keys).agg(F.min("_x").alias("weighted_median"))

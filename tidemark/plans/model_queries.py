@@ -128,14 +128,39 @@ def refreshed_tail(spark, sf_dir):
     return src.append_tail(bars, bars.where(c("date") >= "1996-01-01"))
 
 
-@query("SELECT unnest(['columns', 'no_future_columns', 'not_empty', 'dates_known', 'dates_unique']) AS \"check\", true AS passed FROM (SELECT 1 FROM orders LIMIT 1)")
+@query(
+    f"""WITH {sf.features_cte()}, e AS (SELECT symbol, CASE WHEN day(date) = 9 THEN NULL ELSE date END AS date FROM store), g AS (SELECT symbol, date, count(*) AS n FROM e GROUP BY 1, 2)
+    SELECT 'columns' AS "check", false AS passed UNION ALL SELECT 'no_future_columns', false UNION ALL SELECT 'not_empty', count(*) > 0 FROM g UNION ALL SELECT 'dates_known', count(*) FILTER (WHERE date IS NULL) = 0 FROM g UNION ALL SELECT 'dates_unique', max(n) = 1 FROM g"""
+)
 def contract_checks(spark, sf_dir):
-    return sinks.contract(sq.feature_store(spark, sf_dir), ["symbol", "date", "close", "TS_50", "band_pos"])
-
-
-@query(f"WITH {sf.BARS} SELECT unnest(['price_not_positive_finite', 'volume_not_finite', 'high_below_low', 'high_below_body', 'low_above_body', 'date_missing', 'date_repeated']) AS rule, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS first FROM (SELECT count(*) FROM bars)")
+    """A feature table that breaks its contract: a column lacks, one knows the future, the dates of each ninth are lost."""
+    rows = sq.feature_store(spark, sf_dir)
+    spoilt = rows.select("symbol", F.when(F.dayofmonth("date") != 9, c("date")).alias("date"), "close", "TS_50", c("close").alias("ret_5d"))
+    return sinks.contract(spoilt, ["symbol", "date", "close", "TS_50", "band_pos"])
+
+
+_SPOILT = """sp AS (SELECT symbol, CASE WHEN day(date) = 2 THEN NULL ELSE date END AS date, CASE WHEN day(date) = 3 THEN -open ELSE open END AS open, CASE WHEN day(date) = 4 THEN low / 2 ELSE high END AS high, CASE WHEN day(date) = 5 THEN high * 2 ELSE low END AS low, CASE WHEN day(date) = 6 THEN NULL ELSE close END AS close, CASE WHEN day(date) = 7 THEN -1.0 ELSE volume END AS volume FROM bars),
+sq AS (SELECT * FROM sp UNION ALL SELECT * FROM sp WHERE day(date) = 8), fl AS (SELECT *, count(*) OVER (PARTITION BY symbol, date) AS n FROM sq)"""
+_RULES = {
+    "price_not_positive_finite": "NOT coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0, false)",
+    "volume_not_finite": "NOT coalesce(volume >= 0, false)",
+    "high_below_low": "NOT coalesce(high >= low, false)",
+    "high_below_body": "NOT coalesce(high >= greatest(open, close), false)",
+    "low_above_body": "NOT coalesce(low <= least(open, close), false)",
+    "date_missing": "date IS NULL",
+    "date_repeated": "n > 1",
+}
+
+
+@query(f"WITH {sf.BARS},{_SPOILT} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {v}) AS n, min(date) FILTER (WHERE {v}) AS first FROM fl" for k, v in _RULES.items()))
 def bar_violations(spark, sf_dir):
-    return src.violations(src.order_bars(spark, sf_dir))
+    """Bars of which some days of each month were spoilt, against the rules of a valid series."""
+    bars, day = src.order_bars(spark, sf_dir), F.dayofmonth("date")
+    spoilt = bars.select(
+        "symbol", F.when(day != 2, c("date")).alias("date"), F.when(day == 3, -c("open")).otherwise(c("open")).alias("open"), F.when(day == 4, c("low") / 2).otherwise(c("high")).alias("high"),
+        F.when(day == 5, c("high") * 2).otherwise(c("low")).alias("low"), F.when(day != 6, c("close")).alias("close"), F.when(day == 7, -1.0).otherwise(c("volume").cast("double")).alias("volume"),
+    )
+    return src.violations(spoilt.unionByName(spoilt.where(F.dayofmonth("date") == 8)))
 
 
 @query(f"WITH {sf.BARS} SELECT symbol, to_json(map_from_entries(list({{'k': CAST(date AS VARCHAR), 'v': volume}} ORDER BY date))) AS json FROM bars GROUP BY 1")

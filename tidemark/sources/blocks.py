@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the network's magic.
+#: Rows that a parsing task hands on at once.
+ROWS_AT_ONCE = 20_000
 MAGIC = bytes.fromhex("F9BEB4D9")
 SCHEMA = "file string, block_hash binary, time long, tx_hash binary, out_index int, amount long, pub_key binary"
 
@@ -81,7 +84,9 @@ def read_blocks(spark: SparkSession, path: str, pattern: str = "blk*.dat") -> Da
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(name, *row) for row in outputs(bytes(content))], columns=["file", "block_hash", "time", "tx_hash", "out_index", "amount", "pub_key"])
+                rows = outputs(bytes(content))
+                while some := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                    yield pd.DataFrame([(name, *row) for row in some], columns=["file", "block_hash", "time", "tx_hash", "out_index", "amount", "pub_key"])
 
     return files.select("path", "content").mapInPandas(parse, SCHEMA)
 
