@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.scratch import Workspace
+from tidemark.llm.scratch import Workspace, small_batches
 from tidemark.llm.suffix_dedup import _BASE, _U, _batch, _bytes, _ddl, _mix, _prefix
 
 WORDS = 5
@@ -428,6 +428,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Exact but for hashes: sets are numbered by 64 bits (odds of any collision among m
     distinct sets: m * m in 2**65), shingles are compared by 48.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, words, threshold)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int]) -> DataFrame:
     work = Workspace(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_number_of(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Workspace
+from tidemark.llm.scratch import Workspace, small_batches
 
 SPAN = 200
 GRAM = 32
@@ -323,6 +323,11 @@ def repeated_spans(docs: DataFrame, row: str = "row", text: str = "text", span:
     """
     if span - gram > _AT[2] or gram < 8 or span < gram:
         raise ValueError("span must be at least gram, and at most 255 more")
+    with small_batches(docs.sparkSession):
+        return _repeated_spans(docs, row, text, span, gram, hot)
+
+
+def _repeated_spans(docs: DataFrame, row: str, text: str, span: int, gram: int, hot: int) -> DataFrame:
     work = Workspace(docs.sparkSession)
     docs = docs.select(F.col(row).cast("long").alias("row"), F.encode(F.col(text), "UTF-8").alias("text"))
     same_gram = Window.partitionBy("key")
