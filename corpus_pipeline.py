@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, packing, shingle_join, suffix_dedup, toxicity
-from tidemark.llm.scratch import materialize, table
+from tidemark.llm.scratch import materialize, small_batches, table
 
 #: Documents with at least this score are rejected.
 TOXIC = 0.5
@@ -19,8 +19,9 @@ def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; null and empty texts stay."""
-    lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    with small_batches(spark):
+        lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+        return materialize(toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns), "clean")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
