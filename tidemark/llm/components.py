@@ -21,27 +21,30 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Does every link lead from a node of its own straight to a root?"""
+    ends = stars.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(stars.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+
+
 def components(links: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(node, component) for the nodes of ``links(a, b)``: the least node reachable.
 
-    Alternates large stars and small stars until nothing changes; every round is written to
-    the shared folder, so a lost executor repeats one round at most, and the round before is
-    dropped. Links may repeat and run either way; no links give no rows. With ``work`` the
-    result is one of its tables, else it stays in the shared folder.
+    Alternates large stars and small stars until every node points at its root; every round is
+    written to the shared folder, so a lost executor repeats one round at most, and the round
+    before is dropped. Links may repeat and run either way; no links give no rows. With
+    ``work`` the result is one of its tables, else it stays in the shared folder.
     """
     rounds = Workspace(links.sparkSession)
     now = rounds.keep(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
-    mark = None
     for i in range(MAX_ROUNDS):
-        now = rounds.keep(_stars(_stars(now, True), False), str(i + 1))
-        rounds.drop(str(i))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        if _settled(now):
+            found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
             if work is None:
                 return rounds.result(found)
             out = work.keep(found, f"components-{rounds.name}")
-            rounds.drop(str(i + 1))
+            rounds.drop(str(i))
             return out
-        mark = seen
+        now = rounds.keep(_stars(_stars(now, True), False), str(i + 1))
+        rounds.drop(str(i))
     raise RuntimeError("components did not settle")

@@ -450,8 +450,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
 
     # 1. pairs with the most central node of each band
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    crowds = work.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > 1), "crowds")
-    met = work.keep(banded.join(crowds, "band"), "bands")
+    met = work.keep(banded.withColumn("crowd", F.count(F.lit(1)).over(Window.partitionBy("band"))).where(F.col("crowd") > 1), "bands")
     central = met.groupBy("node").agg(F.sum("crowd").alias("weight"))
     leaders = met.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("leader"))
     stars = work.keep(met.join(leaders, "band").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "stars")
@@ -461,7 +460,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     sets = work.keep(sets_of(stars.select(F.explode(F.array("leader", "node")).alias("node")).distinct()), "sets")
     spread = members.unionByName(heads).join(sets, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader"))
     links = work.keep(spread.mapInArrow(_star_links(threshold), _PAIR_DDL), "links")
-    work.drop("crowds", "bands", "stars", "salts", "sets")
+    work.drop("bands", "stars", "salts", "sets")
     labels = components(links, work)
 
     # 2. prefix shingles shared by nodes of different classes
@@ -471,7 +470,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     spread = labelled.select("token", "node", "label", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"), F.bit_xor(F.xxhash64("node")).over(same).alias("who"))
     meeting = work.keep(spread.where(F.col("low") != F.col("high")).drop("low", "high"), "meeting")
     # shingles with the same nodes lead to the same pairs: one of them is enough
-    several = work.keep(meeting.groupBy("times", "who").agg(F.min("token").alias("token")).select("token"), "several")
+    several = meeting.groupBy("times", "who").agg(F.min("token").alias("token")).select("token")
     meeting = meeting.join(several, "token", "left_semi")
     # each node in the bucket of its size, and as a guest in the next; a bucket of one label or of guests only has no pair
     size = F.floor(F.log("n") / F.lit(math.log(den / num)))
@@ -481,17 +480,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     kept = work.keep(counted.where((F.col("low") != F.col("high")) & (F.col("homes") > 0)).drop("low", "high", "homes"), "placed")
     bitmaps = work.keep(_picked(some.select("node", "n", "bitmap"), kept.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
     buckets = _cells(kept, F.ceil(F.col("times") / BLOCK)).select("token", "size", "cell", "home", "node", "label").join(bitmaps, "node")
-    candidates = work.keep(buckets.repartition("token", "size", "cell").sortWithinPartitions("token", "size", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL).distinct(), "candidates")
-    work.drop("meeting", "several", "placed", "bitmaps")
-    clusters = work.keep(components(candidates, work).withColumnRenamed("component", "cluster"), "clusters")
+    candidates = buckets.repartition("token", "size", "cell").sortWithinPartitions("token", "size", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL)
+    clusters = components(candidates, work).withColumnRenamed("component", "cluster")
+    work.drop("meeting", "placed", "bitmaps")
     sized = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     placed = _cells(clusters.join(sized, "cluster"), F.col("parts")).join(labels, "node", "left").select("cluster", "cell", "node", F.coalesce("component", "node").alias("label"))
     sets = work.keep(sets_of(clusters.select("node")), "sets")
     checked = placed.join(sets, "node").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_checked(threshold), _PAIR_DDL)
-    more = work.keep(links.unionByName(checked), "all_links")
-    work.drop("sets", "clusters", "candidates")
-
-    joined = components(more, work)
+    joined = components(links.unionByName(checked), work)
     final = nodes.select("node", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = final.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = final.join(least, "component").select("node", "component_id", F.col("component").alias("class"))
