@@ -354,9 +354,10 @@ _CSTATS = f"""cs AS (SELECT condition, t.target, count(*) FILTER (WHERE met) AS
     FROM cl JOIN ({" UNION ALL ".join(f"SELECT symbol, date, '{t}' AS target, {t} AS v FROM tgts" for t in _TARGETS)}) t USING (symbol, date) GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {CONDITIONS},{_CSTATS} SELECT condition, target, sample_count, {', '.join(f'{r(n)} AS {n}' for n in ('coverage', 'mean', 'median', 'separation', 'win_rate', 'event_rate'))} FROM cs")
+@query(f"WITH RECURSIVE {CONDITIONS},{_CSTATS} SELECT condition, target, sample_count, {', '.join(f'{r(n, 11)} AS {n}' for n in ('coverage', 'mean', 'median', 'separation', 'win_rate', 'event_rate'))} FROM cs")
 def condition_statistics(spark, sf_dir):
-    return rounded_doubles(audit.condition_stats(conditioned(spark, sf_dir), _TARGETS))
+    # means of few values with eight decimals often lie on a tie at six
+    return rounded_doubles(audit.condition_stats(conditioned(spark, sf_dir), _TARGETS), 11)
 
 
 _pr = lambda n: f"CASE WHEN {n} IS NOT NULL THEN (rank() OVER (PARTITION BY {n} IS NULL ORDER BY {n}) + (count({n}) OVER (PARTITION BY {n}) - 1) / 2.0) / count({n}) OVER () END"
