@@ -60,6 +60,22 @@ def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raise ValueError(f"unknown kind {kind!r}")
 
 
+def read_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A feature csv: ISO dates, all other columns numbers. A date that is none, or one that repeats, fails the query; a cell that is no number is missing.
+
+    The schema comes from the header alone, so the data is read once.
+    """
+    names = spark.read.csv(path, header=True).columns
+    if "date" not in names or (lacking := [n for n in columns or () if n not in names]):
+        raise ValueError(f"the file lacks {'date' if 'date' not in names else lacking}")
+    rows = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path, header=True)
+    date = F.try_to_date("date", "yyyy-MM-dd")
+    kept = [n for n in columns or names if n != "date"]
+    typed = rows.select(F.when(date.isNotNull(), date).otherwise(F.raise_error(F.concat(F.lit("no date: "), F.coalesce("date", F.lit("null")))).cast("date")).alias("date"), *[F.col(n).try_cast("double").alias(n) for n in kept])
+    times = F.count(F.lit(1)).over(Window.partitionBy("date"))
+    return typed.withColumn("_n", times).where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated date: "), F.col("date").cast("string"))).cast("boolean"))).drop("_n")
+
+
 def read_day_values(spark: SparkSession, path: str) -> DataFrame:
     """(date, value) of a JSON object of numbers by date; entries that are no numbers are left out."""
     text = spark.read.text(path, wholetext=True)

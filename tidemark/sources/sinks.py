@@ -50,7 +50,7 @@ def chart_payload(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(symbol, json): dates and one list for each column, eight decimals, gaps as null."""
     kept = F.struct(c("date"), *[F.when(~F.isnan(c(n)), F.round(c(n), 8)).alias(n) for n in columns])
     rows = df.groupBy("symbol").agg(F.array_sort(F.collect_list(kept)).alias("r"))
-    lists = F.struct(*[F.transform("r", lambda x, n=n: x[n]).alias(n) for n in columns])
+    lists = F.struct(*[c(f"r.{n}").alias(n) for n in columns])
     return rows.select("symbol", F.to_json(F.struct(F.transform("r", lambda x: F.date_format(x["date"], "yyyy-MM-dd")).alias("dates"), lists.alias("series")), {"ignoreNullFields": "false"}).alias("json"))
 
 
