@@ -232,7 +232,7 @@ def test_nearest_finds_the_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist()) for i in range(20)]
-    rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0, None] * 8), (9004, [1.0])]
+    rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0, None] * 8), (9050, [1.0, 2.0]), (9051, [2.0, 1.0]), (9052, [2.0, 4.0]), (9100, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
@@ -247,6 +247,7 @@ def test_nearest_finds_the_nearest(spark):
         total += 5
         assert len(got[q]) == 5
     assert hits / total >= 0.9
+    assert got[9050] == [(9052, pytest.approx(1.0)), (9051, pytest.approx(0.8))] and 9100 not in got
     assert [v for v, _ in got[0]] == [5000, 5001, 5002, 5003, 5004]
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import Workspace, materialize
 from tidemark.llm.suffix_dedup import _batch
 
 TABLES = 12
@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_QUERIES = 4000, 150
 TARGET, MAX_PROBES = 0.97, 400
 #: Index entries of a bucket part.
 PART = 4096
-#: Queries of a block compared with all vectors.
+#: Queries compared at once.
 BLOCK = 1000
 
 
@@ -148,44 +148,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, near: int = 5, id_col: str =
     """(query_id, rank, vec_id, score): for each query the ``near`` rows of highest cosine found, itself left out.
 
     Null ids, and vectors that are null, zero or hold null or non-finite components, take no
-    part. Vectors are compared with those of the commonest length only. Rows that repeat
+    part. A vector is compared with those of its own length: of the commonest length through the
+    index, of others with all. Rows that repeat
     an id with another vector are candidates of their own, with the same id a query never
     finds itself. Ties go to the smaller id. No usable vectors give no rows.
     """
-    spark = vectors.sparkSession
+    spark, work = vectors.sparkSession, Workspace(vectors.sparkSession)
 
     def clean(rows: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
         return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
 
-    lengths = clean(vectors).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dimension = lengths["n"] if lengths else 0
     few = Window.partitionBy("print", "vector").orderBy("id")
     # of equal vectors only the least ids can be among the nearest
-    entries = clean(vectors).where(F.size("vector") == dimension).distinct().withColumn("print", F.xxhash64("vector")).withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= near + 1)
-    nodes = materialize(entries.groupBy("print", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "vector"), "nodes")
-    asked = materialize(clean(queries).where(F.size("vector") == dimension).distinct(), "queries")
-    size = nodes.count()
-    hits = spark.createDataFrame([], "query_id long, node long, score double")
-    if size:
-        share = SAMPLE / size
-        picked = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000))
-        sample = np.array([r["vector"] for r in picked.select("vector").collect()], dtype=np.float64).reshape(-1, dimension)
-        index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), size, near)
-        hits = materialize(_search(index, nodes, asked, near), "hits")
-    first = _ranked(hits, nodes, near)
-    lacking = asked.select(F.col("id").alias("query_id")).join(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < near).select("query_id")
-    short = materialize(asked.join(lacking, asked["id"] == lacking["query_id"]).select("id", "vector"), "lacking")
-    n = short.count()
-    if n and size:
-        blocks = math.ceil(n / BLOCK)
-        for i in range(blocks):
-            some = short.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
-            if some:
-                ids, matrix = np.array([r["id"] for r in some], dtype=np.int64), np.array([r["vector"] for r in some], dtype=np.float64)
-                hits = hits.unionByName(nodes.mapInArrow(_scan(ids, matrix, near), "query_id long, node long, score double"))
-        first = _ranked(hits, nodes, near)
-    return first
+    entries = clean(vectors).distinct().withColumn("print", F.xxhash64("vector")).withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= near + 1)
+    every = work.keep(entries.groupBy("print", "vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "vector"), "nodes")
+    asked = work.keep(clean(queries).distinct(), "queries")
+    common = every.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dimension, size = common["n"], common["count"]
+    nodes, same = every.where(F.size("vector") == dimension), F.size("vector") == dimension
+    share = SAMPLE / size
+    picked = nodes if share >= 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = np.array([r["vector"] for r in picked.select("vector").collect()], dtype=np.float64).reshape(-1, dimension)
+    index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), size, near)
+    hits = work.keep(_search(index, nodes, asked.where(same), near), "hits")
+    found = hits.join(every.select("node", F.size("ids").alias("k")), "node").groupBy("query_id").agg(F.sum("k").alias("k"))
+    # of other lengths, and of those that met fewer than they ask for (themselves aside), all nodes are compared
+    lacking = asked.join(found, asked["id"] == found["query_id"], "left").where(~same | (F.coalesce("k", F.lit(0)) <= near)).select("id", "vector")
+    short = work.keep(lacking, "lacking")
+    if not short.isEmpty():
+        hits = work.keep(hits.unionByName(_exact(every, short, near)), "all_hits")
+    return work.result(_ranked(hits, every, near))
 
 
 def _ranked(hits: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
@@ -206,45 +201,22 @@ def _ranked(hits: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
     )
 
 
-def _scan(ids: np.ndarray, queries: np.ndarray, near: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _best(ids, queries, batch.column("node").to_numpy(), _matrix(batch.column("vector")), near + 1)
-
-    return scan
-
+def _exact(nodes: DataFrame, asked: DataFrame, near: int) -> DataFrame:
+    """The best nodes of each query among all of its length: nodes are dealt to blocks, and every query goes to each block."""
+    blocks = max(1, math.ceil(nodes.count() / (8 * PART)))
+    own, every = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    entries = nodes.select(F.size("vector").alias("t"), own.alias("bucket"), F.lit(False).alias("probe"), F.col("node").alias("id"), "vector")
+    looks = asked.select(F.size("vector").alias("t"), every.alias("bucket"), F.lit(True).alias("probe"), "id", "vector")
+    together = entries.unionByName(looks).withColumn("part", F.lit(0))
+    return together.repartition("t", "bucket").sortWithinPartitions("t", "bucket", "part").mapInArrow(_meet(near), _HIT_DDL)
 
-def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> DataFrame:
-    tables = len(index.a)
 
-    def unit(batch: pa.RecordBatch) -> np.ndarray:
-        m = _matrix(batch.column("vector"))
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
+_KINDS = "t int, bucket long, probe boolean, id long, vector array<double>"
+_HIT_DDL = "query_id long, node long, score double"
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids = bucket_ids(np.floor(index.places(unit(batch))))
-                for t in range(tables):
-                    yield _batch(_ROW, np.full(len(ids), t), ids[:, t], np.zeros(len(ids), dtype=bool), batch.column("id"), batch.column("vector"))
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = index.places(unit(batch))
-            cells = np.floor(at)
-            for i in range(batch.num_rows):
-                t_of, wanted = [], []
-                for t in range(tables):
-                    for _, changes in probe_order(at[i, t] - cells[i, t], index.probes):
-                        cell = cells[i, t].copy()
-                        for f, d in changes:
-                            cell[f] += d
-                        t_of.append(t), wanted.append(cell)
-                same = pa.array([i] * len(wanted))
-                yield _batch(_ROW, np.array(t_of), bucket_ids(np.array(wanted)), np.ones(len(wanted), dtype=bool), batch.column("id").take(same), batch.column("vector").take(same))
+def _meet(near: int):
+    """The best nodes of each query among those that share its (t, bucket, part); the rows come sorted by these."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: list[pa.RecordBatch] = []
@@ -266,7 +238,9 @@ def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> Data
             if probe.all() or not probe.any():
                 return None
             ids, m = rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks())
-            return _best(ids[probe], m[probe], ids[~probe], m[~probe], near + 1)
+            asked = np.flatnonzero(probe)
+            found = [_best(ids[some], m[some], ids[~probe], m[~probe], near + 1) for some in np.split(asked, range(BLOCK, len(asked), BLOCK))]
+            return found[0] if len(found) == 1 else _compact(found, near + 1)
 
         for batch in batches:
             if not batch.num_rows:
@@ -286,9 +260,42 @@ def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> Data
         if held and (out := compare()) is not None:
             yield out
 
-    kinds = "t int, bucket long, probe boolean, id long, vector array<double>"
-    entries = nodes.select(F.col("node").alias("id"), "vector").mapInArrow(stored, kinds)
-    looks = asked.mapInArrow(probed, kinds)
+    return met
+
+
+def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> DataFrame:
+    tables = len(index.a)
+
+    def unit(batch: pa.RecordBatch) -> np.ndarray:
+        m = _matrix(batch.column("vector"))
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = bucket_ids(np.floor(index.places(unit(batch))))
+                for t in range(tables):
+                    yield _batch(_ROW, np.full(len(ids), t), ids[:, t], np.zeros(len(ids), dtype=bool), batch.column("id"), batch.column("vector"))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = index.places(unit(batch))
+            cells = np.floor(at)
+            for i in range(batch.num_rows):
+                t_of, wanted = [], []
+                for t in range(tables):
+                    for _, changes in probe_order(at[i, t] - cells[i, t], index.probes):
+                        cell = cells[i, t].copy()
+                        for f, d in changes:
+                            cell[f] += d
+                        t_of.append(t), wanted.append(cell)
+                same = pa.array([i] * len(wanted))
+                yield _batch(_ROW, np.array(t_of), bucket_ids(np.array(wanted)), np.ones(len(wanted), dtype=bool), batch.column("id").take(same), batch.column("vector").take(same))
+
+    entries = nodes.select(F.col("node").alias("id"), "vector").mapInArrow(stored, _KINDS)
+    looks = asked.mapInArrow(probed, _KINDS)
     sizes = entries.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     large = materialize(sizes.where(F.col("parts") > 1), "large")
     if large.isEmpty():
@@ -297,4 +304,4 @@ def _search(index: Index, nodes: DataFrame, asked: DataFrame, near: int) -> Data
         entries = entries.join(large, ["t", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         looks = looks.join(large, ["t", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     together = entries.unionByName(looks)
-    return together.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part").mapInArrow(met, "query_id long, node long, score double")
+    return together.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part").mapInArrow(_meet(near), _HIT_DDL)
