@@ -37,6 +37,8 @@ GRAM = 32
 CHUNK_BITS = 20
 #: Different stretches of one gram that a bucket may sort.
 HOT_STRETCHES = 4096
+#: Row numbers, of eight bytes each, that are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 #: Stretches that a bucket sorts at once, and bytes of them in a bucket.
 SORTED_AT_ONCE = 6_000
 BUCKET_STRETCHES = 40_000
@@ -351,7 +353,10 @@ def _repeated_spans(docs: DataFrame, row: str, text: str, span: int, gram: int,
     sorted_in = snippets.repartitionByRange(buckets, "lead", "key").sortWithinPartitions("lead", "key")
     places = [copied, sorted_in.mapInArrow(_sort_bucket(span), _ddl(_PLACE))]
     if (top[0] or 0) > hot:
-        prints = work.keep(docs.join(listed(wanted.where(F.col("kinds") > hot)).hint("merge"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
+        common = wanted.where(F.col("kinds") > hot)
+        rows = common.select("row").distinct()  # few texts hold such a gram: only those are shuffled, unless they are too many to be named
+        held = docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
+        prints = work.keep(held.join(listed(common).hint("merge"), "row").mapInArrow(_fingerprints(span), _ddl(_PRINT)), "prints")
         twice = prints.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("p", "q")
         places.append(prints.join(twice, ["p", "q"]).select("row", F.shiftleft("start", 16).bitwiseOR(F.lit(span)).alias("span")))
     spans = places[0]
