@@ -39,9 +39,9 @@ WORDS = 5
 THRESHOLD = (80, 100)
 BANDS = 4
 #: A shingle counts as frequent from so many occurrences; so many, the commonest, are told apart.
-FREQUENT, FREQUENT_KEPT = 64, 200_000
+FREQUENT, FREQUENT_KEPT = 16, 200_000
 #: What one task reports of its own frequent shingles.
-LOCAL_MIN, LOCAL_KEPT = 8, 8192
+LOCAL_MIN, LOCAL_KEPT = 2, 65_536
 LEAF = 8
 #: Sets, and shingles of sets, of a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 512, 1_500_000
@@ -124,7 +124,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
         def fold():
             got, times = np.unique(np.concatenate([np.zeros(0, _U), *held]), return_counts=True)
-            got, times = np.concatenate([ids, got[times > 2]]), np.concatenate([n, times[times > 2]])
+            got, times = np.concatenate([ids, got[times > 1]]), np.concatenate([n, times[times > 1]])
             both, inverse = np.unique(got, return_inverse=True)
             return both, np.bincount(inverse, weights=times, minlength=len(both)).astype(np.int64)
 
