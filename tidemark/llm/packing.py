@@ -75,7 +75,7 @@ class ChunkEncoder(dict):
         self._before: dict[str, bytes] = {}  # what was remembered until there was too much of it
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self._letters = dict(zip(shown, shown, strict=True)) | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self._piece = lru_cache(maxsize=REMEMBERED)(self._ask_model)
+        self._piece = lru_cache(maxsize=REMEMBERED // 2)(self._ask_model)
         self._marks = {m: self._ask(m) for m in ".,"}
         self.sentence_ends = np.unique(
             [np.frombuffer(self._ask(m), dtype="<u4")[-1] for m in (".", "!", "?", "...", '."', ".)", "。")]
@@ -102,6 +102,10 @@ class ChunkEncoder(dict):
             self[chunk] = ids
         return ids
 
+    def rest(self) -> None:
+        """Forget what may be long unused, between tasks."""
+        self._before = {}
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -238,5 +242,6 @@ def pack_documents(
                     yield out(rows)
         if rows := packer.flush(True):
             yield out(rows)
+        words.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, PIECES)
