@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, html_extract, image_copies, line_dedup, packing, pieces, sharding, shingle_join, suffix_dedup, toxicity
+from tidemark.llm import ann, decontaminate, filter_audit, html_extract, image_copies, line_dedup, packing, pieces, ranked_search, sharding, shingle_join, suffix_dedup, toxicity
 from tidemark.llm.scratch import table
 
 SHARDS = 8
@@ -119,6 +119,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a 10-word window of a benchmark item."""
+    return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents of each language, in all orders."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_shingle_join": op2_shingle_join,
@@ -130,8 +145,14 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+#: Words of ``text`` in DuckDB: only A-Z are lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
     "op10_line_dedup": f"""
         WITH pages AS (
@@ -153,4 +174,86 @@ ORACLE_SQL = {
                CAST(length(array_to_string(rest, chr(10))) AS BIGINT) AS kept_chars, md5(array_to_string(rest, chr(10))) AS kept_md5
         FROM kept
     """,
+    "op11_ranked_search": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0
+        ), size AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+        ), query AS (
+            SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark
+        ), posted AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM query) GROUP BY r, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM posted, size GROUP BY term, docs
+        ), parts AS (
+            SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * size.docs) // size.terms))) AS part
+            FROM posted JOIN docs USING (r) JOIN weights USING (term) CROSS JOIN size
+        ), scored AS (
+            SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM query JOIN parts USING (term) GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+        ) WHERE rank <= {ranked_search.TOP}
+    """,
+    "op12_decontamination": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+        ), items AS (
+            SELECT item_id, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, len(w) AS long, array_to_string(w, ' ') AS win FROM items WHERE len(w) < {decontaminate.WORDS}
+            UNION
+            SELECT item_id, {decontaminate.WORDS}, array_to_string(w[i:i + {decontaminate.WORDS - 1}], ' ') FROM (SELECT item_id, w, unnest(range(1, len(w) - {decontaminate.WORDS - 2})) AS i FROM items WHERE len(w) >= {decontaminate.WORDS})
+        ), lengths AS (
+            SELECT DISTINCT long FROM windows
+        ), placed AS (
+            SELECT r, long, i, array_to_string(w[i:i + long - 1], ' ') AS win FROM (SELECT r, w, long, unnest(range(1, CAST(len(w) - long + 2 AS BIGINT))) AS i FROM docs, lengths WHERE len(w) >= long)
+        ), hits AS (
+            SELECT r, i, long, item_id FROM placed JOIN windows USING (long, win)
+        ), words AS (
+            SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + long)) AS k FROM hits) GROUP BY r
+        ), owners AS (
+            SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
+    """,
+    "op13_filter_audit": r"""
+        WITH marks AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), least AS (
+            SELECT coalesce(text, '') AS text, min(doc_id) AS least FROM documents GROUP BY 1
+        ), texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents
+        ), failing AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                    regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails
+            FROM texts JOIN least USING (text) LEFT JOIN marks USING (doc_id)
+        ), kinds AS (
+            SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(range(1, 6)) AS f
+        ), orders AS (
+            SELECT [a.f, b.f, c.f, d.f, e.f] AS ord FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT ord, step, ord[step] AS f, array_to_string(list_transform(ord, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order FROM orders, (SELECT unnest(range(1, 6)) AS step)
+        ), counted AS (
+            SELECT part, filter_order, step, f,
+                   sum(n) FILTER (NOT gone AND NOT own) AS kept, sum(n) FILTER (NOT gone AND own) AS removed, sum(n) FILTER (gone AND own) AS redundant,
+                   sum(n) FILTER (own AND alone) AS unique_fails, sum(n) FILTER (NOT gone AND own AND good) AS good_lost, sum(n) FILTER (NOT gone AND own AND toxic) AS toxic_lost
+            FROM (
+                SELECT part, filter_order, step, f, good, toxic, n, fails[f] AS own, len(list_filter(fails, lambda x: x)) = 1 AS alone,
+                       len(list_filter(ord[1:step - 1], lambda x: fails[x])) > 0 AS gone
+                FROM kinds, steps
+            ) GROUP BY part, filter_order, step, f
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM counted
+    """,
 }
