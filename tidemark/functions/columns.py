@@ -97,6 +97,20 @@ def little_endian(data: Column) -> Column:
     return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))), ""), 16, 10).cast("long")
 
 
+def little_endian_hex(value: Column, width: int) -> Column:
+    """Hex of the ``width`` little-endian bytes of a non-negative integer."""
+    return F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(value), 2 * width, "0"), F.lit("(..)"), F.lit(1))), "")
+
+
+def compact_size_hex(value: Column) -> Column:
+    """Hex of a compact-size integer."""
+    tags = ((65536, "FD", 2), (4294967296, "FE", 4))
+    wide = F.concat(F.lit("FF"), little_endian_hex(value, 8))
+    for bound, tag, width in reversed(tags):
+        wide = F.when(value < bound, F.concat(F.lit(tag), little_endian_hex(value, width))).otherwise(wide)
+    return F.when(value < 253, little_endian_hex(value, 1)).otherwise(wide)
+
+
 def compact_size(data: Column) -> Column:
     """Value of a compact-size integer at the start of ``data``."""
     first = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")
