@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at_least, clip01, full, last_rows, series, so_far
+from tidemark.operators import scans
 
 RETURNS, TRENDS = (3, 7, 14), (20, 50, 200)
 VOL, ATR, BAND, SWITCH, VOLUME, EQUILIBRIUM, EXTREMA, ADAPT, EWMA = 20, 14, 100, 50, 20, 50, 50, 730, 20
@@ -100,19 +100,12 @@ def _all_columns() -> list[Column]:
     return [v.alias(k) for k, v in out.items()]
 
 
-def ewma_vol(bars: DataFrame, span: int = EWMA) -> DataFrame:
-    """(symbol, date, ewma_vol): root of the exponentially weighted mean of squared log returns.
-
-    The recursion needs a scan; a series has one row for each calendar day, which bounds its group.
-    """
-    returns = bars.select("symbol", "date", (F.ln("close") - F.lag(F.ln("close")).over(series())).alias("r1"))
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        mean = (rows["r1"] ** 2).ewm(span=span, adjust=False, min_periods=span).mean()
-        return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "ewma_vol": mean**0.5})
-
-    return returns.groupBy("symbol").applyInPandas(scan, "symbol string, date date, ewma_vol double")
+def ewma_vol(bars: DataFrame, span: int = EWMA, ranges: Column | None = None) -> DataFrame:
+    """(symbol, date, ewma_vol): root of the exponentially weighted mean of squared log returns, by a scan over ranges of days."""
+    r1 = F.ln("close") - F.lag(F.ln("close")).over(series())
+    squares = bars.select("symbol", "date", (r1 * r1).alias("_sq"))
+    means = scans.scan(squares, scans.ewma(span, "_sq", "_mean"), "symbol string, date date, _sq double, _mean double", ranges)
+    return means.select("symbol", "date", F.sqrt("_mean").alias("ewma_vol"))
 
 
 def features(bars: DataFrame) -> DataFrame:
