@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,45 +43,67 @@ def outcomes(days: int = 5) -> dict[str, Column]:
     return {"hit_5": (F.max("high").over(w) >= close * 1.05).cast("double"), "hit_3": (F.max("high").over(w) >= close * 1.03).cast("double"), "days": F.when(first > 0, first.cast("double"))}
 
 
-def analogs(rows: DataFrame, k: int = 40, temperature: float = 0.15, side: str = "down", embargo: int = 0) -> DataFrame:
+#: Rows of a series that are compared with as many earlier ones in one task.
+BLOCK = 512
+
+
+def top_matches(rows: DataFrame, k: int, outcomes: Sequence[str], embargo: int = 0, block: int = BLOCK) -> DataFrame:
+    """(symbol, date, s, *outcomes): for each row the ``k`` most similar earlier candidates of its series, the later of equals first.
+
+    ``rows(symbol, date, vector, candidate, *outcomes)``; rows without a vector take no part,
+    ``embargo`` leaves out the nearest rows. A series is cut into blocks of rows, and
+    each block is multiplied with each of the blocks up to it in a task of its own; of a pair of
+    blocks only the ``k`` best of a row go on, and are merged by row. The work is quadratic in a series, but no task sees more than two blocks.
+    """
+    numbered = rows.withColumn("rn", F.row_number().over(series())).withColumn("_last", F.max("rn").over(Window.partitionBy("symbol"))).where(c("vector").isNotNull())
+    own = F.floor(c("rn") / block)
+    queries = numbered.select("symbol", "date", "rn", "vector", own.alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("_e"))
+    earlier = numbered.where("candidate").select("symbol", "rn", "vector", *outcomes, own.alias("_e"), F.explode(F.sequence(own, F.floor(c("_last") / block))).alias("_q"))
+    names = ["symbol", "date", "rn", "s", "prior", *outcomes]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("rn", ascending=False)
+        x, y = (np.stack(side["vector"].to_numpy()) for side in (left, right))
+        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        s = np.round(x @ y.T / (nx[:, None] * ny[None] + 1e-12), 12)
+        allowed = (right["rn"].to_numpy()[None] < left["rn"].to_numpy()[:, None] - embargo) & (nx[:, None] > 0) & (ny[None] > 0)
+        order = np.argsort(np.where(allowed, -s, np.inf), axis=1, kind="stable")[:, :k]
+        i, j = np.nonzero(np.take_along_axis(allowed, order, 1))
+        at = order[i, j]
+        found = left[["symbol", "date", "rn"]].iloc[i].reset_index(drop=True)
+        best = right[["rn", *outcomes]].iloc[at].reset_index(drop=True).rename(columns={"rn": "prior"})
+        return pd.concat([found, pd.Series(s[i, at], name="s"), best], axis=1)[names]
+
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in outcomes)
+    best = queries.groupBy("symbol", "_q", "_e").cogroup(earlier.groupBy("symbol", "_q", "_e")).applyInPandas(compare, f"symbol string, date date, rn long, s double, prior long, {kinds}")
+    place = F.row_number().over(Window.partitionBy("symbol", "rn").orderBy(F.desc("s"), F.desc("prior")))
+    return best.withColumn("_place", place).where(c("_place") <= k).select("symbol", "date", "s", *outcomes)
+
+
+def _weighted(matches: DataFrame, temperature: float) -> DataFrame:
+    """``matches`` with similarity weights ``w``, the best of a row weighing one."""
+    return matches.withColumn("w", F.exp((c("s") - F.max("s").over(Window.partitionBy("symbol", "date"))) / temperature))
+
+
+def analogs(rows: DataFrame, k: int = 40, temperature: float = 0.15, side: str = "down", embargo: int = 0, block: int = BLOCK) -> DataFrame:
     """(symbol, date, analog_hit_5, analog_hit_3, analog_days, matches): weighted outcomes of the ``k`` most similar earlier rows.
 
     ``rows(symbol, date, vector, way, hit_5, hit_3, days)``. Only earlier rows on ``side``
     with an outcome are candidates; ``embargo`` leaves out the nearest ones, whose outcomes
     look past the current row. Similarity is the cosine, ties go to the later row, weights are
-    ``exp((s - max) / temperature)``. A series has one row a day, which bounds its group.
+    ``exp((s - max) / temperature)``; ``analog_days`` is the weighted median of the known days.
     """
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date").reset_index(drop=True)
-        usable = rows["vector"].notna().to_numpy()
-        at = np.flatnonzero(usable)
-        if not len(at):
-            return pd.DataFrame(columns=["symbol", "date", "analog_hit_5", "analog_hit_3", "analog_days", "matches"])
-        m = np.stack(rows["vector"][usable].to_numpy())
-        norm = np.linalg.norm(m, axis=1)
-        good = (rows["way"] == side).to_numpy()[at] & rows["hit_5"].notna().to_numpy()[at] & (norm > 0)
-        hit5, hit3, days = (rows[n].to_numpy(dtype=float)[at] for n in ("hit_5", "hit_3", "days"))
-        out = []
-        for i in range(len(at)):
-            prior = np.flatnonzero(good[:i] & (at[:i] < at[i] - embargo))
-            if norm[i] <= 0 or not len(prior):
-                continue
-            s = m[prior] @ m[i] / (norm[prior] * norm[i] + 1e-12)
-            top = np.lexsort((-prior, -s))[:k]
-            prior, s = prior[top], s[top]
-            w = np.exp((s - s.max()) / temperature)
-            known = np.isfinite(days[prior])
-            middle = None
-            if known.any():
-                order = np.argsort(days[prior][known], kind="stable")
-                run = np.cumsum(w[known][order])
-                middle = float(days[prior][known][order][np.searchsorted(run, 0.5 * run[-1])])
-            out.append((rows["symbol"].iloc[0], rows["date"].iloc[at[i]], float(w @ hit5[prior] / w.sum()), float(w @ hit3[prior] / w.sum()), middle, len(prior)))
-        return pd.DataFrame(out, columns=["symbol", "date", "analog_hit_5", "analog_hit_3", "analog_days", "matches"])
-
-    schema = "symbol string, date date, analog_hit_5 double, analog_hit_3 double, analog_days double, matches int"
-    return rows.select("symbol", "date", "vector", "way", "hit_5", "hit_3", "days").groupBy("symbol").applyInPandas(search, schema)
+    values = ["hit_5", "hit_3", "days"]
+    candidates = rows.select("symbol", "date", "vector", F.coalesce((c("way") == side) & c("hit_5").isNotNull(), F.lit(False)).alias("candidate"), *[c(n).cast("double").alias(n) for n in values])
+    found = _weighted(top_matches(candidates, k, values, embargo, block), temperature)
+    known = F.array_sort(F.collect_list(F.when(c("days").isNotNull(), F.struct("days", "w"))))
+    out = found.groupBy("symbol", "date").agg((F.sum(c("w") * c("hit_5")) / F.sum("w")).alias("analog_hit_5"), (F.sum(c("w") * c("hit_3")) / F.sum("w")).alias("analog_hit_3"), known.alias("known"), F.count(F.lit(1)).cast("int").alias("matches"))
+    total = F.aggregate("known", F.lit(0.0), lambda s, x: s + x["w"])
+    nothing = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("at"))
+    middle = F.aggregate("known", nothing, lambda s, x: F.struct((s["run"] + x["w"]).alias("run"), F.when(s["at"].isNull() & (s["run"] + x["w"] >= 0.5 * total), x["days"]).otherwise(s["at"]).alias("at")))
+    return out.select("symbol", "date", "analog_hit_5", "analog_hit_3", middle["at"].alias("analog_days"), "matches")
 
 
 def candle_vector(lags: int = 5) -> Column:
@@ -90,41 +114,20 @@ def candle_vector(lags: int = 5) -> Column:
     return F.when(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), vector)
 
 
-def memory_scores(rows: DataFrame, outcomes: dict[str, float], k: int = 50, temperature: float = 0.08) -> DataFrame:
+def memory_scores(rows: DataFrame, outcomes: dict[str, float], k: int = 50, temperature: float = 0.08, block: int = BLOCK) -> DataFrame:
     """(symbol, date, score, matches): what followed the ``k`` most similar earlier candidates, each outcome column with its weight.
 
     ``rows(symbol, date, vector, candidate, *outcomes)``. An outcome's value is the average of
     its known values under similarity weights; the score is the weighted mean of the known
-    outcomes. Ties in similarity go to the later row. One row a day bounds a series' group.
+    outcomes, clipped to 0 and 1; rows without any are left out. Ties in similarity go to the later row.
     """
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date").reset_index(drop=True)
-        at = np.flatnonzero(rows["vector"].notna().to_numpy())
-        names = ["symbol", "date", "score", "matches"]
-        if not len(at):
-            return pd.DataFrame(columns=names)
-        m = np.stack(rows["vector"].iloc[at].to_numpy())
-        norm = np.linalg.norm(m, axis=1)
-        good = rows["candidate"].to_numpy(dtype=bool)[at] & (norm > 0)
-        known = rows[list(outcomes)].to_numpy(dtype=float)[at]
-        share, out = np.array(list(outcomes.values())), []
-        for i in range(len(at)):
-            prior = np.flatnonzero(good[:i])
-            if norm[i] <= 0 or not len(prior):
-                continue
-            s = m[prior] @ m[i] / (norm[prior] * norm[i] + 1e-12)
-            top = np.lexsort((-prior, -s))[:k]
-            y, w = known[prior[top]], np.exp((s[top] - s[top].max()) / temperature)[:, None]
-            there = np.isfinite(y)
-            total = (w * there).sum(axis=0)
-            value = np.divide((w * np.where(there, y, 0)).sum(axis=0), total, out=np.full(len(share), np.nan), where=total > 0)
-            use = np.isfinite(value)
-            if use.any():
-                out.append((rows["symbol"].iloc[0], rows["date"].iloc[at[i]], float(np.clip(value[use] @ share[use] / share[use].sum(), 0, 1)), len(top)))
-        return pd.DataFrame(out, columns=names)
-
-    return rows.select("symbol", "date", "vector", "candidate", *outcomes).groupBy("symbol").applyInPandas(search, "symbol string, date date, score double, matches int")
+    doubles = rows.select("symbol", "date", "vector", F.coalesce("candidate", F.lit(False)).alias("candidate"), *[F.nanvl(c(n).cast("double"), F.lit(None)).alias(n) for n in outcomes])
+    found = _weighted(top_matches(doubles, k, list(outcomes), 0, block), temperature)
+    value = {n: F.sum(c("w") * c(n)) / F.sum(F.when(c(n).isNotNull(), c("w"))) for n in outcomes}
+    out = found.groupBy("symbol", "date").agg(*[v.alias(n) for n, v in value.items()], F.count(F.lit(1)).cast("int").alias("matches"))
+    share = sum((F.when(c(n).isNotNull(), F.lit(float(x))).otherwise(0.0) for n, x in outcomes.items()), F.lit(0.0))
+    total = sum((F.coalesce(c(n), F.lit(0.0)) * float(x) for n, x in outcomes.items()), F.lit(0.0))
+    return out.where(F.coalesce(*outcomes).isNotNull()).select("symbol", "date", clip01(total / share).alias("score"), "matches")
 
 
 def sequences(rows: DataFrame, columns: Sequence[str], length: int) -> DataFrame:
@@ -175,10 +178,7 @@ def similar_intervals(windows: DataFrame, symbol: str, start_row: int, length: i
         dot = F.aggregate(F.zip_with("vector", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         both = both.withColumn("distance", 1 - dot / (F.sqrt(square(c("vector"))) * F.sqrt(square(c("q"))) + 1e-12))
     elif metric == "mahalanobis":
-        precision = _precision(scaled(candidates))
-        d = len(precision)
-        terms = [F.aggregate(F.zip_with(F.col("gap"), F.array(*map(F.lit, map(float, row))), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for row in precision]
-        both = both.withColumn("gap", gap).withColumn("distance", F.sqrt(F.greatest(sum((t * c("gap")[i] for i, t in zip(range(d), terms, strict=True)), F.lit(0.0)), F.lit(0.0)))).drop("gap")
+        both = both.withColumn("gap", gap).withColumn("distance", _whitened_norm(scaled(candidates))("gap")).drop("gap")
     else:
         raise ValueError(f"unknown metric {metric!r}")
     if tau in ("median", "p75"):
@@ -189,22 +189,26 @@ def similar_intervals(windows: DataFrame, symbol: str, start_row: int, length: i
     return both.select("symbol", "start_row", "start_date", "end_date", "distance", F.when(c("tau") > 0, F.exp(-c("distance") / c("tau"))).alias("similarity"), F.abs(F.datediff("start_date", "query_date")).alias("gap_days"))
 
 
-def _precision(scaled: DataFrame) -> np.ndarray:
-    """Inverse covariance of the vectors: each task hands on its count, sum and Gram matrix, as wide as a window."""
-    width = scaled.select(F.size("vector").alias("n")).first()["n"]
+def covariance(rows: DataFrame, column: str = "vector") -> np.ndarray:
+    """Sample covariance of an array column; the Gram matrix is summed up a tree of tasks, only its sum reaches the driver."""
+    vectors = rows.select(array_to_vector(column).alias("v"))
+    sd = vectors.agg(Summarizer.metrics("std").summary(c("v")).alias("s")).first()["s"]["std"].toArray()
+    correlation = Correlation.corr(vectors, "v").first()[0].toArray()  # NaN for constant columns
+    found = np.nan_to_num(correlation) * np.outer(sd, sd)
+    np.fill_diagonal(found, sd * sd)
+    return found
+
+
+def _whitened_norm(rows: DataFrame):
+    """A column function: the length of a vector after whitening by the covariance of ``rows``, a matrix product a batch."""
+    found = covariance(rows)
+    root = np.linalg.cholesky(np.linalg.inv(found + 1e-6 * np.eye(len(found))))  # as wide as a window, whatever the rows
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total, gram = 0, np.zeros(width), np.zeros((width, width))
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["vector"].to_numpy())
-                n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.ravel().tolist()]})
+    @F.pandas_udf("double")
+    def length(gap: pd.Series) -> pd.Series:
+        return pd.Series(np.linalg.norm(np.stack(gap.to_numpy()) @ root, axis=1) if len(gap) else [], dtype=float)
 
-    parts = scaled.select("vector").mapInPandas(partial, "n long, total array<double>, gram array<double>").collect()  # a row a task
-    n, total, gram = sum(p["n"] for p in parts), sum(np.array(p["total"]) for p in parts), sum(np.array(p["gram"]) for p in parts).reshape(width, width)
-    return np.linalg.inv((gram - np.outer(total, total) / n) / (n - 1) + 1e-6 * np.eye(width))
+    return length
 
 
 def ranked_matches(matches: DataFrame, least: float = 0.0, within_days: int | None = None) -> DataFrame:
