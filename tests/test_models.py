@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import exposure, models, selection, similarity, swings
-from tidemark.streaming import events as ev
 
 
 def test_smoothing_is_the_sum_over_all_paths():
@@ -97,40 +96,6 @@ def test_fitted_regimes_drive_exposure(spark):
     assert {r["direction"] for r in got} >= {0, 1} or len({r["direction"] for r in got}) > 1
 
 
-def _replay(spark, tmp_path, frames, schema, build):
-    for i, f in enumerate(frames):
-        spark.createDataFrame(f, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
-    out = []
-    for i in range(len(frames)):
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        name = f"online{i}_{abs(hash(str(tmp_path))) % 10**6}"
-        query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c{i}")).trigger(availableNow=True).start()
-        query.awaitTermination(180)
-        out = spark.table(name).collect()
-        break
-    return out
-
-
-def test_online_swings_and_regimes_equal_the_batch(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 120)))
-    days = pd.date_range("2021-01-01", periods=120)
-    bars = [("s", d.date(), float(c * 1.01), float(c * 0.99), float(c), 0.03) for d, c in zip(days, close, strict=True)]
-    schema = "symbol string, date date, high double, low double, close double, atr_pct double"
-    # the second batch comes again as the third
-    got = _replay(spark, tmp_path, [bars[:50], bars[50:], bars[50:]], schema, ev.online_swings)
-    batch = swings.zigzag(spark.createDataFrame(bars, schema)).collect()
-    assert len(got) == 120 and sum(r["confirmed"] for r in got) == len(batch) > 3
-    assert {r["pivot_date"] for r in got if r["confirmed"]} == {r["end_date"] for r in batch}
-    x = rng.normal(size=(300, 6))
-    pack = models.fit_hmm(x)
-    rows = [("s", d.date(), *map(float, v)) for d, v in zip(pd.date_range("2022-01-01", periods=300), x, strict=True)]
-    schema = "symbol string, date date, " + ", ".join(f"{n} double" for n in models.HMM_INPUTS)
-    found = _replay(spark, tmp_path / "hmm", [rows[:100], rows[100:]], schema, lambda s: ev.online_regimes(s, pack))
-    p = np.array([r["p"] for r in sorted(found, key=lambda r: r["date"])])
-    assert p == pytest.approx(models.apply_hmm(pack, x))
-
-
 def test_mahalanobis_distances(spark):
     rng = np.random.default_rng(3)
     rows = [("s", d.date(), float(a), float(b)) for d, (a, b) in zip(pd.date_range("2020-01-01", periods=80), rng.normal(size=(80, 2)), strict=True)]

@@ -1,4 +1,4 @@
-"""Bars over a stream of events, and states that are carried from batch to batch: means, swings, regimes."""
+"""Bars over a stream of events, and means that are carried from batch to batch."""
 
 from __future__ import annotations
 
@@ -38,49 +38,3 @@ def running_ewma(values: DataFrame, span: int = 20) -> DataFrame:
         yield pd.DataFrame({"symbol": [key[0]], "n": [n], "ewma": [mean]})
 
     return values.groupBy("symbol").applyInPandasWithState(update, "symbol string, n long, ewma double", "n long, mean double", "update", GroupStateTimeout.NoTimeout)
-
-
-def online_swings(bars: DataFrame, k: float = 1.5) -> DataFrame:
-    """(symbol, date, direction, confirmed, pivot, pivot_date): the zigzag of ``bars(symbol, date, high, low, close, atr_pct)`` as they come, each series' leg kept as state.
-
-    Bars of a batch are taken in order of date; one that is not later than the last taken is
-    ignored, so that a batch delivered twice changes nothing.
-    """
-    from tidemark.operators.swings import Zigzag
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scan, last = Zigzag(k), None
-        if state.exists:
-            last, scan.direction, scan.pivot, scan.pivot_at, scan.extreme, scan.extreme_at = state.get
-        rows = []
-        for bar in pd.concat(list(batches)).sort_values("date").itertuples():
-            if last is not None and bar.date <= last:
-                continue
-            done = scan.feed(bar.date, bar.high, bar.low, bar.close, bar.atr_pct)
-            last = bar.date
-            rows.append((key[0], bar.date, scan.direction, done is not None, scan.pivot, scan.pivot_at))
-        if last is not None:
-            state.update((last, scan.direction, scan.pivot, scan.pivot_at, scan.extreme, scan.extreme_at))
-        yield pd.DataFrame(rows, columns=["symbol", "date", "direction", "confirmed", "pivot", "pivot_date"])
-
-    held = "last date, direction int, pivot double, pivot_at date, extreme double, extreme_at date"
-    return bars.groupBy("symbol").applyInPandasWithState(update, "symbol string, date date, direction int, confirmed boolean, pivot double, pivot_date date", held, "append", GroupStateTimeout.NoTimeout)
-
-
-def online_regimes(rows: DataFrame, pack: dict) -> DataFrame:
-    """(symbol, date, p): the fitted regime model's state probabilities given the rows so far, the filter's last vector kept as state."""
-    from tidemark.operators.models import apply_hmm
-
-    inputs = pack["inputs"]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, p = state.get if state.exists else (None, None)
-        new = pd.concat(list(batches)).sort_values("date")
-        if last is not None:
-            new = new[new["date"] > last]
-        if len(new):
-            found = apply_hmm(pack, new[inputs].to_numpy(dtype=float), p)
-            state.update((new["date"].iloc[-1], found[-1].tolist()))
-            yield pd.DataFrame({"symbol": key[0], "date": new["date"].to_numpy(), "p": list(found.tolist())})
-
-    return rows.select("symbol", "date", *inputs).groupBy("symbol").applyInPandasWithState(update, "symbol string, date date, p array<double>", "last date, p array<double>", "append", GroupStateTimeout.NoTimeout)
