@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_rank, quantiles
+from tidemark.functions.columns import quantiles
+from tidemark.operators.ranks import row_numbers, running_sums
 
 c = F.col
 
@@ -22,29 +23,28 @@ def chronological_split(rows: DataFrame, train: float = 0.70, validation: float
 def classification(rows: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", cut: float = 0.5) -> DataFrame:
     """ROC and average-precision areas, Brier, log loss, precision, recall and F1 by group.
 
-    The ROC area comes from average ranks, the other from precision at each distinct score.
+    Both areas come from running counts over the distinct scores, so that no group is ordered in one task and a score may hold any share of the rows.
     """
     keys = list(keys)
     x = rows.where(c(score).isNotNull() & c(label).isNotNull()).select(*keys, c(score).alias("s"), c(label).cast("double").alias("y"))
-    ranked = x.withColumn("r", average_rank(c("s"), keys))
-    p, n = F.sum("y"), F.count(F.lit(1)) - F.sum("y")
     clipped = F.least(F.greatest(c("s"), F.lit(1e-6)), F.lit(1 - 1e-6))
     hit = (c("s") >= cut).cast("double")
-    basic = ranked.groupBy(*keys).agg(
+    p = F.sum("y")
+    basic = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("y").alias("prevalence"),
-        F.when((p > 0) & (n > 0), (F.sum(c("r") * c("y")) - p * (p + 1) / 2) / (p * n)).alias("roc_auc"),
         F.avg((c("s") - c("y")) * (c("s") - c("y"))).alias("brier"),
         (-F.avg(c("y") * F.ln(clipped) + (1 - c("y")) * F.ln(1 - clipped))).alias("log_loss"),
         F.when(F.sum(hit) > 0, F.sum(hit * c("y")) / F.sum(hit)).otherwise(0.0).alias("precision"),
         F.when(p > 0, F.sum(hit * c("y")) / p).otherwise(0.0).alias("recall"),
     )
     basic = basic.withColumn("f1", F.when(c("precision") + c("recall") > 0, 2 * c("precision") * c("recall") / (c("precision") + c("recall"))).otherwise(0.0))
-    steps = x.groupBy(*keys, "s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("all"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumns({"cp": F.sum("pos").over(down), "ca": F.sum("all").over(down)})
-    area = run.groupBy(*keys).agg((F.sum(c("pos") * c("cp") / c("ca")) / F.sum("pos")).alias("average_precision"))
-    return basic.join(area, keys)
+    steps = x.groupBy(*keys, "s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).cast("double").alias("all"))
+    run = running_sums(steps, keys, [F.desc("s")], {"cp": c("pos"), "ca": c("all")})
+    rank = c("ca_all") - c("ca") + (c("all") + 1) / 2  # the mean rank of a score, the lowest first
+    p, n = F.first("cp_all"), F.first("ca_all") - F.first("cp_all")
+    areas = run.groupBy(*keys).agg(F.when((p > 0) & (n > 0), (F.sum(rank * c("pos")) - p * (p + 1) / 2) / (p * n)).alias("roc_auc"), (F.sum(c("pos") * c("cp") / c("ca")) / F.sum("pos")).alias("average_precision"))
+    return basic.join(areas, keys).select(*keys, "n", "prevalence", "roc_auc", "brier", "log_loss", "precision", "recall", "f1", "average_precision")
 
 
 def calibration_table(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
@@ -58,9 +58,8 @@ def calibration_table(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> D
 
 def top_share(rows: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """The first ``max(1, ceil(n * share))`` rows of each group by score, missing scores last."""
-    w = Window.partitionBy(*keys)
-    x = rows.withColumns({"_rn": F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "symbol", "date")), "_n": F.count(F.lit(1)).over(w)})
-    return x.where(c("_rn") <= F.greatest(F.lit(1), F.ceil(c("_n") * share))).drop("_rn", "_n")
+    x = row_numbers(rows, keys, [F.desc_nulls_last("score"), "symbol", "date"], "_rn")
+    return x.where(c("_rn") <= F.greatest(F.lit(1), F.ceil(c("_rn_all") * share))).drop("_rn", "_rn_all")
 
 
 def threshold_grid(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
