@@ -69,3 +69,26 @@ def test_exports(spark):
     joined = {r["date"]: r["x"] for r in sinks.dashboard(price, df).collect()}
     assert joined == {DAY(2024, 1, 1): None, DAY(2024, 1, 2): 1.123456789}
     assert [r["up"] for r in sinks.up_days(price).orderBy("date").collect()] == [1, 0]
+
+
+def test_stored_features_follow_their_input(spark, tmp_path):
+    """An input replaced within a session, and a cleared checkpoint folder, give new results."""
+    import shutil
+
+    from tidemark.plans import catalog
+    from tidemark.sources import storage
+
+    source = str(tmp_path / "sf")
+    (tmp_path / "sf").mkdir()
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.write.parquet(f"{source}/orders.parquet")
+    before = catalog.QUERIES["market_states"](spark, source).count()
+    assert before == catalog.QUERIES["daily_bars"](spark, source).count() > 0
+    first = dict(storage._STORED)
+    assert catalog.QUERIES["market_states"](spark, source).count() == before and storage._STORED == first
+    for _, path in first.values():
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    assert catalog.QUERIES["market_states"](spark, source).count() == before and storage._STORED != first
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderpriority < '3'").write.mode("overwrite").parquet(f"{source}/orders.parquet")
+    fewer = catalog.QUERIES["market_states"](spark, source).count()
+    assert 0 < fewer == catalog.QUERIES["daily_bars"](spark, source).count() < before

@@ -190,9 +190,13 @@ def context(features: DataFrame) -> DataFrame:
     return x.withColumn("hard_risk_off_flag_safe", F.when(c("P_SHOCK_HMM").isNotNull() & c("P_CORRECTION_10D_CAL").isNotNull(), F.when((c("P_SHOCK_HMM") >= 0.7) & (c("P_CORRECTION_10D_CAL") >= 0.65), 1.0).otherwise(0.0)))
 
 
+def bar_store(spark, sf_dir) -> DataFrame:
+    return stored_once(spark, sf_dir, "bars", ["orders"], lambda: src.order_bars(spark, sf_dir))
+
+
 def feature_store(spark, sf_dir) -> DataFrame:
     """Price features as a feature store keeps them, with eight decimals."""
-    return stored_once(spark, sf_dir, "features", lambda: rounded_doubles(pf.price_features(stored_once(spark, sf_dir, "bars", lambda: src.order_bars(spark, sf_dir))), 8))
+    return stored_once(spark, sf_dir, "features", ["orders"], lambda: rounded_doubles(pf.price_features(bar_store(spark, sf_dir)), 8))
 
 
 def context_frame(spark, sf_dir) -> DataFrame:

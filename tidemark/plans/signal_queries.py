@@ -19,11 +19,11 @@ r = sf.r
 
 def dataset(spark, sf_dir) -> DataFrame:
     """Features, regime context, live swing state and chain features of each bar, with eight decimals as stored."""
-    return stored_once(spark, sf_dir, "dataset", lambda: _dataset(spark, sf_dir))
+    return stored_once(spark, sf_dir, "dataset", ["orders", "lineitem"], lambda: _dataset(spark, sf_dir))
 
 
 def _dataset(spark, sf_dir) -> DataFrame:
-    bars = stored_once(spark, sf_dir, "bars", lambda: src.order_bars(spark, sf_dir))
+    bars = sq.bar_store(spark, sf_dir)
     live = rounded_doubles(swings.live_state(swings.with_atr(bars)).drop("atr_pct", "last_confirmed_pivot_date", "last_confirmed_pivot_price"), 8)
     chain = rounded_doubles(sq.chain_frame(spark, sf_dir).select("date", "ONCHAIN_VOL_Z", "ONCHAIN_DOM_Z", "ONCHAIN_WHALE_SHARE_Z"), 8)
     ewma = rounded_doubles(pf.ewma_vol(bars), 8)
