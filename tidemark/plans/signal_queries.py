@@ -384,6 +384,55 @@ def condition_bridge(spark, sf_dir):
     return rounded_doubles(audit.bridge(audit.with_conditions(dataset(spark, sf_dir)), inside))
 
 
+_BRIDGE_COLUMNS = ", ".join(f"quantile_cont({n}, {v}) AS {n}_{q}" for n in audit.condition_columns(audit.BRIDGE) for q, v in audit.CUTS.items())
+_rate = lambda test, of="d IS NOT NULL": f"avg(CAST(coalesce({test}, false) AS DOUBLE)) FILTER (WHERE {of})"
+_MAP = {"swing_up_rate": _rate("d = 'up'"), "swing_down_rate": _rate("d = 'down'")}
+_MAP |= {f"{v}_swing_rate": _rate(f"size_class = '{v}'") for v in ("small", "medium", "large")} | {f"{n}_rate": _rate(f"duration_class = '{v}'") for v, n in (("short", "short_swing"), ("medium", "medium_duration"), ("long", "long_swing"))}
+_MAP |= {f"{way}_{v}_stage_rate": _rate(f"stage = '{v}'", f"stage IS NOT NULL AND d = '{way}'") for way in ("up", "down") for v in ("early", "mid", "late")}
+MAPPING = f"""{DATASET},{sq.TAXONOMY},{sq.CONTAINING}, ab AS (SELECT *, abs(TS_20) AS abs_TS_20 FROM ds), qs AS (SELECT symbol, {_BRIDGE_COLUMNS} FROM ab GROUP BY 1),
+cd AS (SELECT ab.symbol, ab.date, {", ".join(f"coalesce({audit.condition_sql(n, audit.BRIDGE)}, false) AS {n}" for n in audit.BRIDGE)} FROM ab JOIN qs USING (symbol)),
+cl AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT '{n}' AS condition, symbol, date, {n} AS met FROM cd" for n in audit.BRIDGE)}) WHERE met),
+ins AS (SELECT cont.symbol, cont.date, t.direction AS d, abs(t.amplitude_pct) AS a, t.duration_days AS n, size_class, duration_class, CASE WHEN stage_pct <= 1.0/3 THEN 'early' WHEN stage_pct <= 2.0/3 THEN 'mid' ELSE 'late' END AS stage
+        FROM cont JOIN tax t ON t.symbol = cont.symbol AND t.start_date = cont.start_date AND t.end_date = cont.end_date),
+nxt AS (SELECT b.symbol, b.date, t.direction AS d, abs(t.amplitude_pct) AS a, t.duration_days AS n, size_class, duration_class, CAST(NULL AS VARCHAR) AS stage FROM ds b ASOF JOIN tax t ON t.symbol = b.symbol AND b.date < t.start_date),
+maps AS (SELECT mode, condition, count(*) AS sample_count, count(d) AS mapped, median(a) AS median_swing_abs_amplitude, median(CAST(n AS DOUBLE)) AS median_swing_duration_days, {", ".join(f"{e} AS {n}" for n, e in _MAP.items())}
+         FROM (SELECT 'containing' AS mode, cl.condition, ins.* FROM cl LEFT JOIN ins ON ins.symbol = cl.symbol AND ins.date = cl.date UNION ALL SELECT 'next', cl.condition, nxt.* FROM cl LEFT JOIN nxt ON nxt.symbol = cl.symbol AND nxt.date = cl.date) GROUP BY 1, 2)"""
+
+
+def condition_maps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """How conditions map to the swings that contain their rows, and to the next ones."""
+    bars = sq.bar_store(spark, sf_dir)
+    tax = swings.taxonomy(swings.zigzag(swings.with_atr(bars)))
+    rows = audit.with_conditions(dataset(spark, sf_dir), audit.BRIDGE)
+    kinds = ["direction", "abs_amplitude_pct", "duration_days", "size_class", "duration_class"]
+    days = bars.select("symbol", "date")
+    inside = swings.containing(days, tax).select("symbol", "date", "start_date", "end_date", "stage").join(tax.select("symbol", "start_date", "end_date", *kinds), ["symbol", "start_date", "end_date"]).select("symbol", "date", *kinds, "stage")
+    later = swings.next_swing(days, tax).select("symbol", "date", c("next_start").alias("start_date")).join(tax.select("symbol", "start_date", *kinds), ["symbol", "start_date"])
+    return audit.condition_map(rows, inside), audit.condition_map(rows, later.select("symbol", "date", *kinds, F.lit(None).cast("string").alias("stage")))
+
+
+@query(f"WITH RECURSIVE {MAPPING} SELECT mode, condition, sample_count, mapped, {', '.join(f'{r(n, 11)} AS {n}' for n in ('median_swing_abs_amplitude', 'median_swing_duration_days', *_MAP))} FROM maps")
+def condition_mapping(spark, sf_dir):
+    inside, later = condition_maps(spark, sf_dir)
+    return rounded_doubles(inside.withColumn("mode", F.lit("containing")).unionByName(later.withColumn("mode", F.lit("next"))), 11)
+
+
+_STAGES = ("early", "mid", "late")
+_SHARED = ("mapped", "swing_up_rate", "swing_down_rate", "large_swing_rate")
+
+
+@query(
+    f"""WITH RECURSIVE {MAPPING}, m AS (SELECT a.condition, {", ".join(f"a.{n} AS {n}_containing, b.{n} AS {n}_next" for n in _SHARED)}, {", ".join(f"a.up_{s}_stage_rate" for s in _STAGES)}
+    FROM maps a JOIN maps b ON a.condition = b.condition AND a.mode = 'containing' AND b.mode = 'next' WHERE a.mapped >= 25 AND b.mapped >= 25)
+    SELECT condition, mapped_containing, mapped_next, {", ".join(f"{r(n, 11)} AS {n}" for n in [f"{x}_{m}" for x in _SHARED[1:] for m in ("containing", "next")] + [f"up_{s}_stage_rate" for s in _STAGES])},
+           {r("greatest(up_early_stage_rate, up_mid_stage_rate, up_late_stage_rate) - abs(swing_up_rate_next - swing_down_rate_next)", 11)} AS maturity_gap,
+           list_max([{", ".join(f"{{'share': coalesce(up_{s}_stage_rate, -1.0), 'stage': '{s}'}}" for s in _STAGES)}]).stage AS dominant_stage FROM m"""
+)
+def condition_containing_next(spark, sf_dir):
+    """Conditions that tell a swing's maturity rather than the next swing."""
+    return rounded_doubles(audit.containing_next(*condition_maps(spark, sf_dir)), 11)
+
+
 _INDICATORS = ["TS_50", "ER_20", "band_pos", "atr_pct"]
 
 
