@@ -43,6 +43,14 @@ def outcomes(days: int = 5) -> dict[str, Column]:
     return {"hit_5": (F.max("high").over(w) >= close * 1.05).cast("double"), "hit_3": (F.max("high").over(w) >= close * 1.03).cast("double"), "days": F.when(first > 0, first.cast("double"))}
 
 
+def zone_outcomes(side: str, days: int = 5) -> dict[str, Column]:
+    """Whether the next ``days`` rows, or as many as there are, hold one of the side's five and three percent zones, and days to the first; null without a next row."""
+    w = next_rows(days)
+    first = F.array_position(F.collect_list(F.coalesce(c(f"{side}_zone_5pct"), F.lit(0))).over(w), 1)
+    hit = {f"hit_{n}": F.max(F.coalesce(c(f"{side}_zone_{n}pct"), F.lit(0))).over(w).cast("double") for n in (5, 3)}
+    return hit | {"days": F.when(first > 0, first.cast("double"))}
+
+
 #: Rows of a series that are compared with as many earlier ones in one task.
 BLOCK = 512
 
@@ -58,26 +66,28 @@ def top_matches(rows: DataFrame, k: int, outcomes: Sequence[str], embargo: int =
     numbered = rows.withColumn("rn", F.row_number().over(series())).withColumn("_last", F.max("rn").over(Window.partitionBy("symbol"))).where(c("vector").isNotNull())
     own = F.floor(c("rn") / block)
     queries = numbered.select("symbol", "date", "rn", "vector", own.alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("_e"))
-    earlier = numbered.where("candidate").select("symbol", "rn", "vector", *outcomes, own.alias("_e"), F.explode(F.sequence(own, F.floor(c("_last") / block))).alias("_q"))
+    # new names for the other side: both come from the same rows
+    earlier = numbered.where("candidate").select(c("symbol").alias("_symbol"), c("rn").alias("_prior"), c("vector").alias("_other"), *[c(n).alias(f"_of_{n}") for n in outcomes], own.alias("_from"), F.explode(F.sequence(own, F.floor(c("_last") / block))).alias("_to"))
     names = ["symbol", "date", "rn", "s", "prior", *outcomes]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
-        right = right.sort_values("rn", ascending=False)
-        x, y = (np.stack(side["vector"].to_numpy()) for side in (left, right))
+        right = right.sort_values("_prior", ascending=False)
+        x, y = np.stack(left["vector"].to_numpy()), np.stack(right["_other"].to_numpy())
         nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         s = np.round(x @ y.T / (nx[:, None] * ny[None] + 1e-12), 12)
-        allowed = (right["rn"].to_numpy()[None] < left["rn"].to_numpy()[:, None] - embargo) & (nx[:, None] > 0) & (ny[None] > 0)
+        allowed = (right["_prior"].to_numpy()[None] < left["rn"].to_numpy()[:, None] - embargo) & (nx[:, None] > 0) & (ny[None] > 0)
         order = np.argsort(np.where(allowed, -s, np.inf), axis=1, kind="stable")[:, :k]
         i, j = np.nonzero(np.take_along_axis(allowed, order, 1))
         at = order[i, j]
         found = left[["symbol", "date", "rn"]].iloc[i].reset_index(drop=True)
-        best = right[["rn", *outcomes]].iloc[at].reset_index(drop=True).rename(columns={"rn": "prior"})
+        best = right[["_prior", *[f"_of_{n}" for n in outcomes]]].iloc[at].reset_index(drop=True)
+        best.columns = ["prior", *outcomes]
         return pd.concat([found, pd.Series(s[i, at], name="s"), best], axis=1)[names]
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in outcomes)
-    best = queries.groupBy("symbol", "_q", "_e").cogroup(earlier.groupBy("symbol", "_q", "_e")).applyInPandas(compare, f"symbol string, date date, rn long, s double, prior long, {kinds}")
+    best = queries.groupBy("symbol", "_q", "_e").cogroup(earlier.groupBy("_symbol", "_to", "_from")).applyInPandas(compare, f"symbol string, date date, rn long, s double, prior long, {kinds}")
     place = F.row_number().over(Window.partitionBy("symbol", "rn").orderBy(F.desc("s"), F.desc("prior")))
     return best.withColumn("_place", place).where(c("_place") <= k).select("symbol", "date", "s", *outcomes)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as fc
 from tidemark.operators import audit, exposure, metrics, scores, similarity, swings, targets
 from tidemark.operators import price_features as pf
 from tidemark.plans import series_queries as sq
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
-from tidemark.sources.storage import stored_once
+from tidemark.sources.storage import stored, stored_once
 
 c = F.col
 r = sf.r
@@ -82,10 +83,24 @@ def exposure_aggressive(spark, sf_dir):
 # ------------------------------------------------------------------ scores
 
 
-def scored(data: DataFrame) -> DataFrame:
-    """Buy and sell phase, exhaustion and fixed-weight timing; the phase stands in for a fitted zone model."""
+def analog_inputs(spark, sf_dir) -> DataFrame:
+    """(symbol, date, buy_analog, sell_analog): how often the most similar earlier rows of falling (rising) legs were followed by a buy (sell) zone within five rows."""
+    bars = sq.bar_store(spark, sf_dir)
+    zones = swings.zone_labels(bars, swings.zigzag(swings.with_atr(bars))).drop("direction")
+    data = stored(dataset(spark, sf_dir).join(zones.select("symbol", "date", *[f"{s}_zone_{n}pct" for s in ("buy", "sell") for n in (5, 3)]), ["symbol", "date"], "left"), "analog-rows")
+    out = data.select("symbol", "date")
+    for side, way in (("buy", "down"), ("sell", "up")):
+        rows = data.withColumns({"vector": similarity.analog_vector(), "way": F.coalesce("live_swing_direction", F.lit("unknown"))} | similarity.zone_outcomes(side))
+        found = similarity.analogs(rows, side=way).select("symbol", "date", fc.rounded(c("analog_hit_5"), 5).alias(f"{side}_analog"))
+        out = out.join(found, ["symbol", "date"], "left")
+    return out
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Buy and sell phase, analogs, exhaustion and fixed-weight timing; the phase stands in for a fitted zone model."""
+    analogs = stored_once(spark, sf_dir, "analogs", ["orders", "lineitem"], lambda: analog_inputs(spark, sf_dir))
     phase = {"buy_phase": 1 - c("band_pos"), "sell_phase": c("band_pos")}
-    x = data.withColumns(phase | {f"{s}_exhaustion": scores.exhaustion(s) for s in ("buy", "sell")} | {f"{s}_analog": F.lit(None).cast("double") for s in ("buy", "sell")} | {"buy_exhaustion_weighted": scores.buy_exhaustion_weighted()})
+    x = dataset(spark, sf_dir).join(analogs, ["symbol", "date"]).withColumns(phase | {f"{s}_exhaustion": scores.exhaustion(s) for s in ("buy", "sell")} | {"buy_exhaustion_weighted": scores.buy_exhaustion_weighted()})
     x = x.withColumns({f"{s}_timing": scores.timing(s) for s in ("buy", "sell")})
     mixed = scores.hybrids(c("buy_phase"), c("buy_timing"), c("buy_exhaustion_weighted"))
     return x.withColumns(mixed | {"consensus": scores.consensus(c("buy_phase"), c("buy_timing"), c("buy_exhaustion"), c("buy_exhaustion_weighted"))})
@@ -95,6 +110,31 @@ _k = lambda n: f"coalesce({n}, 0.0)"
 _cl = lambda x: f"least(greatest({x}, 0.0), 1.0)"
 
 
+_lagged = ["r1", "CASE WHEN atr > 0 THEN candle_body / atr END", "CASE WHEN atr > 0 THEN candle_range / atr END", "upper_wick_ratio", "lower_wick_ratio", "close_in_range"]
+_sym = lambda x: f"least(greatest({x}, -1.0), 1.0)"
+_STATE = [
+    _cl(_k("band_pos")), _sym(_k("dist_from_mean_vol_units") + " / 3"), _cl(_k("atr_pct") + " / 0.1"), _cl(_k("ewma_vol") + " / 0.1"), _cl(_k("P_CORRECTION_10D_CAL")), _cl(_k("P_REBOUND_10D_CAL")), _cl(_k("P_SHOCK_HMM")), _cl(_k("P_SURGE_HMM")),
+    "CASE live_swing_direction WHEN 'down' THEN -1.0 WHEN 'up' THEN 1.0 ELSE 0.0 END", _cl(_k("days_since_last_pivot") + " / 20"), _sym(_k("distance_from_last_pivot_pct") + " / 0.2"), _cl(_k("current_swing_age_pct_of_median") + " / 2"), _cl(_k("current_swing_size_pct_of_median") + " / 2"),
+    _sym(_k("ONCHAIN_DOM_Z") + " / 3"), _sym(_k("ONCHAIN_WHALE_SHARE_Z") + " / 3"), _sym(_k("ONCHAIN_VOL_Z") + " / 3"),
+]
+_VECTOR = ", ".join([f"CAST(lag({x}, {k}) OVER w AS DOUBLE)" if k else f"CAST({x} AS DOUBLE)" for k in range(5) for x in _lagged] + [f"CAST({x} AS DOUBLE)" for x in _STATE])
+
+
+def _analogs(side: str, way: str) -> str:
+    """CTEs up to ``<side>_an``: the weighted share of the most similar earlier rows on ``way`` that a zone followed."""
+    return f"""{side}_pr AS (SELECT a.symbol, a.date, b.i AS bi, b.{side}_hit AS h, list_dot_product(a.v, b.v) / (a.nv * b.nv + 1e-12) AS s FROM an1 a JOIN an1 b ON b.symbol = a.symbol AND b.i < a.i AND b.way = '{way}' AND b.{side}_hit IS NOT NULL AND b.nv > 0 WHERE a.nv > 0),
+{side}_tk AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY s DESC, bi DESC) AS rk, max(s) OVER (PARTITION BY symbol, date) AS ms FROM {side}_pr),
+{side}_an AS (SELECT symbol, date, {r("sum(exp((s - ms) / 0.15) * h) / sum(exp((s - ms) / 0.15))", 5)} AS {side}_analog FROM {side}_tk WHERE rk <= 40 GROUP BY 1, 2)"""
+
+
+ANALOGS = f"""{sq.ZONES},
+an0 AS (SELECT ds.symbol, ds.date, row_number() OVER w AS i, coalesce(live_swing_direction, 'unknown') AS way, [{_VECTOR}] AS v, {", ".join(f"max(CAST(coalesce(zd.direction = '{d}' AND distance <= 0.05, false) AS INT)) OVER f AS {s}_hit" for s, d in (("buy", "down"), ("sell", "up")))}
+        FROM ds LEFT JOIN zd ON zd.symbol = ds.symbol AND zd.date = ds.date WINDOW w AS (PARTITION BY ds.symbol ORDER BY ds.date), f AS (PARTITION BY ds.symbol ORDER BY ds.date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+an1 AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM an0 WHERE len(list_filter(v, lambda x: x IS NULL)) = 0),
+{_analogs("buy", "down")},
+{_analogs("sell", "up")}"""
+
+
 def _exhaustion(side: str) -> str:
     s, way, semi, regime = ("-1", "down", "downside_semi_vol", "P_REBOUND_10D_CAL") if side == "buy" else ("1", "up", "upside_semi_vol", "P_SURGE_HMM")
     live = "coalesce(live_swing_direction, 'unknown')"
@@ -115,11 +155,17 @@ _WEIGHTED = _cl(
     + 0.08 * (0.55 * {_cl(_k("P_REBOUND_10D_CAL"))} + 0.25 * (1 - {_cl(_k("P_SHOCK_HMM"))}) + 0.2 * {_cl(_k("P_CORRECTION_10D_CAL"))})
     + 0.04 * (0.45 * {_third("ONCHAIN_WHALE_SHARE_Z")} + 0.35 * {_third("ONCHAIN_DOM_Z")} + 0.2 * {_third("ONCHAIN_VOL_Z")})"""
 )
-_timing = lambda s: f"{_cl(f'CASE WHEN {s}_phase IS NULL THEN {s}_exhaustion * 0.25 / 0.25 ELSE ({s}_phase * 0.45 + {s}_exhaustion * 0.25) / 0.7 END')}"
+def _timing(s: str) -> str:
+    parts = ((f"{s}_phase", 0.45), (f"{s}_analog", 0.30), (f"{s}_exhaustion", 0.25))
+    return _cl(f"({' + '.join(f'coalesce({n} * {w}, 0.0)' for n, w in parts)}) / ({' + '.join(f'CASE WHEN {n} IS NOT NULL THEN {w}::DOUBLE ELSE 0.0 END' for n, w in parts)})")
+
+
 SCORES = f"""
-q0 AS (SELECT *, 1 - band_pos AS buy_phase, band_pos AS sell_phase, {_exhaustion("buy")} AS buy_exhaustion, {_exhaustion("sell")} AS sell_exhaustion, {_WEIGHTED} AS buy_exhaustion_weighted FROM ds),
+{ANALOGS},
+q0 AS (SELECT ds.*, buy_analog, sell_analog, 1 - band_pos AS buy_phase, band_pos AS sell_phase, {_exhaustion("buy")} AS buy_exhaustion, {_exhaustion("sell")} AS sell_exhaustion, {_WEIGHTED} AS buy_exhaustion_weighted
+       FROM ds LEFT JOIN buy_an ON buy_an.symbol = ds.symbol AND buy_an.date = ds.date LEFT JOIN sell_an ON sell_an.symbol = ds.symbol AND sell_an.date = ds.date),
 q1 AS (SELECT *, {_timing("buy")} AS buy_timing, {_timing("sell")} AS sell_timing FROM q0)"""
-_SCORE_COLUMNS = ["buy_phase", "sell_phase", "buy_exhaustion", "sell_exhaustion", "buy_exhaustion_weighted", "buy_timing", "sell_timing"]
+_SCORE_COLUMNS = ["buy_phase", "sell_phase", "buy_analog", "sell_analog", "buy_exhaustion", "sell_exhaustion", "buy_exhaustion_weighted", "buy_timing", "sell_timing"]
 _null_phase = lambda e: f"CASE WHEN buy_phase IS NOT NULL THEN {_cl(e)} END"
 
 
@@ -129,11 +175,11 @@ _null_phase = lambda e: f"CASE WHEN buy_phase IS NOT NULL THEN {_cl(e)} END"  #
     {r(_null_phase("buy_phase * greatest(buy_timing, buy_exhaustion, buy_exhaustion_weighted)"), 8)} AS consensus FROM q1"""
 )
 def swing_scores(spark, sf_dir):
-    return rounded_doubles(scored(dataset(spark, sf_dir)).select("symbol", "date", *_SCORE_COLUMNS, "hybrid_balanced", "hybrid_rank_local", "hybrid_two_stage", "consensus"), 8)
+    return rounded_doubles(scored(spark, sf_dir).select("symbol", "date", *_SCORE_COLUMNS, "hybrid_balanced", "hybrid_rank_local", "hybrid_two_stage", "consensus"), 8)
 
 
 def decided(spark, sf_dir) -> DataFrame:
-    rows = scored(dataset(spark, sf_dir)).where(c("buy_phase").isNotNull()).select("symbol", "date", c("buy_timing").alias("buy"), c("sell_timing").alias("sell"))
+    rows = scored(spark, sf_dir).where(c("buy_phase").isNotNull()).select("symbol", "date", c("buy_timing").alias("buy"), c("sell_timing").alias("sell"))
     split = metrics.chronological_split(rows)
     return rounded_doubles(scores.decisions(split, c("split") != "test").drop("split"), 8)
 
@@ -242,16 +288,6 @@ def analog_rows(spark, sf_dir) -> DataFrame:
     return x.withColumns({"vector": similarity.analog_vector(), "way": F.coalesce("live_swing_direction", F.lit("unknown"))} | similarity.outcomes())
 
 
-_lagged = ["r1", "CASE WHEN atr > 0 THEN candle_body / atr END", "CASE WHEN atr > 0 THEN candle_range / atr END", "upper_wick_ratio", "lower_wick_ratio", "close_in_range"]
-_sym = lambda x: f"least(greatest({x}, -1.0), 1.0)"
-_STATE = [
-    _cl(_k("band_pos")), _sym(_k("dist_from_mean_vol_units") + " / 3"), _cl(_k("atr_pct") + " / 0.1"), _cl(_k("ewma_vol") + " / 0.1"), _cl(_k("P_CORRECTION_10D_CAL")), _cl(_k("P_REBOUND_10D_CAL")), _cl(_k("P_SHOCK_HMM")), _cl(_k("P_SURGE_HMM")),
-    "CASE live_swing_direction WHEN 'down' THEN -1.0 WHEN 'up' THEN 1.0 ELSE 0.0 END", _cl(_k("days_since_last_pivot") + " / 20"), _sym(_k("distance_from_last_pivot_pct") + " / 0.2"), _cl(_k("current_swing_age_pct_of_median") + " / 2"), _cl(_k("current_swing_size_pct_of_median") + " / 2"),
-    _sym(_k("ONCHAIN_DOM_Z") + " / 3"), _sym(_k("ONCHAIN_WHALE_SHARE_Z") + " / 3"), _sym(_k("ONCHAIN_VOL_Z") + " / 3"),
-]
-_VECTOR = ", ".join([f"CAST(lag({x}, {k}) OVER w AS DOUBLE)" if k else f"CAST({x} AS DOUBLE)" for k in range(5) for x in _lagged] + [f"CAST({x} AS DOUBLE)" for x in _STATE])
-
-
 @query(
     f"""WITH RECURSIVE {DATASET},
     a0 AS (SELECT symbol, date, row_number() OVER w AS i, coalesce(live_swing_direction, 'unknown') AS way, [{_VECTOR}] AS v, max(high) OVER f >= close * 1.05 AS h5, max(high) OVER f >= close * 1.03 AS h3, close, list(high) OVER f AS hs FROM ds WINDOW w AS (PARTITION BY symbol ORDER BY date), f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
@@ -482,11 +518,11 @@ def judged(spark, sf_dir) -> DataFrame:
     """Buy timing against the five percent zone, split by time."""
     bars = src.order_bars(spark, sf_dir)
     zones = swings.zone_labels(bars, swings.zigzag(swings.with_atr(bars))).select("symbol", "date", c("buy_zone_5pct").alias("label"))
-    rows = scored(dataset(spark, sf_dir)).where(c("buy_phase").isNotNull()).select("symbol", "date", c("buy_timing").alias("score"), c("buy_phase").alias("other"))
+    rows = scored(spark, sf_dir).where(c("buy_phase").isNotNull()).select("symbol", "date", c("buy_timing").alias("score"), c("buy_phase").alias("other"))
     return metrics.chronological_split(rows.join(zones, ["symbol", "date"]))
 
 
-JUDGED = f"""{DATASET},{SCORES},{sq.ZONES}, jd AS (SELECT q.symbol, q.date, buy_timing AS score, buy_phase AS other, CAST(coalesce(zd.direction = 'down' AND distance <= 0.05, false) AS INT) AS label, row_number() OVER (PARTITION BY q.symbol ORDER BY q.date) AS i, count(*) OVER (PARTITION BY q.symbol) AS n
+JUDGED = f"""{DATASET},{SCORES}, jd AS (SELECT q.symbol, q.date, buy_timing AS score, buy_phase AS other, CAST(coalesce(zd.direction = 'down' AND distance <= 0.05, false) AS INT) AS label, row_number() OVER (PARTITION BY q.symbol ORDER BY q.date) AS i, count(*) OVER (PARTITION BY q.symbol) AS n
    FROM q1 q LEFT JOIN zd ON zd.symbol = q.symbol AND zd.date = q.date WHERE buy_phase IS NOT NULL),
 ju AS (SELECT *, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM jd)"""
 _cs = "least(greatest(score, 1e-6), 1 - 1e-6)"
