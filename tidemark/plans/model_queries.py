@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fc
-from tidemark.operators import metrics, models, swings
+from tidemark.operators import classifier, metrics, models, swings
 from tidemark.plans import series_queries as sq
 from tidemark.plans import signal_queries as sg
 from tidemark.plans import sql_features as sf
 from tidemark.plans.queries import query, rounded_doubles
 from tidemark.sources import bars as src
 from tidemark.sources import sinks
-from tidemark.sources.storage import stored
+from tidemark.sources.storage import shared_dir, stored
 from tidemark.streaming import events as ev
+from tidemark.streaming import sinks as day_sinks
 
 c = F.col
 r = sf.r
@@ -201,3 +204,67 @@ def dataset_coverage(spark, sf_dir):
     data = sg.dataset(spark, sf_dir)
     names = {"with_trend": "TS_200", "with_ewma": "ewma_vol", "with_pivot": "days_since_last_pivot", "with_chain": "ONCHAIN_DOM_Z"}
     return data.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(k) for k, v in names.items()])
+
+
+# ------------------------------------------------------------------ numbers and categories
+
+_MIXED = ["TS_50", "ER_20", "band_pos", "relative_volume_20"]
+_KINDS = ["state_hmm_label", "live_swing_direction"]
+
+
+def mixed_rows(spark, sf_dir):
+    """Rows with numbers and categories, split by time."""
+    return metrics.chronological_split(sg.dataset(spark, sf_dir).where(c("r1").isNotNull()).select("symbol", "date", *_MIXED, *_KINDS))
+
+
+_place = lambda n: f"CASE WHEN list_contains({n}_levels, coalesce({n}, {n}_common)) THEN list_position({n}_levels, coalesce({n}, {n}_common)) - 1 ELSE len({n}_levels) END"
+
+
+@query(
+    f"""WITH RECURSIVE {sg.DATASET}, base AS (SELECT symbol, date, {", ".join(_MIXED + _KINDS)}, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ds WHERE r1 IS NOT NULL),
+    sp AS (SELECT *, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM base),
+    mids AS (SELECT {", ".join(f"median({x}) AS {x}_med" for x in _MIXED)} FROM sp WHERE split = 'train'),
+    fil AS (SELECT {", ".join(f"avg(coalesce({x}, {x}_med)) AS {x}_mean, stddev_pop(coalesce({x}, {x}_med)) AS {x}_sd" for x in _MIXED)} FROM sp, mids WHERE split = 'train'),
+    {", ".join(f"com_{n} AS (SELECT {n} AS {n}_common FROM sp WHERE split = 'train' AND {n} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), lev_{n} AS (SELECT list(DISTINCT coalesce({n}, {n}_common) ORDER BY coalesce({n}, {n}_common)) AS {n}_levels FROM sp, com_{n} WHERE split = 'train')" for n in _KINDS)}
+    SELECT symbol, date, split, {", ".join(r(f"(coalesce({x}, {x}_med) - {x}_mean) / {x}_sd") + f" AS {x}" for x in _MIXED)}, {", ".join(f"CAST({_place(n)} AS INT) AS {n}_place" for n in _KINDS)}
+    FROM sp, mids, fil, {", ".join(f"com_{n}, lev_{n}" for n in _KINDS)}"""
+)
+def reversal_inputs(spark, sf_dir):
+    """What a classifier is given: filled and standardised numbers, and the places of categories, an unknown one behind the known."""
+    from pyspark.ml import Pipeline
+
+    rows = mixed_rows(spark, sf_dir)
+    train = stored(rows.where("split = 'train'"), "mixed")
+    done = Pipeline(stages=classifier.preparation(train, _MIXED, _KINDS)).fit(train).transform(rows)
+    return rounded_doubles(done.select("symbol", "date", "split", *[c(f"_n_{n}").alias(n) for n in _MIXED], *[c(f"_i_{n}").cast("int").alias(f"{n}_place") for n in _KINDS]))
+
+
+@query()
+def reversal_classifier(spark, sf_dir):
+    """Metrics by split of a balanced logistic model of the buy zone over numbers and categories, saved and loaded again."""
+    bars = sq.bar_store(spark, sf_dir)
+    zones = swings.zone_labels(bars, swings.zigzag(swings.with_atr(bars))).select("symbol", "date", c("buy_zone_5pct").alias("label"))
+    rows = stored(mixed_rows(spark, sf_dir).join(zones, ["symbol", "date"]), "reversal")
+    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/reversal-model"
+    classifier.save(classifier.fit_classifier(rows.where("split = 'train'"), [*_MIXED, *_KINDS], "label"), path)
+    return metrics.classification(classifier.classify(classifier.load(path), rows), ["split"])
+
+
+# ------------------------------------------------------------------ ingestion
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS kind, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS amount, count(*) AS orders FROM orders GROUP BY 1, 2")
+def streamed_amounts(spark, sf_dir):
+    """Cents and numbers of orders by day and status, taken from the order files as a stream into partitions of years; a second run of the same checkpoint finds nothing new."""
+    folder = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    schema = src.table(spark, sf_dir, "orders").schema
+
+    def prepare(stream):
+        return stream.select(F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("year"), c("o_orderstatus").alias("kind"), F.round(c("o_totalprice") * 100).cast("long").alias("amount"), F.lit(1).cast("long").alias("orders"))
+
+    def merge(rows):
+        return rows.groupBy("day", "year", "kind").agg(F.sum("amount").alias("amount"), F.sum("orders").alias("orders"))
+
+    for _ in range(2):
+        day_sinks.ingest_files(spark, f"{sf_dir}/orders[.]parquet", schema, f"{folder}/years", f"{folder}/checkpoint", ["day", "kind"], "year", merge=merge, prepare=prepare)
+    return spark.read.parquet(f"{folder}/years").select("day", "kind", "amount", "orders")

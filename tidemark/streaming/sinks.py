@@ -63,7 +63,7 @@ def write_days(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
 
 
 def ingest_files(spark: SparkSession, source: str, schema, path: str, checkpoint: str, keys: Sequence[str], day: str = "day", merge: Callable[[DataFrame], DataFrame] | None = None, files_at_once: int = 100, prepare: Callable[[DataFrame], DataFrame] | None = None) -> int:
-    """Take all Parquet files under ``source`` that ``checkpoint`` hasn't seen into the day table at ``path``; how many batches that took."""
+    """Take all Parquet files under ``source`` (a folder or a glob) that ``checkpoint`` hasn't seen into the day table at ``path``; how many batches that took."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(source)
     query = write_days(prepare(stream) if prepare else stream, path, checkpoint, keys, day, merge).trigger(availableNow=True).start()
     query.awaitTermination()
