@@ -239,25 +239,27 @@ _METHODS = {"baseline_fixed_weight": "1 - band_pos", "hybrid_volatile": "(1 - ba
 
 
 @query(
-    f"""WITH RECURSIVE {sf.features_cte()},{sq.zigzag_cte()},{sq.ZONES}, v AS (SELECT s.symbol, s.date, z.distance, x.method, x.score FROM store s JOIN zd z USING (symbol, date), LATERAL (SELECT unnest(['{"', '".join(_METHODS)}']) AS method, unnest([{", ".join(r(e, 8) for e in _METHODS.values())}]) AS score) x WHERE z.direction = 'down' AND x.score IS NOT NULL),
-    o AS (SELECT *, row_number() OVER (PARTITION BY symbol, method ORDER BY score DESC, date) AS i, count(*) OVER (PARTITION BY symbol, method) AS n FROM v),
-    g AS (SELECT symbol, method, avg(distance) FILTER (WHERE i <= 0.5 * n) AS distance, avg(CAST(distance <= 0.05 AS DOUBLE)) FILTER (WHERE i <= 0.5 * n) AS hit_5, avg(CAST(distance <= 0.05 AS DOUBLE)) FILTER (WHERE i <= 0.1 * n) AS top_hit_5 FROM o GROUP BY 1, 2),
+    f"""WITH RECURSIVE {sf.features_cte()},{sq.zigzag_cte()},{sq.ZONES}, v AS (SELECT s.symbol, s.date, k.start_date, z.distance, x.method, x.score FROM store s JOIN zd z USING (symbol, date) JOIN cont k USING (symbol, date), LATERAL (SELECT unnest(['{"', '".join(_METHODS)}']) AS method, unnest([{", ".join(r(e, 8) for e in _METHODS.values())}]) AS score) x WHERE z.direction = 'down' AND x.score IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY symbol, method ORDER BY score DESC, date) AS i, count(*) OVER (PARTITION BY symbol, method) AS n, row_number() OVER (PARTITION BY symbol, method, start_date ORDER BY score DESC, date) AS bi FROM v),
+    g AS (SELECT symbol, method, avg(distance) FILTER (WHERE bi = 1) AS distance, avg(CAST(distance <= 0.05 AS DOUBLE)) FILTER (WHERE bi = 1) AS hit_5, avg(CAST(distance <= 0.05 AS DOUBLE)) FILTER (WHERE i <= 0.1 * n) AS top_hit_5 FROM o GROUP BY 1, 2),
     b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY distance, method) AS i FROM g WHERE method <> 'baseline_fixed_weight')
     SELECT f.symbol, b.method AS candidate, CASE WHEN b.distance < f.distance AND b.hit_5 >= f.hit_5 AND b.top_hit_5 >= f.top_hit_5 THEN 'Continue' WHEN b.distance < f.distance THEN 'Continue cautiously' ELSE 'Pause / likely dead end' END AS verdict
     FROM g f JOIN b ON b.symbol = f.symbol AND b.i = 1 WHERE f.method = 'baseline_fixed_weight'"""
 )
 def method_recommendation(spark, sf_dir):
-    """Which of two scores beats the baseline in picking rows near the low of a down swing."""
+    """Which of two scores beats the baseline in picking the row of a down swing that is nearest its low: distances and hits of each swing's best row, hits of the top tenth of all rows."""
     from pyspark.sql import Window
 
     bars = src.order_bars(spark, sf_dir)
-    zones = swings.zone_labels(bars, swings.zigzag(swings.with_atr(bars))).where("direction = 'down'").select("symbol", "date", "distance")
-    rows = sq.feature_store(spark, sf_dir).join(zones, ["symbol", "date"]).select("symbol", "date", "distance", *[fc.rounded(F.expr(e), 8).alias(n) for n, e in _METHODS.items()])
-    long = rows.unpivot(["symbol", "date", "distance"], list(_METHODS), "method", "score").where(c("score").isNotNull())
+    found = swings.zigzag(swings.with_atr(bars))
+    zones = swings.zone_labels(bars, found).where("direction = 'down'").select("symbol", "date", "distance").join(swings.containing(bars.select("symbol", "date"), found).select("symbol", "date", "start_date"), ["symbol", "date"])
+    rows = sq.feature_store(spark, sf_dir).join(zones, ["symbol", "date"]).select("symbol", "date", "start_date", "distance", *[fc.rounded(F.expr(e), 8).alias(n) for n, e in _METHODS.items()])
+    long = rows.unpivot(["symbol", "date", "start_date", "distance"], list(_METHODS), "method", "score").where(c("score").isNotNull())
     w = Window.partitionBy("symbol", "method")
-    x = long.withColumns({"i": F.row_number().over(w.orderBy(F.desc("score"), "date")), "n": F.count(F.lit(1)).over(w)})
+    best = F.row_number().over(Window.partitionBy("symbol", "method", "start_date").orderBy(F.desc("score"), "date")) == 1
+    x = long.withColumns({"i": F.row_number().over(w.orderBy(F.desc("score"), "date")), "n": F.count(F.lit(1)).over(w), "best": best})
     near = (c("distance") <= 0.05).cast("double")
-    found = x.groupBy("symbol", "method").agg(F.avg(F.when(c("i") <= 0.5 * c("n"), c("distance"))).alias("distance"), F.avg(F.when(c("i") <= 0.5 * c("n"), near)).alias("hit_5"), F.avg(F.when(c("i") <= 0.1 * c("n"), near)).alias("top_hit_5"))
+    found = x.groupBy("symbol", "method").agg(F.avg(F.when(c("best"), c("distance"))).alias("distance"), F.avg(F.when(c("best"), near)).alias("hit_5"), F.avg(F.when(c("i") <= 0.1 * c("n"), near)).alias("top_hit_5"))
     return selection.recommendation(found, "baseline_fixed_weight")
 
 
