@@ -14,6 +14,8 @@ from tidemark.llm import ann, decontaminate, filter_audit, html_extract, image_c
 from tidemark.llm.scratch import table
 
 SHARDS = 8
+#: Vectors that one task draws as pictures: rows are small, but what is made of them takes time and room.
+DRAWN_AT_ONCE = 500
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,7 @@ def media_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.when((F.col("image_id") % 10).isin(3, 7), F.col("image_id") - 1)
     source = vectors.where((F.col("image_id") % 10).isin(2, 6)).groupBy(F.col("image_id").alias("shown")).agg(F.max("embedding").alias("drawn"))
     rows = vectors.withColumn("shown", edited).join(source, "shown", "left").select("image_id", F.col("drawn").isNotNull().alias("edited"), F.coalesce("drawn", "embedding").alias("drawn"))
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-vectors.count() // DRAWN_AT_ONCE)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
