@@ -23,8 +23,8 @@ def upsert_days(path: str, keys: Sequence[str], day: str = "day", merge: Callabl
     Without ``merge`` a row replaces the stored row of its ``keys``, of equal keys in a batch the last in
     order of all columns. With it, rows of equal keys from stored and new rows are merged by
     ``merge``, say into sums: then every partition remembers the last batch it has taken, and a batch
-    that is replayed after a crash skips the partitions that hold it already. Parquet replaces
-    a batch's partitions together when its job commits.
+    that is replayed after a crash skips the partitions that hold it already and takes the others. A
+    commit replaces partitions one by one, each by a rename; a store whose renames can be cut short needs a table format of its own.
     """
 
     def put(batch: DataFrame, number: int) -> None:
