@@ -205,14 +205,28 @@ class FileRange(InputPartition):
         self.path, self.size, self.begin, self.end = path, size, begin, end
 
 
-def _file_system(path: str):
-    """A file system that Python tasks can open, and the path in it."""
+def _local(path: str) -> str | None:
+    """The local path that ``path`` names, or None."""
+    parts = urlparse(path)
+    return path if parts.scheme == "" else unquote(parts.path) if parts.scheme == "file" else None
+
+
+def _listed(path: str, pattern: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the file ``path``, or of the files below it whose names match."""
+    local = _local(path)
+    if local is not None:
+        if not os.path.isdir(local):
+            return [(local, os.path.getsize(local))]
+        found = (os.path.join(folder, name) for folder, _, names in os.walk(local) for name in names if fnmatch.fnmatch(name, pattern))
+        return sorted((f, os.path.getsize(f)) for f in found)
     from pyarrow import fs
 
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path
-    return fs.FileSystem.from_uri(path)
+    store, root = fs.FileSystem.from_uri(path)
+    top = store.get_file_info(root)
+    if top.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    files = [top] if top.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and fnmatch.fnmatch(f.base_name, pattern)]
+    return sorted((f.path, f.size) for f in files)
 
 
 class BlockSource(DataSource):
@@ -240,26 +254,21 @@ class BlockReader(DataSourceReader):
         self.table, self.cut = options.get("table", "outputs"), int(options.get("cut", CUT))
 
     def partitions(self) -> list[FileRange]:
-        from pyarrow import fs
-
-        store, root = _file_system(self.path)
-        found = store.get_file_info(root)
-        files = [found] if found.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern)]
-        if not found.is_file and found.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        ranges = [FileRange(f.path, f.size, at, min(at + self.cut, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.cut)]
+        ranges = [FileRange(path, size, at, min(at + self.cut, size)) for path, size in _listed(self.path, self.pattern) for at in range(0, size, self.cut)]
         return ranges or [FileRange("", 0, 0, 0)]
 
     def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         if not part.size:
             return
-        store, _ = _file_system(self.path)
-        if store.type_name == "local":
+        name = os.path.basename(part.path)
+        if _local(self.path) is not None:
             with open(part.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as content:
-                yield from parse_range(lambda at, n: content[at : at + n], part.size, os.path.basename(part.path), self.table, part.begin, part.end)
+                yield from parse_range(lambda at, n: content[at : at + n], part.size, name, self.table, part.begin, part.end)
         else:
-            with store.open_input_file(part.path) as f:
-                yield from parse_range(lambda at, n: f.read_at(n, at), part.size, os.path.basename(part.path), self.table, part.begin, part.end)
+            from pyarrow import fs
+
+            with fs.FileSystem.from_uri(self.path)[0].open_input_file(part.path) as f:
+                yield from parse_range(lambda at, n: f.read_at(n, at), part.size, name, self.table, part.begin, part.end)
 
 
 def parse_content(contents: DataFrame, table: str = "outputs", name_col: str = "file", content_col: str = "content") -> DataFrame:
