@@ -119,3 +119,32 @@ def test_query_equals_its_sql(spark, name):
     left = sorted(tuple(plain(r[n]) for n in names) for r in got.collect())
     right = sorted(tuple(plain(r[i]) for i in order) for r in relation.fetchall())
     assert left == right
+
+
+def test_running_sums_equal_frames_over_a_long_series(spark):
+    """Slopes, means and deviations far from the start of a series, with a gap, a flat stretch and a bad close."""
+    import numpy as np
+
+    from tidemark.operators.price_features import price_features
+
+    rng = np.random.default_rng(3)
+    closes = [float(x) for x in np.exp(9 + np.cumsum(rng.normal(0, 0.02, 6000)))]
+    closes[2000:2300] = [closes[2000]] * 300
+    closes[1000], closes[1500] = None, 0.0
+    closes[500] = float("inf")
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), x, float(rng.integers(0, 9000))) for i, x in enumerate(closes)]
+    got = price_features(spark.createDataFrame(rows, "symbol string, date date, close double, volume double")).orderBy("date").toPandas()
+    lc = np.array([np.log(x) if x and np.isfinite(x) else np.nan for x in closes])
+    r1 = np.append(np.nan, np.diff(lc))
+    v = np.log1p(np.array([r[3] for r in rows]))
+    for n in (20, 200):
+        for t in [n - 1, n, 499, 505, 1000 + n, 1000 + n + 1, 1400, 2150, 2299, 4000, 5999]:
+            lw, rw = lc[t - n + 1 : t + 1], r1[t - n + 1 : t + 1]
+            sd = max(rw.std(), 1e-8)
+            for name, want in ((f"TS_{n}", rw.mean() / sd), (f"LR_{n}", np.polyfit(np.arange(n), lw, 1)[0] / sd if not np.isnan(lw).any() else np.nan)):
+                found = got[name][t]
+                assert (np.isnan(want) and np.isnan(found)) or found == pytest.approx(want, rel=1e-9, abs=1e-7), (name, t)
+    for t in (728, 729, 5999):
+        w = v[t - 729 : t + 1] if t >= 729 else np.array([np.nan])
+        want = (v[t] - w.mean()) / w.std()
+        assert (np.isnan(want) and np.isnan(got["volume_z"][t])) or got["volume_z"][t] == pytest.approx(want, rel=1e-9)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import at_least, clip01, full, last_rows, series, so_far
+from tidemark.functions.columns import at_least, clip01, finite, full, last_rows, series, so_far
 from tidemark.operators import scans
 
 RETURNS, TRENDS = (3, 7, 14), (20, 50, 200)
@@ -32,34 +32,64 @@ def price_features(bars: DataFrame) -> DataFrame:
     w = series()
     absent = [c for c in ("open", "high", "low", "volume") if c not in bars.columns]
     x = bars.withColumns({c: F.lit(None).cast("double") for c in absent})
-    x = x.withColumns({"lc": F.ln("close"), "rn": F.row_number().over(w), "pc": F.lag("close").over(w), "hi": F.coalesce("high", "close"), "lo": F.coalesce("low", "close")})
+    x = x.withColumns({"lc": finite(F.ln("close")), "rn": F.row_number().over(w), "pc": F.lag("close").over(w), "hi": F.coalesce("high", "close"), "lo": F.coalesce("low", "close")})
     x = x.withColumn("r1", F.col("lc") - F.lag("lc").over(w))
     x = x.withColumns(
         {
             "sign": F.signum(F.coalesce("r1", F.lit(0.0))),
             "abs_r1": F.abs("r1"),
             "true_range": F.when(F.col("rn") == 1, F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc")))),
-            "volume_log1p": F.log1p("volume"),
+            "volume_log1p": finite(F.log1p("volume")),
         }
     )
     x = x.withColumn("persistent", F.coalesce(F.last(F.when(F.col("sign") != 0, F.col("sign")), ignorenulls=True).over(so_far()), F.lit(0.0)))
     earlier = F.lag("persistent").over(w)
     x = x.withColumns({"switch": F.when((F.col("persistent") != 0) & F.coalesce(earlier != 0, F.lit(True)) & ~F.col("persistent").eqNullSafe(earlier), 1.0).otherwise(0.0), "island": F.sum(F.when(F.col("sign") != F.lag("sign").over(w), 1).otherwise(0)).over(so_far())})
+    x = x.withColumn("level", F.col("volume_log1p") - F.first("volume_log1p", ignorenulls=True).over(so_far()))
+    x = x.withColumns(_running_sums())
     return x.select(*bars.columns, *_all_columns())
 
 
+def _running_sums() -> dict[str, Column]:
+    """Sums from the start of a series, whose differences are sums over any number of rows.
+
+    Returns are near zero, so doubles lose nothing; volumes are taken relative to the first.
+    Sums that weigh log prices by row number would cancel and are exact decimals.
+    """
+    c, w = F.col, so_far()
+    fixed = c("lc").cast("decimal(18,15)")
+    each = {"n_r": F.count("r1"), "s_r": F.sum("r1"), "q_r": F.sum(c("r1") * c("r1")), "a_r": F.sum("abs_r1"), "n_lc": F.count("lc"), "s_lc": F.sum(fixed), "m_lc": F.sum(fixed * c("rn").cast("decimal(10,0)")), "n_v": F.count("level"), "s_v": F.sum("level"), "q_v": F.sum(c("level") * c("level"))}
+    return {k: F.coalesce(v.over(w), F.lit(0).cast("decimal(38,15)" if k in ("s_lc", "m_lc") else "double")) for k, v in each.items()}
+
+
 def _all_columns() -> list[Column]:
     w = series()
     c = F.col
-    sd = {n: full(F.stddev_pop("r1"), c("r1"), n) for n in {*TRENDS, VOL, EQUILIBRIUM}}
+
+    def over(name: str, n: int) -> Column:
+        """What a running sum has gained in the last ``n`` rows."""
+        return c(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
+
+    def if_full(value: Column, of: str, n: int) -> Column:
+        return F.when(over(of, n) == n, value)
+
+    def deviation(n: int, of: str = "r") -> Column:
+        mean = over(f"s_{of}", n) / n
+        return if_full(F.sqrt(F.greatest(over(f"q_{of}", n) / n - mean * mean, F.lit(0.0))), f"n_{of}", n)
+
+    def slope(n: int) -> Column:
+        ahead = (2 * c("rn") - (n - 1)).cast("decimal(11,0)")
+        return if_full((over("m_lc", n).cast("decimal(32,15)") * 2 - over("s_lc", n).cast("decimal(22,15)") * ahead).cast("double") * 6 / (n * (n * n - 1)), "n_lc", n)
+
+    sd = {n: deviation(n) for n in {*TRENDS, VOL, EQUILIBRIUM}}
     out: dict[str, Column] = {"r1": c("r1")}
     for k in RETURNS:
         out[f"R_{k}"] = c("lc") - F.lag("lc", k).over(w)
     for n in TRENDS:
         change = c("lc") - F.lag("lc", n).over(w)
-        out[f"TS_{n}"] = full(F.avg("r1"), c("r1"), n) / at_least(sd[n])
-        out[f"LR_{n}"] = full(F.regr_slope(c("lc"), c("rn")), c("lc"), n) / at_least(sd[n])
-        out[f"ER_{n}"] = F.abs(change) / at_least(full(F.sum("abs_r1"), c("r1"), n))
+        out[f"TS_{n}"] = if_full(over("s_r", n) / n, "n_r", n) / at_least(sd[n])
+        out[f"LR_{n}"] = slope(n) / at_least(sd[n])
+        out[f"ER_{n}"] = F.abs(change) / at_least(if_full(over("a_r", n), "n_r", n))
         out[f"RVR_{n}"] = change / at_least(sd[n] * math.sqrt(n))
     out["vol_20"] = sd[VOL]
     for name, side in (("upside_semi_vol", c("r1")), ("downside_semi_vol", -c("r1"))):
@@ -74,7 +104,7 @@ def _all_columns() -> list[Column]:
     high, low = full(F.max("hi"), c("hi"), BAND), full(F.min("lo"), c("lo"), BAND)
     span = at_least(high - low)
     out |= {"band_hi": high, "band_lo": low, "band_w": span / at_least(c("close")), "band_pos": clip01((c("close") - low) / span)}
-    out["dist_from_mean_vol_units"] = (c("lc") - full(F.avg("lc"), c("lc"), EQUILIBRIUM)) / at_least(sd[EQUILIBRIUM] * math.sqrt(EQUILIBRIUM))
+    out["dist_from_mean_vol_units"] = (c("lc") - if_full(over("s_lc", EQUILIBRIUM).cast("double") / EQUILIBRIUM, "n_lc", EQUILIBRIUM)) / at_least(sd[EQUILIBRIUM] * math.sqrt(EQUILIBRIUM))
     whole = at_least(c("high") - c("low"))
     out["candle_body"], out["candle_range"] = c("close") - c("open"), whole
     out["body_to_range_ratio"] = (c("close") - c("open")) / whole
@@ -85,7 +115,7 @@ def _all_columns() -> list[Column]:
     v = c("volume_log1p")
     out["volume_log1p"] = v
     out["relative_volume_20"] = c("volume") / at_least(full(F.avg("volume"), c("volume"), VOLUME))
-    out["volume_z"] = (v - full(F.avg(v), v, ADAPT)) / at_least(full(F.stddev_pop(v), v, ADAPT))
+    out["volume_z"] = (c("level") - if_full(over("s_v", ADAPT) / ADAPT, "n_v", ADAPT)) / at_least(deviation(ADAPT, "v"))
     out["switch_rate_50"] = full(F.avg("switch"), c("switch"), SWITCH)
     streak = Window.partitionBy("symbol", "island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     for name, s in (("up", 1), ("down", -1)):
