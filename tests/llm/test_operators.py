@@ -363,6 +363,28 @@ def test_toxicity_sees_through_disguise(spark):
     assert [r["toxicity"] >= 0.5 for r in scored][:3] == [True] * 3 and len(scored) == 4 and scored[0]["toxicity"] == scored[2]["toxicity"] == got[1000] and scored[3]["text2"] == scored[3]["text"]
 
 
+SPELLED = ["m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn", "m,o,r,o,n", "m/o/r/o/n", "m|o|r|o|n", "m\u200bo\u200br\u200bo\u200bn", "mo\u200bron", "m. o. r. o. n", "mo ro n", "m 0 r 0 n", "mooron", "morron", "m;o;r;o;n", "m:o:r:o:n"]
+
+
+def test_toxicity_restores_every_joint():
+    """Joints of any kind, pairs, a sign first and one doubled letter give the word back; plain text stays as it is."""
+    table = toxicity.letter_table()
+    said = "\n".join(["you are a moron and a loser", "the river runs over stones and the clown walks to the market", "bread and fruit and a letter"] * 60).lower()
+    codes = table[np.minimum(np.frombuffer(("\n" + said + "\n").encode("utf-32-le"), dtype="<u4"), 0x180)].astype(int)
+    n = np.bincount((codes[:-2] * toxicity.V + codes[1:-1]) * toxicity.V + codes[2:], minlength=toxicity.V**3).reshape(-1, toxicity.V) + 0.05
+    reader = toxicity.Reader(model=np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+    for x in SPELLED:
+        assert "moron" in reader.words(f"and the river {x} runs over"), repr(x)
+    assert "loser" in reader.words("such a l o $ e r today") and "river" in reader.words("$ r i v e r".replace("$", "the"))
+    plain = "to be is he. It is in of, to the letter and a market"
+    assert reader.words(plain) == set(re.findall("[a-z]+", plain.lower()))
+    for long in ("a " * 200_000, "ab." * 200_000, "|" * 300_000, ". " * 200_000, "a" * 300_000):
+        began = time.time()
+        toxicity._SPELLED.findall(long)
+        toxicity._DISGUISED.search(long)
+        assert time.time() - began < 10
+
+
 def test_decoding_is_the_best_of_all_readings(spark):
     """Every path of small lattices by hand: Viterbi's reading has the least cost."""
     import itertools

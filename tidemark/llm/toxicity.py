@@ -1,10 +1,12 @@
 """Toxicity after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents.
-2. Chunks that look disguised (digits or symbols among letters, letters held long or doubled
-   more than once, letters spelled apart) become a lattice: every sign offers the letters it may stand for, a run may
-   be one or two letters, a separator may be nothing or a word boundary. Viterbi picks the
-   path that is likeliest under the character model and the channel's costs.
+2. What looks disguised becomes a lattice: chunks with digits or symbols among letters, letters
+   held long or doubled, and runs of at least three units of one or two letters or signs, a third of them single, that
+   white space, punctuation or invisible joints spell apart, across chunks and lines. Every sign
+   offers the letters it may stand for, a run may be one or two letters, joints may be nothing
+   or a word boundary. Viterbi picks the path that is likeliest under the character model and
+   the channel's costs; of equal paths the one met first stays, in the order of the lattice.
 3. A lexicon of words and word beginnings with log odds, learned from labelled rows, and a
    logistic model on a document's evidence score the restored text.
 """
@@ -39,13 +41,24 @@ OTHER, V = 60, 64
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
 #: Channel costs in nats: a sign read as a letter, as a boundary (a digit: more), a run shortened or kept long, a separator dropped.
 AS_LETTER, AS_BOUNDARY, AS_DIGIT, SHORTER, LONG, DROPPED = 0.7, 2.0, 5.0, 0.5, 3.0, 0.3
+#: A letter doubled on its own, read as one: plain words hold many such.
+DOUBLED = 3.0
 
-_SEPARATORS = ".-_*~·"
+#: Visible and invisible signs that may stand between spelled letters, besides white space.
+_SEPARATORS = ".-_*~·,/|:;\\^=" + "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_INVISIBLE = _SEPARATORS[-6:]
 _SIGNS = re.escape("".join(LEET))
 _AFTER_LETTER = re.escape("".join(LEET).replace("!", "").replace("+", "").replace("(", ""))
+_JOINT = re.escape(_SEPARATORS)
+#: White space and separators between two spelled units, at most.
+JOINED = 8
+_UNIT = r"(?:[^\W_]|[@$!€£(+|])"
 # each alternative takes time in proportion to the chunk, however long it is
-_DISGUISED = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_AFTER_LETTER}]|([^\W\d_])\1\1|([^\W\d_])\2[^\W\d_]*([^\W\d_])\3|(?:^|[\W_])(?:[^\W_][{re.escape(_SEPARATORS)}]){{2,}}[^\W_]")
-_SPELLED = re.compile(r"(?<!\S)[^\W_](?: [\w@$!|]){2,}(?!\S)")
+_DISGUISED = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_AFTER_LETTER}]|([^\W\d_])\1\1|([^\W\d_])\2[^\W\d_]*([^\W\d_])\3|[^\W_][{_INVISIBLE}]+[^\W_]|(?:^|[\W_])(?:{_UNIT}[{_JOINT}]){{2,}}{_UNIT}")
+#: Units of one or two letters or signs, apart by joints; possessive, so that no text is gone over twice.
+_SPELLED = re.compile(rf"(?<![^\s{_JOINT}]){_UNIT}{{1,2}}+(?:[\s{_JOINT}]{{1,{JOINED}}}+{_UNIT}{{1,2}}+(?![^\s{_JOINT}])){{2,}}+")
+_UNITS = re.compile(rf"{_UNIT}{{1,2}}+")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -108,16 +121,18 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             if run == 1:
                 places.append([(c, 0.0)])
             elif run == 2:
-                places.append([(c * 2, 0.0), (c, SHORTER + 1)])
+                places.append([(c * 2, 0.0), (c, DOUBLED)])
             else:
                 places.append([(c, SHORTER), (c * 2, SHORTER + 0.2), (c * 3, LONG)])
         elif c in LEET:
-            gap = [(" ", AS_DIGIT if c.isdigit() else AS_BOUNDARY)]
+            gap = [(" ", AS_DIGIT if c.isdigit() else AS_BOUNDARY)] + [("", DROPPED)] * (c in _SEPARATORS)
             if run < 3:
                 places += [[(x, AS_LETTER) for x in LEET[c]] + gap] * run
             else:  # held long, as a letter is
                 places.append([(x * k, AS_LETTER + fee) for x in LEET[c] for k, fee in ((1, SHORTER), (2, SHORTER + 0.2), (3, LONG))] + gap)
-        elif c in _SEPARATORS or c == " ":
+        elif c in _SEPARATORS or c.isspace():
+            while j < len(chunk) and chunk[j] not in LEET and (chunk[j] in _SEPARATORS or chunk[j].isspace()):
+                j += 1
             places.append([("", DROPPED), (" ", AS_BOUNDARY)])
         else:
             places.append([(" ", 0.0)])
@@ -150,6 +165,12 @@ def decode(chunk: str, model: np.ndarray) -> str:
     return "".join(reversed(parts)).strip()
 
 
+def _apart(run: str) -> bool:
+    """Is a third of a run's units single? Runs of more pairs are plain short words."""
+    units = _UNITS.findall(run)
+    return 3 * sum(len(u) == 1 for u in units) >= len(units)
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
@@ -163,20 +184,38 @@ class Reader(dict):
     def __missing__(self, chunk: str) -> tuple[str, ...]:
         low = chunk.lower()
         words = _WORDS.findall(low)
-        if _DISGUISED.search(low):
+        if _DISGUISED.search(low) or self.shortens(low):
             words += _WORDS.findall(decode(low, self.model))
         found = tuple(dict.fromkeys(words))
         if len(self) < REMEMBERED and len(chunk) < 40:
             self[chunk] = found
         return found
 
+    def shortens(self, word: str) -> bool:
+        """Would Viterbi read some doubled letter of a word as one? Elsewhere both readings cost the same, so three lookups tell."""
+        for m in _DOUBLED.finditer(word):
+            q, x, y = (LETTERS.get(c, OTHER if c.isalpha() else 0) for c in (word[m.start() - 1 : m.start()], m[1], word[m.end() : m.end() + 1]))
+            if self.model[x * V + x, y] + self.model[q * V + x, x] < self.model[q * V + x, y] - DOUBLED:
+                return True
+        return False
+
     def words(self, text: str) -> set[str]:
         """Distinct lower-case words of a text as written and as restored."""
         found = {w for chunk in set(text.split()) for w in self[chunk]}
-        for m in _SPELLED.finditer(text):
-            found.update(_WORDS.findall(decode(m[0].lower(), self.model)))
+        for run in {m[0].lower() for m in _SPELLED.finditer(text) if _apart(m[0])}:
+            found.update(self.spelled(run))
         return found
 
+    def spelled(self, run: str) -> tuple[str, ...]:
+        """Words of a run of units spelled apart, remembered under the run, which no chunk equals."""
+        key = "\n" + run
+        if key in self:
+            return self[key]
+        words = tuple(dict.fromkeys(_WORDS.findall(decode(run, self.model))))
+        if len(self) < REMEMBERED and len(run) < 40:
+            self[key] = words
+        return words
+
 
 @dataclass(frozen=True)
 class Lexicon:
