@@ -5,11 +5,13 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles, metrics, scores, similarity, swings, targets
 from tidemark.operators import price_features as pf
+from tidemark.plans import series_queries
 from tidemark.sources import bars as src
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +150,16 @@ def test_running_sums_equal_frames_over_a_long_series(spark):
         w = v[t - 729 : t + 1] if t >= 729 else np.array([np.nan])
         want = (v[t] - w.mean()) / w.std()
         assert (np.isnan(want) and np.isnan(got["volume_z"][t])) or got["volume_z"][t] == pytest.approx(want, rel=1e-9)
+
+
+def test_first_of_repeated_outputs_in_order_of_files_and_rows(spark, tmp_path):
+    """Spark reads the largest file first; the first row by file and place in it counts nevertheless, a missing amount never if there is another."""
+    place = tmp_path / "lineitem.parquet"
+    place.mkdir()
+    later = pd.DataFrame({"l_orderkey": range(3000), "l_linenumber": 1, "l_extendedprice": 7.0})
+    pd.DataFrame({"l_orderkey": [1, 1, 2, 2, 4], "l_linenumber": [1, 1, 1, 1, 1], "l_extendedprice": [5.0, 6.0, None, 8.0, None]}).astype({"l_linenumber": "int32"}).to_parquet(place / "part-0.parquet", row_group_size=1)
+    pd.concat([later, later.assign(l_extendedprice=9.0)]).astype({"l_linenumber": "int32"}).to_parquet(place / "part-1.parquet", row_group_size=100)
+    orders = pd.DataFrame({"o_orderkey": range(3000), "o_orderdate": pd.Timestamp("2020-01-01")})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = {r["tx_hash"]: r["amount"] for r in series_queries.ledger(spark, str(tmp_path))[2].collect()}
+    assert got == {k: {1: 5.0, 2: 8.0}.get(k, 7.0) for k in range(3000)}
