@@ -485,6 +485,20 @@ def test_edited_pictures_against_a_brute_force_matcher(spark):
     assert all(got[i] in (i, i % 100) for i in pictures)
 
 
+def test_large_buckets_lose_no_near_pair(spark):
+    """Twelve pictures of classes of their own in one bucket, two of them near each other and far from the rest: stars miss the pair, comparing the bucket finds it."""
+    rng = np.random.default_rng(9)
+    codes = rng.integers(-(1 << 62), 1 << 62, (12, 4))
+    codes[1] = codes[0] ^ 5
+    crowds = spark.createDataFrame([(7, i, 0, 100 - (11 - i), i) for i in range(12)], "key long, image long, place int, weight int, label long")
+    described = spark.createDataFrame([(i, [int(x) for x in codes[i]]) for i in range(12)], "image long, bits array<long>")
+    stars = [(r["a"], r["b"]) for turn in range(image_copies.ROUNDS) for r in image_copies.star_pairs(crowds, turn).collect()]
+    assert (0, 1) not in stars
+    assert [tuple(r) for r in image_copies.crowd_pairs(crowds, described).collect()] == [(0, 1, 0, 0)]
+    alike = crowds.withColumn("label", F.lit(3).cast("long"))
+    assert image_copies.crowd_pairs(alike, described).count() == 0
+
+
 def test_every_embedding_has_its_picture(spark, tmp_path):
     from tidemark.llm import queries
 
