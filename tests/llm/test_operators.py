@@ -499,6 +499,66 @@ def test_large_buckets_lose_no_near_pair(spark):
     assert image_copies.crowd_pairs(alike, described).count() == 0
 
 
+def test_cells_of_pictures_against_all_pairs_that_share_a_key(monkeypatch):
+    """Two matches are a link here, so that many links are scarce ones; tiles of a few pictures, which are halved, give the classes of a plain loop."""
+    import math
+
+    from tidemark.llm.queries import _render
+
+    monkeypatch.setattr(image_copies, "CONSENSUS", 2)
+    monkeypatch.setattr(image_copies, "TILE", 7)
+    monkeypatch.setattr(image_copies, "PAIRS_AT_ONCE", 400)
+    rng = np.random.default_rng(12)
+    shown = _render(rng.normal(size=(40, 64)))
+    pictures = [*shown, shown[3][9:, 14:], (np.rot90(shown[5]) * 0.85 + 12).astype(np.uint8)]
+    described = [image_copies.describe(p) for p in pictures]
+    ids, n, width = np.sort(rng.integers(-(1 << 62), 1 << 62, len(pictures))), len(pictures), 24
+    places = [at.astype(np.float32) for _, at in described]
+    cell = image_copies._Cell(ids, np.array([len(b) for b, _ in described]), np.concatenate([b.view("<i8") for b, _ in described]), np.concatenate(places), width)
+    tiles = cell.tiles(0, n)
+    for i, one in enumerate(tiles):
+        for two in tiles[i:]:
+            cell.meet(one, two)
+
+    part = list(range(n))
+    keys = [image_copies.table_keys(b, width) for b, _ in described]
+    for i in range(n):
+        for j in range(i + 1, n):
+            apart = np.bitwise_count(described[i][0].view("<u8")[:, None] ^ described[j][0].view("<u8")[None]).sum(axis=2)
+            votes = defaultdict(set)
+            for u, v in np.argwhere((keys[i][:, None] == keys[j][None]).any(axis=2) & (apart <= image_copies.NEAR_BITS)):
+                (x, y, a, t), (x2, y2, a2, t2) = places[i][u].tolist(), places[j][v].tolist()
+                turn, scale = (t2 - t) % (2 * math.pi), a / a2
+                dx, dy = x2 - scale * (math.cos(turn) * x - math.sin(turn) * y), y2 - scale * (math.sin(turn) * x + math.cos(turn) * y)
+                for grid in (0, 1):
+                    votes[grid, math.floor(turn / (2 * math.pi / 12) + grid / 2) % 12, math.floor(math.log(scale) / 0.5 + grid / 2), math.floor(dx / 12 + grid / 2), math.floor(dy / 12 + grid / 2)].add(u)
+            if max(map(len, votes.values()), default=0) >= 2:
+                low, high = sorted((part[i], part[j]))
+                part = [low if x == high else x for x in part]
+    assert cell.part.tolist() == part and len(cell.links) == n - len(set(part)) and 2 < len(set(part)) < n - 2
+
+
+def test_matches_of_pictures_are_not_written(spark, monkeypatch):
+    """Matches grow with the square of the pictures: no table of an intermediate step has more rows than there are pictures."""
+    from tidemark.llm.queries import _render
+    from tidemark.llm.scratch import Workspace
+
+    sizes, keep = {}, Workspace.keep
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        sizes[name] = max(sizes.get(name, 0), kept.count())
+        return kept
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    shown = _render(np.random.default_rng(13).normal(size=(24, 64)))
+    pictures = [*shown, *(p[9:, 14:] for p in shown)]
+    df = spark.createDataFrame([(i, {"width": p.shape[1], "height": p.shape[0], "pixels": bytearray(p.tobytes())}) for i, p in enumerate(pictures)], "image_id long, media struct<width:int,height:int,pixels:binary>")
+    got = {r["image_id"]: r["class_id"] for r in image_copies.copies(df).collect()}
+    assert got == {i: i % 24 for i in range(48)}
+    assert max(sizes.values()) <= len(pictures), sizes
+
+
 def test_every_embedding_has_its_picture(spark, tmp_path):
     from tidemark.llm import queries
 
