@@ -18,10 +18,18 @@ def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; null and empty texts stay."""
+    """Documents scored as toxic go; null and empty texts stay.
+
+    Only the row numbers of the rejected are written, so that the documents aren't stored
+    twice. Up to a million go to the documents; beyond that the documents are shuffled to them.
+    """
+    row = shingle_join.row_number_of(F.col("doc_id"), F.col("text"))
     with small_batches(spark):
         lexicon, model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-        return materialize(toxicity.with_scores(docs, lexicon, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(docs.columns), "clean")
+        scored = toxicity.with_scores(docs.select(row.alias("_row"), "text"), lexicon, model, score_col="_toxicity")
+        rejected = materialize(scored.where(F.col("_toxicity") >= TOXIC).select("_row").distinct(), "rejected")
+    few = rejected.count() <= shingle_join.BROADCAST_KEYS
+    return docs.withColumn("_row", row).join(F.broadcast(rejected) if few else rejected, "_row", "left_anti").select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

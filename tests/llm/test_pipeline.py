@@ -67,3 +67,25 @@ def test_one_row_of_each_class_stays(spark, tmp_path):
     assert got.count((900, "", "en")) == 2 and (901, None, "en") in got and len(got) == 20 + 5 + 3
     after = corpus_pipeline.suffix_dedup_stage(spark, stage, str(tmp_path)).collect()
     assert [r["text"] for r in after if r["doc_id"] == 800] == [texts[0]]
+
+
+def test_toxicity_stage_stores_no_second_copy_of_the_documents(spark, tmp_path, monkeypatch):
+    """All rows but the rejected ones come back, repeated, null and empty ones too, while no text but the labelled sample's is written."""
+    from tidemark.llm.scratch import Workspace
+
+    rng, kept, keep = np.random.default_rng(14), {}, Workspace.keep
+
+    def noted(self, df, name):
+        kept[name] = df.columns
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Workspace, "keep", noted)
+    rows = [(i, prose(rng, 60) + (" you moron you loser" if i % 6 == 0 else ""), "en", "s", 0) for i in range(240)]
+    rows += [rows[1], rows[1], (None, rows[2][1], "en", "s", 0), (700, None, "en", None, 0), (701, "", None, "s", 0)]
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    got = sorted(map(tuple, stage.collect()), key=str)
+    plain = [r for r in rows if not (r[1] or "").endswith("loser")]
+    assert stage.columns == docs.columns and [r for r in got if not (r[1] or "").endswith("loser")] == sorted(plain, key=str)
+    assert len(got) <= len(plain) + 2 and {n for n, c in kept.items() if "text" in c} == {"labelled"}
