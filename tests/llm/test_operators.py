@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, html_extract, image_copies, line_dedup, packing, pieces, sharding, shingle_join, suffix_dedup, toxicity
+from tidemark.llm.scratch import Workspace
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -99,6 +100,31 @@ def test_shingle_classes_in_blocks(spark, corpus, monkeypatch):
     assert len({want[500 + k][1] for k in range(40)}) == 1
 
 
+def test_shingle_join_keeps_no_wide_table_beside_others(spark, corpus, monkeypatch):
+    """Prefixes are never stored, bitmaps only while buckets use them; buckets in several passes give the same classes."""
+    alive, beside, keep, drop = {}, {}, Workspace.keep, Workspace.drop
+
+    def kept(work, df, name):
+        beside[name] = {c for columns in alive.values() for c in columns}
+        alive[work.name, name] = df.columns
+        return keep(work, df, name)
+
+    def dropped(work, *names):
+        for name in names:
+            alive.pop((work.name, name), None)
+        return drop(work, *names)
+
+    monkeypatch.setattr(Workspace, "keep", kept)
+    monkeypatch.setattr(Workspace, "drop", dropped)
+    monkeypatch.setattr(shingle_join, "PASS_LEAST", 1)
+    monkeypatch.setattr(shingle_join, "PASS_COPIES", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.classes(frame(spark, corpus), words=3, threshold=(90, 100)).collect()}
+    assert got == brute_classes(corpus, 3, 90)
+    assert {"nodes", "meeting", "placed"} <= beside.keys() and not any("prefix" in columns for columns in beside.values())
+    passes = {name for name in beside if name.startswith("candidates-")}
+    assert len(passes) > 1 and {name for name, columns in beside.items() if "bitmap" in columns} == passes
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats(spark, corpus, hot):
     docs = frame(spark, corpus).withColumns({c: F.lit("clash") for c in ("n_spans", "row", "key", "at", "spans", "kinds")})

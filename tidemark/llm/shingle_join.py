@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ LOCAL_MIN, LOCAL_KEPT = 2, 65_536
 LEAF = 8
 #: Sets, and shingles of sets, of a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 512, 1_500_000
+#: Buckets are gone through in so many passes that one sends each bitmap about so many times, or so many bytes if that is more.
+PASS_COPIES, PASS_LEAST = 4, 64 << 20
+#: Bytes of a bucket's row besides its bitmap.
+ROW_BYTES = 64
 #: Distinct keys up to which a selection of rows is broadcast.
 BROADCAST_KEYS = 1_000_000
 
@@ -53,6 +58,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = [_U(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(64)]
+#: No shingle is told apart as frequent.
+_NONE = (np.zeros(0, _U), np.zeros(0, _U))
 
 
 def shingle_ids(texts: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +161,9 @@ def bitmap(ids: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-_SIGNATURE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SIGNATURE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("node", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_BITMAP = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
 _SET = pa.schema([("node", pa.int64()), ("ids", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PAIR_DDL = "a long, b long"
@@ -173,28 +182,43 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
     return n - (num * n + den - 1) // den + 1 if n else 0
 
 
-def _signatures(words: int, frequent, seeds: np.ndarray, threshold: tuple[int, int]) -> Callable:
+def _signatures(words: int, seeds: np.ndarray) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _in_chunks(batches):
-            sets = ordered_sets(texts, words, frequent)
-            bands, first = [], []
+            sets = ordered_sets(texts, words, _NONE)
+            bands = []
             for ids in sets:
-                first.append(ids[: prefix_length(len(ids), threshold)].view(np.int64))
                 if len(ids):
-                    low = ids & _U((1 << 58) - 1)
-                    least = np.array([[_mix(low ^ s).min() for s in band] for band in seeds], dtype=_U)
+                    least = np.array([[_mix(ids ^ s).min() for s in band] for band in seeds], dtype=_U)
                     bands.append(_mix(np.add.reduce(least * np.array(_STEP[: seeds.shape[1]], dtype=_U), axis=1) + np.arange(len(seeds), dtype=_U)).view(np.int64))
                 else:
                     bands.append(np.zeros(0, np.int64))
             row, doc = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists(bands), pa.array([bitmap(x) for x in sets], pa.binary()), _lists(first)],
-                schema=_SIGNATURE,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists(bands)], schema=_SIGNATURE)
 
     return sign
 
 
+def _prefixes(words: int, frequent: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int]) -> Callable:
+    """Of each set, the shingles of which any similar set holds one."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _in_chunks(batches):
+            if sets := [x for x in ordered_sets(texts, words, frequent) if len(x)]:
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), _lists([x[: prefix_length(len(x), threshold)].view(np.int64) for x in sets])], schema=_PREFIX)
+
+    return first
+
+
+def _bitmaps(words: int) -> Callable:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _in_chunks(batches):
+            sets = [x for x in ordered_sets(texts, words, _NONE) if len(x)]
+            yield _batch(_BITMAP, [_node(x) for x in sets], [len(x) for x in sets], [bitmap(x) for x in sets])
+
+    return draw
+
+
 def _lists(each: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each)))
 
@@ -211,11 +235,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _sets(words: int) -> Callable:
-    none = (np.zeros(0, _U), np.zeros(0, _U))
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _in_chunks(batches):
-            found = ordered_sets(texts, words, none)
+            found = ordered_sets(texts, words, _NONE)
             yield _batch(_SET, [_node(x) for x in found], [_packed(x) for x in found])
 
     return sets
@@ -438,10 +460,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     rows = docs.select(row_number_of(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
     num, den = threshold
     seeds = _mix(np.arange(1, BANDS * (3 if num * 20 >= 17 * den else 2) + 1, dtype=_U) * _U(0x632BE59BD9B4E019)).reshape(BANDS, -1)
-    frequent = frequent_shingles(rows, words)
-    signed = work.keep(rows.mapInArrow(_signatures(words, frequent, seeds, threshold), _ddl(_SIGNATURE)), "signatures")
-    some = signed.where(F.col("n") > 0)
-    nodes = work.keep(some.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "nodes")
+    # prefixes and bitmaps are wide: they are made of the texts again where they are used, not kept beside everything between
+    signed = work.keep(rows.mapInArrow(_signatures(words, seeds), _ddl(_SIGNATURE)), "signatures")
+    nodes = work.keep(signed.where(F.col("n") > 0).groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(node, ids) of the wanted nodes, from their texts."""
@@ -464,7 +485,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     labels = components(links, work)
 
     # 2. prefix shingles shared by nodes of different classes
-    prefixes = some.groupBy("node").agg(F.any_value("prefix").alias("prefix"))
+    frequent = frequent_shingles(rows, words)
+    prefixes = rows.select("row", "text").mapInArrow(_prefixes(words, frequent, threshold), _ddl(_PREFIX)).groupBy("node").agg(F.any_value("prefix").alias("prefix"))
     labelled = prefixes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.explode("prefix").alias("token"))
     same = Window.partitionBy("token")
     spread = labelled.select("token", "node", "label", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("times"), F.bit_xor(F.xxhash64("node")).over(same).alias("who"))
@@ -478,11 +500,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     bucket = Window.partitionBy("token", "size")
     counted = placed.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high"), F.max("home").over(bucket).alias("homes"), F.count(F.lit(1)).over(bucket).alias("times"))
     kept = work.keep(counted.where((F.col("low") != F.col("high")) & (F.col("homes") > 0)).drop("low", "high", "homes"), "placed")
-    bitmaps = work.keep(_picked(some.select("node", "n", "bitmap"), kept.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
-    buckets = _cells(kept, F.ceil(F.col("times") / BLOCK)).select("token", "size", "cell", "home", "node", "label").join(bitmaps, "node")
-    candidates = buckets.repartition("token", "size", "cell").sortWithinPartitions("token", "size", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL)
-    clusters = components(candidates, work).withColumnRenamed("component", "cluster")
-    work.drop("meeting", "placed", "bitmaps")
+    bitmaps = work.keep(_picked(rows.select("row", "text").mapInArrow(_bitmaps(words), _ddl(_BITMAP)), kept.select("node").distinct(), "node").groupBy("node").agg(F.min("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "bitmaps")
+    work.drop("meeting")
+    cells = _cells(kept, F.ceil(F.col("times") / BLOCK)).select("token", "size", "cell", "home", "node", "label")
+    width = F.length("bitmap") + ROW_BYTES
+    once = bitmaps.agg(F.sum(width)).first()[0] or 0
+    sent = cells.select("node").join(bitmaps.select("node", width.alias("width")), "node").agg(F.sum("width")).first()[0] or 0
+    passes = max(1, math.ceil(sent / max(PASS_LEAST, PASS_COPIES * once)))
+    found = [f"candidates-{i}" for i in range(passes)]
+    candidates = []
+    for i, name in enumerate(found):
+        buckets = cells.where(F.pmod(F.xxhash64("token", "size"), F.lit(passes)) == i).join(bitmaps, "node")
+        candidates.append(work.keep(buckets.repartition("token", "size", "cell").sortWithinPartitions("token", "size", "cell").mapInArrow(_candidates(threshold), _PAIR_DDL), name))
+    work.drop("placed", "bitmaps")
+    clusters = components(reduce(DataFrame.unionByName, candidates), work).withColumnRenamed("component", "cluster")
+    work.drop(*found)
     sized = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     placed = _cells(clusters.join(sized, "cluster"), F.col("parts")).join(labels, "node", "left").select("cluster", "cell", "node", F.coalesce("component", "node").alias("label"))
     sets = work.keep(sets_of(clusters.select("node")), "sets")
