@@ -564,6 +564,41 @@ def test_cells_of_pictures_against_all_pairs_that_share_a_key(monkeypatch):
     assert cell.part.tolist() == part and len(cell.links) == n - len(set(part)) and 2 < len(set(part)) < n - 2
 
 
+def test_smaller_copies_are_found_among_many_pictures(spark):
+    """The share of copies that are found doesn't fall with the number of other pictures, and pictures that only have a few like corners stay apart."""
+    from tidemark.llm.queries import _render
+
+    shown = _render(np.random.default_rng(14).normal(size=(1500, 64)))
+    edits = [lambda p: np.rint(image_copies.resized(p.astype(float), 0.8)).astype(np.uint8), lambda p: p[9:, 14:], lambda p: (np.rot90(p) * 0.85 + 12).astype(np.uint8)]
+    pictures = [*shown, *(f(p) for f in edits for p in shown[:60])]
+    df = spark.createDataFrame([(i, {"width": p.shape[1], "height": p.shape[0], "pixels": bytearray(p.tobytes())}) for i, p in enumerate(pictures)], "image_id long, media struct<width:int,height:int,pixels:binary>")
+    got = {r["image_id"]: r["class_id"] for r in image_copies.copies(df.repartition(8)).collect()}
+    assert all(got[i] == i for i in range(1500))
+    for k in range(3):
+        copies = range(1500 + 60 * k, 1560 + 60 * k)
+        assert all(got[i] in (i, (i - 1500) % 60) for i in copies)
+        assert np.mean([got[i] != i for i in copies]) >= 0.9
+
+
+def test_blocks_of_pictures_meet_once_and_are_sent_in_rounds(spark, monkeypatch):
+    """Many small blocks give the classes of few; a job takes so many copies of a block's descriptors at most."""
+    from collections import Counter
+
+    from tidemark.llm.queries import _render
+
+    for blocks in (3, 4, 7, 10):
+        rounds = image_copies.block_rounds(blocks)
+        assert sorted(p for r in rounds for p in r) == [(i, j) for i in range(blocks) for j in range(i + 1, blocks)]
+        assert all(max(Counter(i for p in r for i in p).values()) == 1 for r in rounds)
+    shown = _render(np.random.default_rng(15).normal(size=(30, 64)))
+    pictures = [*shown, *(p[9:, 14:] for p in shown)]
+    df = spark.createDataFrame([(i, {"width": p.shape[1], "height": p.shape[0], "pixels": bytearray(p.tobytes())}) for i, p in enumerate(pictures)], "image_id long, media struct<width:int,height:int,pixels:binary>")
+    monkeypatch.setattr(image_copies, "BLOCK", 10)
+    monkeypatch.setattr(image_copies, "ROUNDS_AT_ONCE", 2)
+    got = {r["image_id"]: r["class_id"] for r in image_copies.copies(df).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+
+
 def test_matches_of_pictures_are_not_written(spark, monkeypatch):
     """Matches grow with the square of the pictures: no table of an intermediate step has more rows than there are pictures."""
     from tidemark.llm.queries import _render
