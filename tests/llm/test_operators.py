@@ -599,6 +599,22 @@ def test_blocks_of_pictures_meet_once_and_are_sent_in_rounds(spark, monkeypatch)
     assert got == {i: i % 30 for i in range(60)}
 
 
+def test_unlike_pictures_are_hardly_ever_candidates(monkeypatch):
+    """What is looked at in a cell stays far below the number of picture pairs, which all have near descriptors."""
+    from tidemark.llm.queries import _render
+
+    rng = np.random.default_rng(16)
+    shown = _render(rng.normal(size=(400, 64)))
+    described = [image_copies.describe(p) for p in shown]
+    many, bits = np.array([len(b) for b, _ in described]), np.concatenate([b for b, _ in described])
+    places, small = np.concatenate([at for _, at in described]).astype(np.float32), np.concatenate([image_copies.small_version(p).ravel() for p in shown])
+    cell = image_copies._PairCell(np.arange(400), many, np.ascontiguousarray(bits).view("<i8"), places, small, np.full((400, 2), 96, np.float32), np.arange(400) // 200, (True, True))
+    looked, look = [], cell._try
+    monkeypatch.setattr(cell, "_try", lambda first, second, x, y: (looked.append(len(x)), look(first, second, x, y)))
+    cell.search()
+    assert not cell.links and 0 < sum(looked) < 0.05 * 400 * 399 / 2
+
+
 def test_matches_of_pictures_are_not_written(spark, monkeypatch):
     """Matches grow with the square of the pictures: no table of an intermediate step has more rows than there are pictures."""
     from tidemark.llm.queries import _render
